@@ -272,7 +272,9 @@ def needs_ocr(kind: Column, url: Column, text: Column, cfg: EngineConfig = Engin
     )
 
 
-def filter_ocr_lines(raw: Column, strict: bool, limit: int = 25) -> Column:
+def filter_ocr_lines(
+    raw: Column, strict: bool, limit: int = 25, signal_tokens: Iterable[str] = ("skill", "github")
+) -> Column:
     """Array of OCR lines worth keeping. Strict mode asks for a technical signal."""
     trimmed = F.transform(
         ar.lines(raw),
@@ -284,7 +286,7 @@ def filter_ocr_lines(raw: Column, strict: bool, limit: int = 25) -> Column:
 
     def keep_line(v: Column, low: Column) -> Column:
         slug = v.rlike(tx.SLUG)
-        signal = tx.contains_any(low, ("skill", "github")) | F.startswith(v, F.lit("命令：")) | slug
+        signal = tx.contains_any(low, signal_tokens) | F.startswith(v, F.lit("命令：")) | slug
         base = (
             (v != "")
             & ~is_ui_noise(v)

@@ -185,17 +185,22 @@ def outline_points(sections: Column, items: Column, texts: list[Column], story:
     return F.coalesce(*[tx.let(o, lambda p: F.when(F.size(p) > 0, ar.take(p, 12))) for o in options], ar.empty_strings())
 
 
+RANK = "十一|十二|十|[一二三四五六七八九]|\\d{1,2}"
+
+
 def ranked_chunks(text: Column) -> Column:
-    """``第N名 …`` chunks, first per rank, highest rank number first."""
-    compact = tx.squash(tx.text_or_empty(text))
-    chunks = F.regexp_extract_all(compact, F.lit(r"第\s*(?:\d{1,2}|[一二三四五六七八九十]{1,2})\s*名.*?(?=第\s*(?:\d{1,2}|[一二三四五六七八九十]{1,2})\s*名|$)"), 0)
+    """array<struct<rank,content>> of ``第N名 …`` chunks, first per rank, highest rank first."""
+    found = F.regexp_extract_all(
+        tx.text_or_empty(text), F.lit(rf"(第\s*(?:{RANK})\s*名.*?)(?=第\s*(?:{RANK})\s*名|好了以上|$)"), 1
+    )
+    head = rf"^第\s*({RANK})\s*名"
     parsed = F.transform(
-        chunks,
+        found,
         lambda c: F.struct(
-            ordinal(F.regexp_extract(c, r"^第\s*(\d{1,2}|[一二三四五六七八九十]{1,2})\s*名", 1)).alias("n"),
-            tx.strip(c).alias("chunk"),
+            ordinal(F.regexp_extract(c, head, 1)).alias("rank"),
+            tx.squash(tx.strip(F.regexp_replace(c, head, ""), " ：:，,。.;；!?！？")).alias("content"),
         ),
     )
-    firsts = ln.first_by_key(F.filter(parsed, lambda e: e["n"].isNotNull()), lambda e: e["n"].cast("string"))
-    ordered = F.sort_array(F.transform(firsts, lambda e: F.struct((-e["n"]).alias("n"), e["chunk"].alias("chunk"))))
-    return F.transform(ordered, lambda e: e["chunk"])
+    usable = F.filter(parsed, lambda e: e["rank"].isNotNull() & (e["content"] != ""))
+    firsts = ln.first_by_key(usable, lambda e: e["rank"].cast("string"))
+    return F.sort_array(firsts, asc=False)

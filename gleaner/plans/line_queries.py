@@ -343,7 +343,7 @@ def timeline_highlights(spark, sf_dir):
 @query(
     "enumerated_points",
     r"""WITH w AS (SELECT doc_id, string_split(text, '. ') AS xs FROM documents),
-        n AS (SELECT doc_id, xs, unnest(range(1, least(len(xs), 400) + 1)) AS i FROM w),
+        n AS (SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM w),
         l AS (SELECT doc_id, i, (i - 1) % 7 + CASE WHEN doc_id % 3 = 0 AND i > 3 THEN 2 ELSE 1 END AS num, trim(regexp_replace(xs[i], '\s+', ' ', 'g')) AS content FROM n),
         f AS (SELECT doc_id, num, arg_min(content, i) AS content FROM l WHERE num BETWEEN 1 AND 12 AND length(content) >= 2 GROUP BY doc_id, num),
         g AS (SELECT doc_id FROM f GROUP BY doc_id HAVING count(*) >= 3 AND max(num) - min(num) + 1 = count(*))
@@ -360,7 +360,7 @@ def enumerated_points(spark, sf_dir):
             F.regexp_replace(x, r"\s+", " "),
         ),
     )
-    points = steps.enumerated_points(F.array_join(F.slice(numbered, 1, 400), "\n"))
+    points = steps.enumerated_points(F.array_join(numbered, "\n"))
     return _rows(df, "doc_id", points, "point")
 
 
@@ -526,7 +526,7 @@ def needs_ocr(spark, sf_dir):
     rf"""WITH {_LINES}, t AS (SELECT doc_id, pos, trim(regexp_replace({_NORM}, '^[^\p{{L}}\p{{N}}_#@:/.-]+', '')) AS line FROM lines),
         k AS (SELECT * FROM t WHERE line <> '' AND NOT starts_with(line, '#') AND NOT regexp_matches(line, '^\d+(/\d+)?$')
           AND NOT (regexp_matches(line, '[?？]$') AND length(line) <= 36)
-          AND (contains(lower(line), 'skill') OR contains(lower(line), 'github')
+          AND (contains(lower(line), 'token') OR contains(lower(line), '@mail')
                OR regexp_matches(line, '\b[a-z][a-z0-9]+(?:-[a-z0-9]+){{1,5}}\b')
                OR contains(lower(line), 'http://') OR contains(lower(line), 'https://'))
           AND NOT {sql.contains_any("lower(line)", lx.OCR_LOW_VALUE)}),
@@ -536,7 +536,7 @@ def needs_ocr(spark, sf_dir):
 )
 def ocr_lines(spark, sf_dir):
     df = _docs(spark, sf_dir)
-    return _rows(df, "doc_id", pr.filter_ocr_lines(F.col("text"), strict=False))
+    return _rows(df, "doc_id", pr.filter_ocr_lines(F.col("text"), strict=False, signal_tokens=("token", "@mail")))
 
 
 @query(
