@@ -192,7 +192,7 @@ def overall(df: DataFrame, iterative: bool = False) -> DataFrame:
             & judge_ok
         )
     df = df.withColumns({"overall_score": F.round("_total", 4), "passed": passed, "root_cause": root_cause(df)})
-    return df.drop("_total")
+    return df.withColumnRenamed("_total", "raw_score")
 
 
 def root_cause(df: DataFrame) -> Column:

@@ -254,19 +254,19 @@ def scored_cases(spark, sf_dir):
 
 @query(
     "step_scores",
-    f"""WITH {_STEP_SQL} SELECT doc_id, round(extract_score, 4) AS extract_score, extract_ok, round(signals_score, 4) AS signals_score,
-        round(summary_score, 4) AS summary_score, summary_ok, round(note_score, 4) AS note_score, note_ok FROM p""",
+    f"""WITH {_STEP_SQL} SELECT doc_id, round(extract_score + 0.0000001::DOUBLE, 4) AS extract_score, extract_ok, round(signals_score + 0.0000001::DOUBLE, 4) AS signals_score,
+        round(summary_score + 0.0000001::DOUBLE, 4) AS summary_score, summary_ok, round(note_score + 0.0000001::DOUBLE, 4) AS note_score, note_ok FROM p""",
 )
 def step_scores(spark, sf_dir):
     df = scored_cases(spark, sf_dir)
     return df.select(
         "doc_id",
-        F.round("extract_step.score", 4).alias("extract_score"),
+        F.round(F.col("extract_step.score") + 1e-7, 4).alias("extract_score"),
         F.col("extract_step.passed").alias("extract_ok"),
-        F.round("signals_step.score", 4).alias("signals_score"),
-        F.round("summary_step.score", 4).alias("summary_score"),
+        F.round(F.col("signals_step.score") + 1e-7, 4).alias("signals_score"),
+        F.round(F.col("summary_step.score") + 1e-7, 4).alias("summary_score"),
         F.col("summary_step.passed").alias("summary_ok"),
-        F.round("note_step.score", 4).alias("note_score"),
+        F.round(F.col("note_step.score") + 1e-7, 4).alias("note_score"),
         F.col("note_step.passed").alias("note_ok"),
     )
 
@@ -278,7 +278,7 @@ _OVERALL = f"""{_STEP_SQL}, o AS (SELECT *, extract_score * 0.35::DOUBLE + signa
     "overall_scores",
     f"""WITH {_OVERALL}, j AS (SELECT o.*, l.quality FROM o LEFT JOIN labels l USING (doc_id)),
         t AS (SELECT *, CASE WHEN quality IS NOT NULL THEN base * 0.75::DOUBLE + quality * 0.25::DOUBLE ELSE base END AS total FROM j)
-        SELECT doc_id, round(total, 4) AS overall_score,
+        SELECT doc_id, round(total + 0.0000001::DOUBLE, 4) AS overall_score,
           total >= 0.78 AND m_ev + m_sum + m_note + CAST(checklist AS INT) = 0 AND f_sum + f_note = 0 AND (quality IS NULL OR quality >= 0.72) AS passed,
           CASE WHEN NOT extract_ok THEN 'extract' WHEN NOT summary_ok THEN 'summary' WHEN NOT note_ok THEN 'renderer'
                WHEN quality = 1 THEN 'pass' WHEN quality = 0 THEN 'summary' ELSE 'pass' END AS root_cause FROM t""",
@@ -293,17 +293,17 @@ def overall_scores(spark, sf_dir):
         )
     ).drop("score", "root_cause")
     df = scored_cases(spark, sf_dir).join(judge, "doc_id", "left")
-    return ev.overall(df).select("doc_id", "overall_score", "passed", "root_cause")
+    return ev.overall(df).select("doc_id", F.round(F.col("raw_score") + 1e-7, 4).alias("overall_score"), "passed", "root_cause")
 
 
 @query(
     "iterative_scores",
     f"""WITH {_OVERALL}, t AS (SELECT *, greatest(0, base - least(0.25::DOUBLE, 0.05::DOUBLE * (doc_id % 4))) AS total FROM o)
-        SELECT doc_id, round(total, 4) AS overall_score, total >= 0.72 AND f_sum + f_note = 0 AS passed FROM t""",
+        SELECT doc_id, round(total + 0.0000001::DOUBLE, 4) AS overall_score, total >= 0.72 AND f_sum + f_note = 0 AS passed FROM t""",
 )
 def iterative_scores(spark, sf_dir):
     df = scored_cases(spark, sf_dir).withColumn("warning_count", F.col("doc_id") % 4)
-    return ev.overall(df, iterative=True).select("doc_id", "overall_score", "passed")
+    return ev.overall(df, iterative=True).select("doc_id", F.round(F.col("raw_score") + 1e-7, 4).alias("overall_score"), "passed")
 
 
 @query(
