@@ -33,9 +33,10 @@ def parse_lines(snapshot: Column) -> Column:
             "code": F.nullif(F.regexp_extract(line, r"- code\b.*?:\s*(.+)$", 1), F.lit("")),
             "node": F.nullif(F.regexp_extract(line, NODE, 1), F.lit("")),
         }
+        bare = F.startswith(line, F.lit("- paragraph"))
         kind = F.coalesce(
+            F.when(bare & found["node"].isNull(), F.lit("paragraph")),
             *[F.when(v.isNotNull(), F.lit(k)) for k, v in found.items()],
-            F.when(F.startswith(line, F.lit("- paragraph")), F.lit("paragraph")),
             F.lit("other"),
         )
         indent = F.length(raw) - F.length(F.ltrim(raw))
@@ -109,65 +110,67 @@ COMMENT_STOP = ("相关推荐", "大家都在搜", "返回顶部", "点击关闭
 COMMENT_CONTROLS = ("最热", "最新", "回复", "评论")
 
 
+def _author_name(e: Column) -> Column:
+    """Name behind a link that can introduce a remark, else NULL."""
+    name = tx.normalize(e["value"])
+    usable = (
+        (e["kind"] == "link")
+        & ~name.isin(*COMMENT_CONTROLS)
+        & ~tx.starts_any(name, ("http://", "https://"))
+        & ~tx.contains_any(name, (COMMENT_HEADING, "自动化交易"))
+    )
+    return F.when(usable, name)
+
+
+def _last(names: Column) -> Column:
+    return F.try_element_at(F.filter(names, lambda x: x.isNotNull()), F.lit(-1))
+
+
 def snapshot_comments(snapshot: Column, owner: Column, limit: int = 5) -> Column:
     """Substantial reader remarks inside the comment section.
 
-    A link outside a paragraph names the author of what follows; a paragraph joins
-    the text and links indented below it.
+    A paragraph joins the text and links indented below it. A link outside a
+    paragraph names the author of what follows, so the part of a group behind its
+    paragraph belongs to the next one.
     """
     area = ln.between_markers(
         parse_lines(snapshot),
         lambda e: (e["kind"] == "heading") & (e["value"] == COMMENT_HEADING),
         lambda e: tx.contains_any(e["value"], COMMENT_STOP),
     )
-    start = F.struct(F.lit(None).cast("string").alias("author"), F.lit(-1).alias("level"), F.lit(0).alias("n"))
-
-    def step(acc: Column, e: Column) -> Column:
-        paragraph = e["kind"] == "paragraph"
-        inside = (acc["level"] >= 0) & ((e["indent"] > acc["level"]) | (e["kind"] == "text")) & ~paragraph
-        name = tx.normalize(e["value"])
-        names_author = (
-            ~inside
-            & (e["kind"] == "link")
-            & ~name.isin(*COMMENT_CONTROLS)
-            & ~tx.starts_any(name, ("http://", "https://"))
-            & ~tx.contains_any(name, (COMMENT_HEADING, "自动化交易"))
-        )
-        return F.struct(
-            F.when(names_author, name).otherwise(acc["author"]).alias("author"),
-            F.when(paragraph, e["indent"]).when(inside, acc["level"]).otherwise(F.lit(-1)).alias("level"),
-            (acc["n"] + paragraph.cast("int")).alias("n"),
-        )
 
-    # The running state is three scalars. It is written out per line, so that lines
-    # can be regrouped by paragraph number.
-    empty = F.array().cast("array<struct<author:string,level:int,n:int,kind:string,value:string>>")
+    def is_paragraph(e: Column) -> Column:
+        return e["kind"] == "paragraph"
 
-    def walk(entries: Column) -> Column:
-        def push(acc: Column, e: Column) -> Column:
-            last = F.coalesce(
-                F.when(F.size(acc) > 0, F.element_at(acc, -1)),
-                F.struct(*[start[f].alias(f) for f in ("author", "level", "n")], F.lit("").alias("kind"), F.lit("").alias("value")),
-            )
-            now = step(last, e)
-            row = F.struct(
-                now["author"].alias("author"), now["level"].cast("int").alias("level"), now["n"].cast("int").alias("n"),
-                e["kind"].alias("kind"), e["value"].alias("value"),
-            )
-            return F.concat(acc, F.array(row))
-
-        return F.aggregate(entries, empty, push)
-
-    def comment(g: Column) -> Column:
-        pieces = F.filter(g["items"], lambda r: (r["level"] >= 0) & r["kind"].isin("text", "link") & (r["n"] == g["head"]["n"]))
+    def group(g: Column) -> Column:
+        level = g["head"]["indent"]
+        outside = F.transform(g["items"], lambda e: (e["indent"] <= level) & (e["kind"] != "text"))
+        cut = F.coalesce(F.nullif(F.array_position(outside, F.lit(True)), F.lit(0).cast("long")), F.size(outside) + 1)
+        pieces = F.filter(ar.take(g["items"], (cut - 1).cast("int")), lambda e: e["kind"].isin("text", "link"))
+        behind = ar.skip(g["items"], (cut - 1).cast("int"))
         return F.struct(
-            g["head"]["author"].alias("author"),
-            tx.normalize(F.array_join(F.transform(pieces, lambda r: r["value"]), "")).alias("text"),
+            tx.normalize(F.array_join(F.transform(pieces, lambda e: e["value"]), "")).alias("text"),
+            _last(F.transform(behind, _author_name)).alias("next_author"),
         )
 
-    groups = ln.groups_by_marker(walk(area), lambda r: r["kind"] == "paragraph")
-    remarks = F.filter(F.transform(groups, comment), lambda c: pr.is_feedback(c["text"], c["author"], owner))
-    return ar.take(F.array_distinct(F.transform(remarks, lambda c: c["text"])), limit)
+    def remarks(entries: Column, groups: Column) -> Column:
+        lead = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, 1, i + 1), is_paragraph))
+        names = F.concat(F.array(_last(F.transform(lead, _author_name))), F.transform(groups, lambda g: g["next_author"]))
+        authored = tx.let(
+            names,
+            lambda ns: F.transform(
+                groups, lambda g, k: F.struct(g["text"].alias("text"), _last(F.slice(ns, 1, k + 1)).alias("author"))
+            ),
+        )
+        kept = F.filter(authored, lambda c: pr.is_feedback(c["text"], c["author"], owner))
+        return ar.take(F.array_distinct(F.transform(kept, lambda c: c["text"])), limit)
+
+    return tx.let(
+        area,
+        lambda es: tx.let(
+            F.transform(ln.groups_by_marker(es, is_paragraph), group), lambda gs: remarks(es, gs)
+        ),
+    )
 
 
 def tutorial_text(snapshot: Column, start: Iterable[str], stop: Iterable[str], limit: int = 220) -> Column:
