@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
@@ -78,6 +78,17 @@ def top_by_score(arr: Column, score: Callable[[Column], Column], limit: int | Co
     return F.transform(by_position, lambda e: e["value"])
 
 
+def explode_rows(df: DataFrame, keep: list[str] | str, arr: Column, value: str, ord_name: str = "ord") -> DataFrame:
+    """One row per item with its position.
+
+    The outer form plus a filter on the position reads ``arr`` once. The inner form
+    makes the optimizer test ``size(arr) > 0`` first, and pushing that test to the
+    scan repeats the whole computation behind ``arr``.
+    """
+    keep = [keep] if isinstance(keep, str) else keep
+    return df.select(*keep, F.posexplode_outer(arr).alias(ord_name, value)).filter(F.col(ord_name).isNotNull())
+
+
 def fits_prefix(sizes: Column, budget: int | Column, separator: int = 1) -> Column:
     """How many leading items fit into ``budget`` characters, separators included.
 

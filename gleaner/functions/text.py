@@ -24,7 +24,7 @@ TIMESTAMP_PREFIX = r"^\[[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\]"
 ENTITIES = (
     ("&nbsp;", "\xa0"), ("&#160;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'),
     ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&middot;", "·"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&amp;", "&"),
+    ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"), ("&bull;", "•"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&amp;", "&"),
 )
 
 
@@ -111,6 +111,11 @@ def count_contained(c: Column, tokens: Iterable[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(c, F.lit(t)).cast("int") for t in tokens], F.lit(0))
 
 
+def has_slug(c: Column) -> Column:
+    """Does the text hold a hyphenated lower-case name? A hyphen is looked for first."""
+    return F.contains(c, F.lit("-")) & c.rlike(SLUG)
+
+
 def unescape(c: Column) -> Column:
     """Decode the common character references; text without ``&`` passes through."""
 

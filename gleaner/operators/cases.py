@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
 from gleaner.operators import predicates as pr
+from gleaner.operators.keyed import keep_where
 
 SUPPORTED_KINDS = ("url", "video_url")
 
@@ -76,7 +77,7 @@ def auto_cases(jobs: DataFrame, threshold: float = 0.72) -> DataFrame:
         F.col("source_kind"), F.col("dry_run"), F.lit(None).cast("string"), F.col("warnings"), F.col("coverage"),
         F.col("quality_score"), threshold,
     )
-    found = jobs.withColumn("auto_reason", reason).filter("auto_reason IS NOT NULL")
+    found = keep_where(jobs.withColumn("auto_reason", reason), F.col("auto_reason").isNotNull())
     key = case_key(F.col("source_kind"), F.col("source_url"), F.col("raw_text"))
     ident = case_id(F.col("source_kind"), F.col("source_url"), F.col("raw_text"), F.col("auto_reason"))
     return found.withColumns({"case_key": key, "id": ident})

@@ -300,7 +300,7 @@ def phrase_hits(
     p = p.withColumn("key", key)
     stats = p.agg(F.sum(F.length("_p")).alias("chars"), F.collect_set("_kind").alias("kinds")).first()
     d = docs.select(F.col(doc_id), tx.token(F.col(text)).alias("_t"))
-    held = d.select(doc_id, F.explode(_shared_keys(F.col("_t"), stats["kinds"], gram)).alias("key"))
+    held = ar.explode_rows(d, doc_id, _shared_keys(F.col("_t"), stats["kinds"], gram), "key").drop("ord")
     lookup = p.select("key", phrase_id, "_p")
     if (stats["chars"] or 0) <= broadcast_chars:
         pairs = held.join(F.broadcast(lookup), "key")

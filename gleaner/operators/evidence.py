@@ -14,7 +14,7 @@ from gleaner.functions import urls
 from gleaner.operators import compaction as cp
 from gleaner.operators import predicates as pr
 from gleaner.operators import profiles, signals
-from gleaner.operators.keyed import distinct_last
+from gleaner.operators.keyed import distinct_last, salted_lookup
 from gleaner.operators.lines import first_by_key
 
 #: Notices shown instead of a blocked page.
@@ -149,10 +149,8 @@ def cache_lookup(items: DataFrame, cache: DataFrame, now: Column, cfg: CacheConf
         F.col(key).alias("_key"), F.col("created_at").alias("_at"), F.col("fingerprint").alias("_fp"), F.col("summary").alias("_summary")
     )
     keyed = items.withColumn("_key", urls.canonical_url(F.col(key)))
-    from gleaner.operators.keyed import salted_lookup
-
     joined = salted_lookup(keyed, entries, ["_key"], "left")
-    age_ok = F.unix_micros(now) - F.unix_micros("_at") <= F.lit(ttl * 3600 * 1_000_000)
+    age_ok = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("_at").cast("timestamp")) <= F.lit(ttl * 3600 * 1_000_000)
     hit = F.coalesce((F.col("_key") != "") & (F.col("_fp") == F.col("fingerprint")) & age_ok, F.lit(False))
     return joined.withColumns({"cached": hit, "cached_summary": F.when(hit, F.col("_summary"))}).drop("_key", "_at", "_fp", "_summary")
 
@@ -175,8 +173,8 @@ def match_pages(requests: DataFrame, pages: DataFrame, request_id: str, page_url
         options = (tx.strip(url), urls.match_url(url), urls.path_key(url))
         return F.array(*[F.struct(F.lit(i).alias("prio"), v.alias("key")) for i, v in enumerate(options)])
 
-    r = requests.select(request_id, F.explode(keys(F.col("source_url"))).alias("k")).select(request_id, "k.*")
-    p = pages.select(F.explode(keys(F.col(page_url))).alias("k"), F.col(page_url)).select("k.*", page_url)
+    r = ar.explode_rows(requests, request_id, keys(F.col("source_url")), "k").select(request_id, "k.*")
+    p = ar.explode_rows(pages, page_url, keys(F.col(page_url)), "k").select("k.*", page_url)
     p = p.groupBy("prio", "key").agg(F.min(page_url).alias(page_url))
     hits = r.join(p, ["prio", "key"])
     return hits.groupBy(request_id).agg(F.min_by(page_url, "prio").alias(page_url), F.min("prio").alias("match_pass"))

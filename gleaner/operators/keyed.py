@@ -38,6 +38,16 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Iterable[Column], lim
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= limit)
 
 
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on an expensive computed condition without computing it twice.
+
+    The optimizer pushes a filter below the projection that computes its columns
+    and so repeats the computation. A row number in that projection keeps it above.
+    """
+    marked = df.withColumns({"_keep": condition, "_row": F.monotonically_increasing_id()})
+    return marked.filter(F.col("_keep") & (F.col("_row") >= 0)).drop("_keep", "_row")
+
+
 def salted_lookup(
     facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", salts: int = 16, deal_by: Sequence[str] | None = None
 ) -> DataFrame:

@@ -19,11 +19,8 @@ from gleaner.functions import text as tx
 def explode_lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, pos, line): trimmed non-blank lines with their raw position."""
     raw = F.split(F.col(text), tx.LINE_BREAK)
-    return (
-        df.select(F.col(doc_id), F.posexplode(raw).alias("pos", "raw"))
-        .select(doc_id, "pos", tx.strip(F.col("raw")).alias("line"))
-        .filter("line <> ''")
-    )
+    rows = ar.explode_rows(df, doc_id, raw, "raw", "pos")
+    return rows.select(doc_id, "pos", tx.strip(F.col("raw")).alias("line")).filter("line <> ''")
 
 
 def first_by_key(arr: Column, key: Callable[[Column], Column]) -> Column:

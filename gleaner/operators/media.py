@@ -229,7 +229,7 @@ def merge_media_evidence(df: DataFrame, cfg: EngineConfig = EngineConfig()) -> D
     df = df.withColumns({"_g": given, "ocr_lines": cp.salient_lines(F.col("ocr_lines"), 16)})
     technical = F.exists(
         "ocr_lines",
-        lambda x: tx.contains_any(F.lower(x), ("github", "http://", "https://", "skill")) | x.rlike(tx.SLUG),
+        lambda x: tx.contains_any(F.lower(x), ("github", "http://", "https://", "skill")) | tx.has_slug(x),
     )
     use_ocr = (F.size("ocr_lines") > 0) & ((F.length(tx.strip(spoken)) < 160) | technical)
     ocr_block = F.when(use_ocr, F.concat(F.lit("[关键帧OCR]\n"), F.array_join("ocr_lines", "\n"))).otherwise(F.lit(""))

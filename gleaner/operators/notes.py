@@ -95,7 +95,7 @@ def unique_topics(primary: Column, secondary: Column) -> Column:
 def topic_edges(notes: DataFrame, note: str = "note") -> DataFrame:
     """(note, topic, ord, is_primary) rows."""
     topics = unique_topics(F.col("primary_topic"), F.col("secondary_topics"))
-    return notes.select(note, F.posexplode(topics).alias("ord", "topic")).select(
+    return ar.explode_rows(notes, note, topics, "topic").select(
         note, "topic", "ord", (F.col("ord") == 0).alias("is_primary")
     )
 
@@ -145,7 +145,7 @@ def note_edges(notes: DataFrame, note: str = "note") -> DataFrame:
                     lambda x: F.struct(F.lit("keyword_l2").alias("kind"), x.alias("target"))),
         typed("entity", F.col("entities")),
     )
-    return notes.select(note, F.explode(F.array_distinct(pairs)).alias("e")).select(note, "e.kind", "e.target")
+    return ar.explode_rows(notes, note, F.array_distinct(pairs), "e").select(note, "e.kind", "e.target")
 
 
 def link_target(root: Column | str, kind: Column, target: Column) -> Column:

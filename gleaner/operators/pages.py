@@ -15,6 +15,7 @@ from gleaner.functions import arrays as ar
 from gleaner.functions import text as tx
 from gleaner.functions import urls
 from gleaner.operators import predicates as pr
+from gleaner.operators.lines import groups_by_marker
 
 _START, _MID = "\x01", "\x02"
 CONTENT_CLASSES = "article|content|post|entry|rich_media_content|note-content"
@@ -75,24 +76,17 @@ def _is_heading(b: Column) -> Column:
     return F.startswith(b["tag"], F.lit("h"))
 
 
-def sections_of(block_col: Column) -> Column:
-    """Carry the last heading forward: array<struct<heading,level,content>>.
+def sections_of(page_blocks: Column) -> Column:
+    """Carry the last heading forward: array<struct<heading,level,content>>."""
 
-    ``block_col`` must be a plain column, since it is read by position.
-    """
-    heads = F.filter(F.transform(block_col, lambda b, i: F.when(_is_heading(b), i + 1)), lambda p: p.isNotNull())
-
-    def section(p: Column, k: Column) -> Column:
-        stop = F.coalesce(F.try_element_at(heads, k + 2), F.size(block_col) + 1)
-        head = F.element_at(block_col, p)
-        body = F.transform(F.slice(block_col, p + 1, stop - p - 1), lambda b: b["text"])
+    def section(g: Column) -> Column:
         return F.struct(
-            head["text"].alias("heading"),
-            F.substring(head["tag"], 2, 1).cast("int").alias("level"),
-            F.array_join(body, "\n\n").alias("content"),
+            g["head"]["text"].alias("heading"),
+            F.substring(g["head"]["tag"], 2, 1).cast("int").alias("level"),
+            F.array_join(F.transform(g["items"], lambda b: b["text"]), "\n\n").alias("content"),
         )
 
-    return F.filter(F.transform(heads, section), lambda s: s["content"] != "")
+    return F.filter(F.transform(groups_by_marker(page_blocks, _is_heading), section), lambda s: s["content"] != "")
 
 
 def _attr(tag: Column, name: str) -> Column:
@@ -223,7 +217,7 @@ def extractive_document(doc: Column, limit: int = 220) -> Column:
 
 def child_table(df: DataFrame, page_id: str, name: str) -> DataFrame:
     """One row per section, image, video or table of a structured page."""
-    return df.select(page_id, F.posexplode(F.col("doc")[name]).alias("ord", "item")).select(page_id, "ord", "item.*")
+    return ar.explode_rows(df, page_id, F.col("doc")[name], "item").select(page_id, "ord", "item.*")
 
 
 def document_text(doc: Column, sections: int = 6, images: int = 4, videos: int = 3, tables: int = 3, rows: int = 2) -> Column:

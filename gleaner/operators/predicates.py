@@ -285,7 +285,7 @@ def filter_ocr_lines(
         return tx.let(F.lower(v), lambda low: keep_line(v, low))
 
     def keep_line(v: Column, low: Column) -> Column:
-        slug = v.rlike(tx.SLUG)
+        slug = tx.has_slug(v)
         signal = tx.contains_any(low, signal_tokens) | F.startswith(v, F.lit("命令：")) | slug
         base = (
             (v != "")

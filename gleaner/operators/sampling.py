@@ -71,8 +71,12 @@ def sample_candidates(df: DataFrame, sample_size: int, max_per_family: int) -> D
     rest = usable.join(first.select("source_url"), "source_url", "left_anti")
     rest = top_per_key(rest, ["family"], by_rank, max_per_family)
     rest = rest.join(taken, "family", "left").filter(F.col("rank") + F.coalesce("_taken", F.lit(0)) <= max_per_family)
-    # At most max_per_family rows per family are left; the global order runs over those only.
-    room = rest.join(F.broadcast(total)).withColumn("_n", F.row_number().over(Window.partitionBy("_total").orderBy(*by_rank)))
+    # A distributed top-k leaves sample_size rows; only those are numbered. The single
+    # total is attached by key, so no cross product is formed.
+    best = rest.orderBy(*by_rank).limit(sample_size).withColumn("_one", F.lit(1))
+    room = best.join(total.withColumn("_one", F.lit(1)), "_one").withColumn(
+        "_n", F.row_number().over(Window.partitionBy("_one").orderBy(*by_rank))
+    )
     second = room.filter(F.col("_n") + F.col("_total") <= sample_size).withColumn("_round", F.lit(1))
     keep = [c for c in df.columns]
     both = first.select(*keep, "_round").unionByName(second.select(*keep, "_round"))

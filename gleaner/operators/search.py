@@ -80,11 +80,9 @@ def rank_corpus(
     documents, so the query side is replicated over ``salts`` buckets and the
     document side deals its rows over them; counts are then summed per pair.
     """
-    asked = queries.select(
-        F.col(query_id), F.explode(query_tokens(F.col(query_text), stop)).alias("token")
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = ar.explode_rows(queries, query_id, query_tokens(F.col(query_text), stop), "token").drop("ord").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     words = F.array_distinct(F.regexp_extract_all(tx.text_or_empty(F.col(text)), F.lit(TOKEN), 0))
-    held = corpus.select(F.col(doc_id), F.explode(words).alias("token")).withColumn(
+    held = ar.explode_rows(corpus, doc_id, words, "token").drop("ord").withColumn(
         "salt", F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int")
     )
     hits = asked.join(held, ["token", "salt"]).groupBy(query_id, doc_id).agg(F.count("*").alias("hits"))

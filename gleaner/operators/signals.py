@@ -220,10 +220,11 @@ def has_signals(signals: Column, kinds: Iterable[str] = ("skills", "skill_ids",
 
 def long_form(df: DataFrame, doc_id: str, signals: str = "signals") -> DataFrame:
     """(doc_id, kind, ord, value) rows."""
-    kinds = F.array(
-        *[F.struct(F.lit(k).alias("kind"), F.col(signals)[k].alias("values")) for k in lx.SIGNAL_KINDS]
-    )
-    return (
-        df.select(doc_id, F.explode(kinds).alias("k"))
-        .select(doc_id, F.col("k.kind").alias("kind"), F.posexplode("k.values").alias("ord", "value"))
-    )
+
+    def tagged(kind: str) -> Column:
+        return F.transform(
+            F.col(signals)[kind], lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), v.alias("value"))
+        )
+
+    rows = ar.explode_rows(df, doc_id, F.concat(*[tagged(k) for k in lx.SIGNAL_KINDS]), "s", "n")
+    return rows.select(doc_id, "s.kind", "s.ord", "s.value")

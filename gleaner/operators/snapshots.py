@@ -48,7 +48,7 @@ def parse_lines(snapshot: Column) -> Column:
 
 def read_lines(df: DataFrame, doc_id: str, snapshot: str) -> DataFrame:
     """(doc_id, pos, kind, value, indent) rows."""
-    return df.select(doc_id, F.posexplode(parse_lines(F.col(snapshot))).alias("pos", "l")).select(doc_id, "pos", "l.*")
+    return ar.explode_rows(df, doc_id, parse_lines(F.col(snapshot)), "l", "pos").select(doc_id, "pos", "l.*")
 
 
 def _clean_url(c: Column) -> Column:

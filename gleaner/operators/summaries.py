@@ -16,6 +16,7 @@ from gleaner.operators import lines as ln
 from gleaner.operators import media
 from gleaner.operators import predicates as pr
 from gleaner.operators import profiles, quality, steps
+from gleaner.operators.keyed import keep_where
 from gleaner.operators.lines import first_by_key
 
 #: Lines a rule summary never quotes, and its sentences.
@@ -361,9 +362,8 @@ def normalize_summary(df: DataFrame) -> SummaryParts:
     )
     done = check.withColumn("reject_reasons", ar.take(reasons, 6))
     done = done.drop("_outline", "_prior", "_cand", "_merged", "_acts", "_install", "_facts", "_conclusion", "_check", "s")
-    return SummaryParts(
-        done.filter(F.size("reject_reasons") == 0).drop("reject_reasons"), done.filter(F.size("reject_reasons") > 0)
-    )
+    accepted = keep_where(done, F.size("reject_reasons") == 0).drop("reject_reasons")
+    return SummaryParts(accepted, keep_where(done, F.size("reject_reasons") > 0))
 
 
 def digest_fields(bullets: Column, conclusion: Column, k: int = 3, size_limit: int = 3500) -> Column:
@@ -478,7 +478,7 @@ def compact_lines(text: Column, url: Column, noise: Iterable[str] = ("notificati
             F.when(tx.starts_any(x, labels), F.lit(8)).otherwise(F.lit(0))
             + F.when(F.contains(low, F.lit("github.com/")) | tx.starts_any(x, ("http://", "https://")), F.lit(7)).otherwise(F.lit(0))
             + F.when(F.contains(low, F.lit("/install-skill")) | F.startswith(x, F.lit("命令：")), F.lit(7)).otherwise(F.lit(0))
-            + F.when(x.rlike(tx.SLUG), F.lit(4)).otherwise(F.lit(0))
+            + F.when(tx.has_slug(x), F.lit(4)).otherwise(F.lit(0))
             + F.when(tx.contains_any(x, usage), F.lit(3)).otherwise(F.lit(0))
         )
 
@@ -516,4 +516,4 @@ def compact_lines(text: Column, url: Column, noise: Iterable[str] = ("notificati
 def summary_requirements(df: DataFrame) -> DataFrame:
     """(doc, key, value) rows of what summaries of these items have to mention."""
     values = profiles.required_values(F.col("profile"), F.col("signals"))
-    return df.select("*", F.explode(values).alias("requirement"))
+    return ar.explode_rows(df, df.columns, values, "requirement").drop("ord")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner import lexicons as lx
+from gleaner.config import CostConfig, EngineConfig
 from gleaner.functions import arrays as ar
 from gleaner.functions import text as tx
 from gleaner.functions import urls
@@ -12,13 +13,14 @@ from gleaner.operators import compaction as cp
 from gleaner.operators import cost, evidence, media, pages, profiles, quality, sampling, search, summaries
 from gleaner.operators import predicates as pr
 from gleaner.operators import signals
+from gleaner.operators.keyed import keep_where
 from gleaner.plans import base, sql
 from gleaner.plans.line_queries import _PROF, _PROFILE_SQL, _SIG, signal_table
 from gleaner.plans.registry import query
 
 # --- pages ---------------------------------------------------------------------------
 
-_UNESC = "replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+_UNESC = "replace(replace(replace(replace(replace(replace(replace({c}, '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
 
 
 def _plain(c: str) -> str:
@@ -37,7 +39,7 @@ _BLOCKS = rf"""main AS (SELECT page_id, url, html, regexp_extract(regexp_replace
       kept AS (SELECT *, sum(CAST(starts_with(tag, 'h') AS INT)) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM blocks
           WHERE text <> '' AND NOT {sql.contains_any("lower(text)", lx.PAGE_NOISE_PHRASES)}),
       secs AS (SELECT page_id, g, any_value(text) FILTER (WHERE starts_with(tag, 'h')) AS heading,
-          any_value(CAST(substr(tag, 2, 1) AS INT)) FILTER (WHERE starts_with(tag, 'h')) AS level,
+          any_value(TRY_CAST(substr(tag, 2, 1) AS INT)) FILTER (WHERE starts_with(tag, 'h')) AS level,
           string_agg(text, chr(10) || chr(10) ORDER BY i) FILTER (WHERE NOT starts_with(tag, 'h')) AS content FROM kept GROUP BY page_id, g)"""
 
 
@@ -53,7 +55,7 @@ def page_paragraphs(spark, sf_dir):
     df = base.pages(spark, sf_dir, "page_id", "html")
     main = pages.main_part(pages.without_noise(F.col("html")))
     df = df.withColumn("m", main)
-    return df.select("page_id", F.posexplode(pages.blocks(F.col("m"))).alias("ord", "b")).select(
+    return ar.explode_rows(df, "page_id", pages.blocks(F.col("m")), "b").select(
         "page_id", "ord", "b.tag", "b.text"
     )
 
@@ -163,7 +165,8 @@ def longest_block(spark, sf_dir):
             lambda b, i: F.struct((-F.length(b["text"])).alias("n"), i.alias("i"), b["text"].alias("t")),
         )
     )
-    return df.select("page_id", F.get(ranked, F.lit(0))["t"].alias("longest")).filter("longest IS NOT NULL")
+    df = df.select("page_id", F.get(ranked, F.lit(0))["t"].alias("longest"))
+    return keep_where(df, F.col("longest").isNotNull())
 
 
 @query(
@@ -280,7 +283,7 @@ def weak_source_only(spark, sf_dir):
 def text_assembly(spark, sf_dir):
     df = base.documents(spark, sf_dir, "doc_id", "text")
     blocks = ar.keep_first(F.filter(ar.lines(F.col("text")), lambda x: F.length(x) <= 60))
-    df = df.select("doc_id", blocks.alias("b")).filter(F.size("b") > 0)
+    df = keep_where(df.select("doc_id", blocks.alias("b")), F.size("b") > 0)
     return df.select("doc_id", F.array_join("b", "\n\n").alias("merged"))
 
 
@@ -555,14 +558,14 @@ def signal_coverage(spark, sf_dir):
     "cost_ledger",
     r"""WITH t AS (SELECT doc_id, lang, n_chars, length(regexp_replace(text, '\s+', '', 'g')) AS n FROM documents),
         e AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE greatest(1, CAST(floor(n * 1.05::DOUBLE) AS BIGINT)) END AS tokens FROM t),
-        c AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN greatest(0, n_chars / 60.0::DOUBLE) * 0.006::DOUBLE ELSE 0 END AS asr, tokens / 1000000.0::DOUBLE * 0.15::DOUBLE + 900 / 1000000.0::DOUBLE * 0.6::DOUBLE AS call FROM e)
-        SELECT doc_id, round(asr, 5) AS asr_usd, round(asr + call, 5) AS total_usd, (asr + call) * 7.2::DOUBLE > 0.5 AS over_budget FROM c""",
+        c AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN greatest(0, n_chars / 60.0::DOUBLE) * 0.006::DOUBLE ELSE 0 END AS asr, tokens / 1000000.0::DOUBLE * 0.15037::DOUBLE + 900 / 1000000.0::DOUBLE * 0.6::DOUBLE AS call FROM e)
+        SELECT doc_id, round(asr, 6) AS asr_usd, round(asr + call, 6) AS total_usd, (asr + call) * 7.2::DOUBLE > 0.5 AS over_budget FROM c""",
 )
 def cost_ledger(spark, sf_dir):
     df = base.documents(spark, sf_dir, "doc_id", "text", "lang", "n_chars")
     df = df.select("doc_id", "text", F.col("n_chars").cast("double").alias("duration_seconds"), (F.col("lang") == "fr").alias("has_transcript"))
-    df = cost.cost_ledger(df)
-    return df.select("doc_id", F.round("asr_usd", 5).alias("asr_usd"), F.round("total_usd", 5).alias("total_usd"), "over_budget")
+    prices = EngineConfig(cost=CostConfig(input_usd_per_million=0.15037))
+    return cost.cost_ledger(df, prices).select("doc_id", "asr_usd", "total_usd", "over_budget")
 
 
 @query(
@@ -587,7 +590,7 @@ def cost_totals(spark, sf_dir):
           coalesce((SELECT string_agg(line, ' | ' ORDER BY m) FROM g WHERE g.doc_id = n.doc_id AND m <= 6), 'none') AS bullets FROM n WHERE n.n = 1""",
 )
 def external_text_summary(spark, sf_dir):
-    df = base.documents(spark, sf_dir, "doc_id", "text").filter(F.size(ar.lines(F.col("text"))) > 0)
+    df = base.documents(spark, sf_dir, "doc_id", "text").filter(tx.strip(F.col("text")) != "")
     fallback = F.struct(F.lit("base").alias("title"), F.lit("base").alias("conclusion"), ar.strings("none").alias("bullets"), ar.strings("none").alias("quotes"))
     s = summaries.summary_from_text(F.col("text"), fallback)
     return df.select("doc_id", s.alias("s")).select("doc_id", "s.title", "s.conclusion", F.array_join("s.bullets", " | ").alias("bullets"))
@@ -622,7 +625,7 @@ def compact_lines(spark, sf_dir):
     df = base.documents(spark, sf_dir, "doc_id", "text")
     df = df.withColumn("xs", summaries.compact_lines(F.col("text"), F.lit(""), noise=("license",)))
     strong = F.exists(ar.lines(F.col("text")), lambda x: (F.length(x) >= 20) & ~F.contains(F.lower(x), F.lit("license")))
-    return df.filter(strong).select("doc_id", F.array_join("xs", " | ").alias("lines"))
+    return keep_where(df, strong).select("doc_id", F.array_join("xs", " | ").alias("lines"))
 
 
 # --- search and sampling -------------------------------------------------------------------------

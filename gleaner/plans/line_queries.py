@@ -12,6 +12,7 @@ from gleaner.operators import compaction as cp
 from gleaner.operators import lines as ln
 from gleaner.operators import predicates as pr
 from gleaner.operators import profiles, signals, steps
+from gleaner.operators.keyed import keep_where
 from gleaner.plans import base, sql
 from gleaner.plans.registry import query
 
@@ -23,7 +24,7 @@ def _docs(spark, sf_dir):
 
 
 def _rows(df, key, arr, value="line", ord_name="ord"):
-    return df.select(key, F.posexplode(arr).alias(ord_name, value))
+    return ar.explode_rows(df, key, arr, value, ord_name)
 
 
 @query(
@@ -174,7 +175,7 @@ def heading_slice(spark, sf_dir):
 def fence_filter(spark, sf_dir):
     df = _docs(spark, sf_dir)
     fenced = F.split(F.replace("text", F.lit("The "), F.lit("```\nThe ")), "\n")
-    df = df.select("doc_id", ln.outside_fences(fenced).alias("xs")).filter(F.size("xs") > 0)
+    df = keep_where(df.select("doc_id", ln.outside_fences(fenced).alias("xs")), F.size("xs") > 0)
     chars = F.aggregate("xs", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     return df.select("doc_id", F.size("xs").cast("long").alias("n_lines"), chars.alias("n_chars"))
 
@@ -234,7 +235,7 @@ def compact_evidence(spark, sf_dir):
         _docs(spark, sf_dir), max_lines=24, max_chars=1200, lexicon=_MEDIA, noise=_noise, seed_lines=6, pad_lines=12
     )
     kept = df.select("doc_id", "text", "compact", F.size(F.filter(ar.lines(F.col("text")), lambda x: ~_noise(x))).alias("n"))
-    return kept.filter("n > 0").select("doc_id", "compact.*")
+    return keep_where(kept, F.col("n") > 0).select("doc_id", "compact.*")
 
 
 @query(
@@ -245,7 +246,7 @@ def compact_evidence(spark, sf_dir):
 )
 def compaction_totals(spark, sf_dir):
     df = cp.compact_evidence(_docs(spark, sf_dir), lexicon=_MEDIA, noise=_noise)
-    df = df.filter(F.exists(ar.lines(F.col("text")), lambda x: ~_noise(x)))
+    df = keep_where(df, F.exists(ar.lines(F.col("text")), lambda x: ~_noise(x)))
     names = ("raw_lines", "kept_lines", "raw_chars", "kept_chars")
     return df.agg(
         F.count("*").alias("docs"), *[F.sum(F.col("compact")[n].cast("long")).alias(n) for n in names]
@@ -372,7 +373,7 @@ def enumerated_points(spark, sf_dir):
 def first_k_per_document(spark, sf_dir):
     df = _docs(spark, sf_dir)
     kept = F.filter(ar.lines(F.col("text")), lambda x: F.length(x).between(8, 120))
-    df = df.select("doc_id", ar.take(kept, 5).alias("k")).filter(F.size("k") > 0)
+    df = keep_where(df.select("doc_id", ar.take(kept, 5).alias("k")), F.size("k") > 0)
     return df.select("doc_id", F.array_join("k", " | ").alias("bullets"))
 
 
@@ -496,7 +497,7 @@ def content_profile(spark, sf_dir):
 def profile_requirements(spark, sf_dir):
     df = profiled(spark, sf_dir)
     values = profiles.required_values(F.col("profile"), F.col("signals"))
-    return df.select("doc_id", F.explode(values).alias("r")).select("doc_id", "r.key", "r.value")
+    return ar.explode_rows(df, "doc_id", values, "r").select("doc_id", "r.key", "r.value")
 
 
 @query(
@@ -563,7 +564,7 @@ def order_preserved(spark, sf_dir):
     """Do the points of an item, ordered by length, keep their original order?"""
     df = base.read_table(spark, sf_dir, "benchmark")
     points = F.filter(F.transform(F.split("text", r"\. "), lambda x: F.trim(x)), lambda x: x != "")
-    df = df.select("item_id", F.posexplode(points).alias("i", "point"))
+    df = ar.explode_rows(df, "item_id", points, "point", "i")
     w = Window.partitionBy("item_id")
     df = df.withColumn("j", F.row_number().over(w.orderBy(F.length("point"), "i")))
     df = df.withColumn("before", F.lag("j").over(w.orderBy("i")))
