@@ -93,7 +93,8 @@ def _from_first(xs: Column, flags: Column, keep: bool) -> Column:
     return F.when(at > 0, ar.skip(xs, at - (1 if keep else 0))).otherwise(F.slice(xs, 1, 0))
 
 
-def _until_first(xs: Column, flags: Column) -> Column:
+def until_first(xs: Column, flags: Column) -> Column:
+    """Items before the first raised flag."""
     at = F.array_position(flags, F.lit(True)).cast("int")
     return F.when(at > 0, ar.take(xs, at - 1)).otherwise(xs)
 
@@ -102,13 +103,13 @@ def section_slice(raw: Column, heading: str) -> Column:
     """Lines between a ``## heading`` line and the next ``## `` line."""
     trimmed = F.transform(raw, lambda x: tx.strip(x))
     rest = tx.let(trimmed, lambda xs: _from_first(xs, F.transform(xs, lambda x: x == heading), keep=False))
-    return tx.let(rest, lambda xs: _until_first(xs, F.transform(xs, lambda x: F.startswith(x, F.lit("## ")))))
+    return tx.let(rest, lambda xs: until_first(xs, F.transform(xs, lambda x: F.startswith(x, F.lit("## ")))))
 
 
 def between_markers(arr: Column, is_start: Callable[[Column], Column], is_stop: Callable[[Column], Column]) -> Column:
     """Items from the first start (included) up to the first stop behind it."""
     rest = tx.let(arr, lambda xs: _from_first(xs, F.transform(xs, is_start), keep=True))
-    return tx.let(rest, lambda xs: _until_first(xs, F.transform(xs, is_stop)))
+    return tx.let(rest, lambda xs: until_first(xs, F.transform(xs, is_stop)))
 
 
 def unique_ratio(c: Column) -> Column:

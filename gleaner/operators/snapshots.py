@@ -21,7 +21,7 @@ HEADING = r'heading "([^"]+)"'
 
 
 def parse_lines(snapshot: Column) -> Column:
-    """array<struct<kind,value,indent>> in log order. ``kind`` is url, text, link, heading, node or other."""
+    """array<struct<kind,value,indent>> in log order. ``kind`` is url, text, link, heading, code, paragraph, node or other."""
 
     def parse(raw: Column) -> Column:
         line = tx.strip(raw)
@@ -33,9 +33,9 @@ def parse_lines(snapshot: Column) -> Column:
             "code": F.nullif(F.regexp_extract(line, r"- code\b.*?:\s*(.+)$", 1), F.lit("")),
             "node": F.nullif(F.regexp_extract(line, NODE, 1), F.lit("")),
         }
-        bare = F.startswith(line, F.lit("- paragraph"))
+        # A paragraph line may carry its text inline; either way it opens a paragraph.
         kind = F.coalesce(
-            F.when(bare & found["node"].isNull(), F.lit("paragraph")),
+            F.when(F.startswith(line, F.lit("- paragraph")), F.lit("paragraph")),
             *[F.when(v.isNotNull(), F.lit(k)) for k, v in found.items()],
             F.lit("other"),
         )
@@ -60,7 +60,7 @@ def snapshot_text(snapshot: Column) -> Column:
 
     def body(entries: Column) -> Column:
         texts = F.transform(
-            F.filter(entries, lambda e: e["kind"].isin("text", "node")),
+            F.filter(entries, lambda e: e["kind"].isin("text", "node", "paragraph")),
             lambda e: F.struct(tx.normalize(e["value"]).alias("v"), e["kind"].alias("k")),
         )
         kept = F.filter(
@@ -149,12 +149,12 @@ def snapshot_comments(snapshot: Column, owner: Column, limit: int = 5) -> Column
         pieces = F.filter(ar.take(g["items"], (cut - 1).cast("int")), lambda e: e["kind"].isin("text", "link"))
         behind = ar.skip(g["items"], (cut - 1).cast("int"))
         return F.struct(
-            tx.normalize(F.array_join(F.transform(pieces, lambda e: e["value"]), "")).alias("text"),
+            tx.normalize(F.concat(g["head"]["value"], F.array_join(F.transform(pieces, lambda e: e["value"]), ""))).alias("text"),
             _last(F.transform(behind, _author_name)).alias("next_author"),
         )
 
     def remarks(entries: Column, groups: Column) -> Column:
-        lead = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, 1, i + 1), is_paragraph))
+        lead = ln.until_first(entries, F.transform(entries, is_paragraph))
         names = F.concat(F.array(_last(F.transform(lead, _author_name))), F.transform(groups, lambda g: g["next_author"]))
         authored = tx.let(
             names,
@@ -182,7 +182,7 @@ def tutorial_text(snapshot: Column, start: Iterable[str], stop: Iterable[str], l
         lambda e: tx.contains_any(e["value"], stop),
     )
     lines = F.transform(
-        F.filter(area, lambda e: e["kind"].isin("heading", "text", "code", "node")),
+        F.filter(area, lambda e: e["kind"].isin("heading", "text", "code", "node", "paragraph")),
         lambda e: F.when(e["kind"] == "code", F.concat(F.lit("命令："), tx.normalize(e["value"]))).otherwise(
             tx.normalize(e["value"])
         ),

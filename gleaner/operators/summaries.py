@@ -349,8 +349,8 @@ def normalize_summary(df: DataFrame) -> SummaryParts:
         F.when(noted, F.concat(tx.rstrip(F.col("_conclusion"), "。"), F.lit("，当前证据不完整。"))).otherwise(F.col("_conclusion")),
     )
     # Requirements are looked up in everything the summary says, its source included.
-    check = df.withColumn("title", F.concat_ws("\n", "summary_title", "source_url"))
-    check = quality.signal_coverage(check, "_check").withColumn("title", df["title"] if "title" in df.columns else F.lit(None))
+    check = df.withColumns({"_given_title": F.col("title"), "title": F.concat_ws("\n", "summary_title", "source_url")})
+    check = quality.signal_coverage(check, "_check").withColumn("title", F.col("_given_title")).drop("_given_title")
     reasons = F.concat(
         F.when(conclusion == "", ar.strings("missing conclusion")).otherwise(ar.empty_strings()),
         F.when(F.size("bullets") == 0, ar.strings("missing bullets")).otherwise(ar.empty_strings()),

@@ -70,11 +70,18 @@ def replay(spark: SparkSession, folder: str, job: Callable[[DataFrame], DataFram
 def fresh_cache_hits(requests: DataFrame, cache: DataFrame, cfg: CacheConfig = CacheConfig()) -> DataFrame:
     """Stream-static join with the cache: entries within the TTL, one row per URL in the cache."""
     entries = cache.select(
-        F.col("source_url").alias("_key"), F.col("created_at").cast("timestamp").alias("_at"), "fingerprint", "summary"
+        F.col("source_url").alias("_key"),
+        F.col("created_at").cast("timestamp").alias("_at"),
+        F.col("fingerprint").alias("_fp"),
+        F.col("summary").alias("_summary"),
     )
     keyed = requests.withColumn("_key", urls.canonical_url(F.col("source_url")))
-    fresh = F.col("_at") >= F.current_timestamp() - F.make_interval(hours=F.lit(max(1, cfg.ttl_hours)))
-    return keyed.join(entries, (keyed["_key"] == entries["_key"]) & fresh, "left").drop("_key", "_at")
+    joined = keyed.join(entries, "_key", "left")
+    age = F.unix_micros(F.current_timestamp()) - F.unix_micros("_at")
+    fresh = age <= max(1, cfg.ttl_hours) * 3_600_000_000
+    return joined.withColumns(
+        {"fingerprint": F.when(fresh, F.col("_fp")), "summary": F.when(fresh, F.col("_summary"))}
+    ).drop("_key", "_at", "_fp", "_summary")
 
 
 def first_cases(cases: DataFrame) -> DataFrame:
