@@ -67,7 +67,7 @@ COMMAND_PREFIXES = (
     "bash ", "sh ",
 )
 COMMAND_PIPE_TOOLS = ("iwr", "curl", "wget", "npm", "python")
-STEP_COMMAND_STOPWORDS = ("clawdbot", "moltbot", "claude", "win", "enter", '"yes"', "yes")
+STEP_COMMAND_STOPWORDS = ("claude", "win", "enter", '"yes"', "yes")
 STEP_COMMAND_PROSE = ("方法", "用法", "说明", "安装后", "直接用", "报告结构")
 
 # --- fixed values: links and repositories ------------------------------------

@@ -9,13 +9,11 @@ from gleaner import lexicons as lx
 from gleaner.config import CacheConfig
 from gleaner.functions import arrays as ar
 from gleaner.functions import text as tx
-from gleaner.functions import times as tm
 from gleaner.functions import urls
 from gleaner.operators import compaction as cp
 from gleaner.operators import predicates as pr
 from gleaner.operators import profiles, signals
-from gleaner.operators.keyed import distinct_last, salted_lookup
-from gleaner.operators.lines import first_by_key
+from gleaner.operators.keyed import distinct_last, salted_lookup, top_per_key
 
 #: Notices shown instead of a blocked page.
 NOTICES = {
@@ -114,19 +112,23 @@ def repo_lines(name: Column, url: Column, description: Column, readme: Column) -
 def merge_sources(*tables: DataFrame, key: str = "doc_id", limit: int = 20) -> DataFrame:
     """Union of (doc, pos, source) tables to one distinct, ordered source list per doc.
 
-    Names are reduced to their first position before they are collected.
+    Names are reduced to their first position, and to the first ``limit`` names per
+    doc, before they are collected.
     """
     union = tables[0]
     for t in tables[1:]:
         union = union.unionByName(t)
     first = union.filter(F.trim("source") != "").groupBy(key, "source").agg(F.min("pos").alias("pos"))
+    first = top_per_key(first, [key], [F.col("pos").asc(), F.col("source").asc()], limit)
     packed = F.sort_array(F.collect_list(F.struct("pos", "source")))
     return first.groupBy(key).agg(ar.take(F.transform(packed, lambda e: e["source"]), limit).alias("evidence_sources"))
 
 
-def fingerprint(df: DataFrame, version: str = "1") -> Column:
-    """SHA-256 over what a summary depends on. Whole texts count, not prefixes."""
-    del df
+def fingerprint(version: str = "1") -> Column:
+    """SHA-256 over what a summary depends on. Whole texts count, not prefixes.
+
+    Reads ``source_url, evidence_type, coverage, text, transcript, tracks``.
+    """
     payload = F.struct(
         urls.canonical_url(F.col("source_url")).alias("source_url"),
         F.col("evidence_type"),
@@ -179,10 +181,3 @@ def match_pages(requests: DataFrame, pages: DataFrame, request_id: str, page_url
     hits = r.join(p, ["prio", "key"])
     return hits.groupBy(request_id).agg(F.min_by(page_url, "prio").alias(page_url), F.min("prio").alias("match_pass"))
 
-
-def latest_utc(c: Column) -> Column:
-    return tm.parse_utc(c)
-
-
-def distinct_lines(text: Column) -> Column:
-    return first_by_key(ar.lines(text), tx.token)

@@ -14,7 +14,6 @@ from gleaner.functions import times as tm
 from gleaner.operators import compaction as cp
 from gleaner.operators import predicates as pr
 from gleaner.operators import profiles, signals
-from gleaner.operators.lines import first_by_key
 
 # --- fixed values: story vocabularies and sentences ---------------------------------
 FINANCE = ("股票", "股市", "自选股", "开盘", "买入", "持有", "量化", "交易", "行情")
@@ -365,6 +364,3 @@ def outline_recall(df: DataFrame, out: str = "outline") -> DataFrame:
     )
     return df.withColumn(out, result).drop("_b", "_c", "_m", "_raw")
 
-
-def distinct_remarks(arr: Column, limit: int = 5) -> Column:
-    return ar.take(first_by_key(F.transform(ar.or_empty(arr), tx.normalize), lambda x: x), limit)

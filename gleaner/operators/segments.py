@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import arrays as ar
 from gleaner.functions import text as tx
 from gleaner.functions import times as tm
+from gleaner.operators.keyed import distinct_first, top_per_key
 from gleaner.operators.lines import first_by_key
 
 #: Fields a transcript payload may have. Values arrive as text, whatever they were.
@@ -138,6 +139,21 @@ def normalize_segments(segments: Column, max_seconds: float = 0.0, limit: int =
     return ar.take(first_by_key(kept, lambda s: s["text"]), limit)
 
 
+def normalize_segment_rows(rows: DataFrame, key: str, max_seconds: float = 0.0, limit: int = 1200) -> DataFrame:
+    """The same rule on a long table (key, ord, start, end, text).
+
+    For segments that do not sit in one row: the first of equal texts is a partial
+    aggregation and the limit a ranked filter, so a very long transcript never has
+    to meet in one task.
+    """
+    df = rows.withColumn("text", clean_caption(F.col("text"))).filter("text <> ''")
+    if max_seconds > 0:
+        df = df.filter(F.col("start") < max_seconds)
+    df = df.withColumns({"start": F.round("start", 3), "end": F.round("end", 3)})
+    first = distinct_first(df.withColumn("_o", F.col("ord")), [key, "text"], ["_o"]).drop("_o")
+    return top_per_key(first, [key], [F.col("ord").asc()], limit).drop("rank")
+
+
 def timeline(segments: Column, limit: int = 300) -> Column:
     lines = F.transform(segments, lambda s: F.concat(F.lit("["), tm.clock_label(s["start"]), F.lit("] "), s["text"]))
     return ar.take(lines, limit)

@@ -29,10 +29,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Both keys are unique, so the join has no hot key.
     """
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
     urls = read_table(spark, sf_dir, "pages", F.col("page_id").alias("doc_id"), F.col("url").alias("source_url"))
     joined = docs.join(urls, "doc_id", "left")
     text = F.when(F.col("source_url").isNull(), F.col("text")).otherwise(F.concat("source_url", F.lit("\n"), "text"))
-    return spread(
-        joined.select("doc_id", kind_of_source().alias("source_kind"), "source_url", "lang", "source", text.alias("text"))
+    return joined.select(
+        "doc_id", kind_of_source().alias("source_kind"), "source_url", "lang", "source", text.alias("text")
     )

@@ -15,7 +15,7 @@ from gleaner.operators import predicates as pr
 from gleaner.operators import signals
 from gleaner.operators.keyed import keep_where
 from gleaner.plans import base, sql
-from gleaner.plans.line_queries import _PROF, _PROFILE_SQL, _SIG, signal_table
+from gleaner.plans.line_queries import _MEDIA, _PROF, _PROFILE_SQL, _SIG, _compact_sql, _noise, signal_table
 from gleaner.plans.registry import query
 
 # --- pages ---------------------------------------------------------------------------
@@ -188,22 +188,35 @@ def document_summary(spark, sf_dir):
 
 
 def capture_table(spark, sf_dir):
-    """Pages to gated and profiled evidence."""
+    """Pages to gated and profiled evidence, in one narrow map over the scan."""
     df = structured(spark, sf_dir)
     df = df.select(
         "page_id", urls.canonical_url(F.col("url")).alias("source_url"), F.lit("url").alias("source_kind"),
         F.col("doc.title").alias("title"), F.col("doc.main_text").alias("body"),
     )
-    df = cp.compact_evidence(df, "body", "compact", max_chars=1200)
+    df = cp.compact_evidence(df, "body", "compact", max_chars=1200, lexicon=_MEDIA, noise=_noise)
     df = df.withColumns({"text": F.col("compact.text"), "evidence_sources": F.array(F.lit("web_html_document"))})
-    df = profiles.finalize_evidence(signals.extract_signals(df))
+    df = signals.extract_signals(df, lexicon=_SIG)
+    profile = profiles.infer_profile(
+        F.col("source_kind"), F.col("source_url"), F.col("text"), F.col("signals"), F.lit(False), _PROF
+    )
     gate = pr.evidence_gate(
         F.col("source_kind"), F.col("text"), F.col("source_url"), signals.has_signals(F.col("signals")), F.col("evidence_sources")
     )
-    return df.withColumn("passes", gate)
+    return df.withColumns({"profile": profile, "passes": gate})
+
+
+_CAPTURE_DOCS = f"""{_BLOCKS}, docs AS (SELECT page_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text FROM kept GROUP BY page_id), """
 
 
-@query("capture_overview")
+@query(
+    "capture_overview",
+    f"""WITH c AS ({_compact_sql(36, 220, 80, 1200, 240, "docs", _CAPTURE_DOCS)}),
+        p AS (SELECT c.*, lower(c.text) AS low, lower(p.url) AS url FROM c JOIN pages p ON p.page_id = c.doc_id),
+        k AS (SELECT *, CASE WHEN {sql.contains_any("low", _PROF.skill)} THEN 'skill_recommendation' WHEN {sql.contains_any("low", _PROF.install)} THEN 'installation_tutorial'
+          WHEN contains(url, '/de/') OR {sql.contains_any("low", _PROF.project)} THEN 'project_overview' ELSE 'general_capture' END AS profile FROM p)
+        SELECT profile, count(*) AS n_pages, count(*) FILTER (WHERE length(text) >= 80) AS n_passed, CAST(sum(kept_chars) AS BIGINT) AS kept_chars FROM k GROUP BY profile""",
+)
 def capture_overview(spark, sf_dir):
     """Per profile: pages, pages that pass the gate, kept characters."""
     df = capture_table(spark, sf_dir)
@@ -353,9 +366,9 @@ _TRACKS = """tr AS (SELECT d.doc_id, d.text, length(d.text) AS n, d.lang = 'en'
 
 
 def track_table(spark, sf_dir):
-    docs = base.read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    docs = base.documents(spark, sf_dir, "doc_id", "text", "lang", "source")
     labels = base.read_table(spark, sf_dir, "labels", "doc_id", "toxic")
-    df = base.spread(docs.join(labels, "doc_id", "left"))
+    df = docs.join(labels, "doc_id", "left")
     tracks = F.struct(
         (F.col("lang") == "en").alias("has_subtitle"), (F.col("lang") == "fr").alias("has_transcript"),
         (F.col("lang") == "de").alias("has_keyframes"), (F.coalesce("toxic", F.lit(0)) == 1).alias("has_keyframe_ocr"),
@@ -664,6 +677,24 @@ def search_merge(spark, sf_dir):
     return search.merge_results(rows, limit=3).select("case_id", "url", "rank")
 
 
+@query(
+    "search_enrichment",
+    """WITH r AS (SELECT user_id AS case_id, event_id AS ord, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events),
+        k AS (SELECT r.*, p.url FROM r LEFT JOIN pages p ON p.page_id = r.ord % 500 WHERE rank <= 5)
+        SELECT case_id, rank, CASE WHEN rank <= 2 THEN length(p.html) END AS page_chars FROM k LEFT JOIN pages p ON p.page_id = k.ord % 500""",
+)
+def search_enrichment(spark, sf_dir):
+    """Page text for the first two of five results per case."""
+    from gleaner.operators.keyed import top_per_key
+
+    ev = base.read_table(spark, sf_dir, "events", "event_id", "user_id")
+    results = top_per_key(ev.withColumnRenamed("user_id", "case_id"), ["case_id"], [F.col("event_id").asc()], 5)
+    results = results.withColumn("url", (F.col("event_id") % 500).cast("string"))
+    texts = base.read_table(spark, sf_dir, "pages", F.col("page_id").cast("string").alias("url"), F.col("html").alias("page_text"))
+    out = search.enrich_results(results, texts)
+    return out.select("case_id", "rank", F.length("page_text").alias("page_chars"))
+
+
 @query(
     "search_queries",
     r"""WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)), '^www\.', '') AS host, regexp_extract_all(url, '[A-Za-z0-9][A-Za-z0-9._-]{1,}') AS ws FROM pages),

@@ -201,8 +201,7 @@ _NOISE_SQL = rf"""(line = 'And ornd.' OR starts_with(line, '#') OR regexp_matche
       OR contains(line, 'disgusting') OR {sql.starts_any("line", _QUIET_PREFIX)})"""
 _NORM = sql.strip(r"regexp_replace(line, '[ \t]+', ' ', 'g')")
 
-_ENTRIES_SQL = f"""{_LINES},
-      norm AS (SELECT doc_id, pos, {_NORM} AS line FROM lines),
+_ENTRIES_SQL = f"""norm AS (SELECT doc_id, pos, {_NORM} AS line FROM lines),
       uniq AS (SELECT doc_id, pos, line, lower({sql.squash("line")}) AS k,
                  row_number() OVER (PARTITION BY doc_id, lower({sql.squash("line")}) ORDER BY pos) AS rn FROM norm),
       scored AS (SELECT doc_id, pos, line, {_SCORE_SQL} AS score, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n
@@ -210,20 +209,20 @@ _ENTRIES_SQL = f"""{_LINES},
                  AND NOT regexp_matches(line, '^\\d{{1,2}}:\\d{{2}}$'))"""
 
 
-def _compact_sql(seed: int, max_lines: int, pad: int, budget: int, clip: int) -> str:
-    return f"""WITH {_ENTRIES_SQL},
+def _compact_sql(seed: int, max_lines: int, pad: int, budget: int, clip: int, table: str = "documents", before: str = "") -> str:
+    return f"""WITH {before}{sql.lines(table)}, {_ENTRIES_SQL},
       strong AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n > {seed}, score >= 2 ORDER BY score DESC, pos) AS sr,
                    row_number() OVER (PARTITION BY doc_id, n > {seed}, score >= 2 ORDER BY pos) AS wr FROM scored),
       sizes AS (SELECT doc_id, least({max_lines}, count(*) FILTER (WHERE n <= {seed})
                  + least({max_lines} - {seed}, count(*) FILTER (WHERE n > {seed} AND score >= 2))) AS have FROM strong GROUP BY doc_id),
-      kept AS (SELECT s.* FROM strong s JOIN sizes z USING (doc_id)
+      chosen AS (SELECT s.* FROM strong s JOIN sizes z USING (doc_id)
                WHERE n <= {seed} OR (score >= 2 AND sr <= {max_lines - seed}) OR (score < 2 AND wr <= greatest(0, {min(pad, max_lines)} - have))),
       pieces AS (SELECT doc_id, {sql.clip("line", clip)} AS piece,
                  row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN score >= 10 THEN 0 WHEN score >= 6 THEN 1 ELSE 2 END,
-                                    CASE WHEN score >= 10 THEN -score ELSE 0 END, pos) AS o FROM kept),
+                                    CASE WHEN score >= 10 THEN -score ELSE 0 END, pos) AS o FROM chosen),
       used AS (SELECT *, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY o ROWS UNBOUNDED PRECEDING) - 1 AS u FROM pieces),
       fit AS (SELECT doc_id, string_agg(piece, chr(10) ORDER BY o) AS text, count(*) AS kept_lines FROM used WHERE u <= {budget} GROUP BY doc_id),
-      raw_stats AS (SELECT d.doc_id, {sql.strip("d.text")} AS whole, (SELECT count(*) FROM lines l WHERE l.doc_id = d.doc_id) AS raw_lines FROM documents d)
+      raw_stats AS (SELECT d.doc_id, {sql.strip("d.text")} AS whole, (SELECT count(*) FROM lines l WHERE l.doc_id = d.doc_id) AS raw_lines FROM {table} d)
       SELECT r.doc_id, coalesce(f.text, '') AS text, r.raw_lines, coalesce(f.kept_lines, 0) AS kept_lines,
              length(r.whole) AS raw_chars, length(coalesce(f.text, '')) AS kept_chars
       FROM raw_stats r LEFT JOIN fit f USING (doc_id) WHERE r.doc_id IN (SELECT doc_id FROM scored)"""
@@ -438,6 +437,25 @@ def _keyword_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+_KEYWORD_ROWS = f"""k AS (SELECT *, lower(line) AS low FROM lines WHERE length(line) BETWEEN 6 AND 220),
+      h AS ({_keyword_sql()}), f AS (SELECT doc_id, kind, line, min(pos) AS pos FROM h GROUP BY ALL),
+      o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY pos) AS n FROM f)"""
+
+
+@query(
+    "signal_counts",
+    rf"""WITH {sql.REQUESTS}, {sql.lines("requests")}, {_KEYWORD_ROWS},
+        u AS (SELECT doc_id, rtrim(regexp_extract(text, 'https?://[A-Za-z0-9\-._~:/?#\[\]@!$&''()*+,;=%]+'), ')]}}>,.;，。；：') AS u FROM requests),
+        t AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '#([A-Za-z0-9_\-\x{{4e00}}-\x{{9fff}}]{{2,30}})', 1)) AS ts FROM requests)
+        SELECT kind, count(*) AS n_values FROM o WHERE n <= 6 GROUP BY kind
+        UNION ALL SELECT 'links', count(*) FROM u WHERE contains(u, '/en/') OR ((contains(u, 'example.org') OR contains(u, 'blog.')) AND NOT contains(u, 'spam-farm.'))
+        UNION ALL SELECT 'hashtags', CAST(sum(least(len(ts), 10)) AS BIGINT) FROM t""",
+)
+def signal_counts(spark, sf_dir):
+    """Rows per signal kind; kinds that the data never shows must stay absent."""
+    return signals.long_form(signal_table(spark, sf_dir), "doc_id").groupBy("kind").agg(F.count("*").alias("n_values"))
+
+
 @query(
     "keyword_line_signals",
     f"""WITH {sql.REQUESTS}, {sql.lines("requests")}, k AS (SELECT *, lower(line) AS low FROM lines WHERE length(line) BETWEEN 6 AND 220),
@@ -450,14 +468,6 @@ def keyword_line_signals(spark, sf_dir):
     return df.filter(F.col("kind").isin(*_SIG.keyword_lines))
 
 
-@query(
-    "signal_counts",
-    None,
-)
-def signal_counts(spark, sf_dir):
-    """Rows per signal kind with the default vocabularies."""
-    df = signals.extract_signals(base.requests(spark, sf_dir))
-    return signals.long_form(df, "doc_id").groupBy("kind").agg(F.count("*").alias("n_values"))
 
 
 _PROF = lx.ProfileLexicon(skill=("licens",), install=("token", "555-"), project=("@mail", "trash"), project_hosts=("/de/",))

@@ -6,6 +6,9 @@ one, and exact copies of a text are duplicates.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleaner.functions import arrays as ar
@@ -15,6 +18,9 @@ from gleaner.operators import cases, notes
 from gleaner.operators import predicates as pr
 from gleaner.plans import base, sql
 from gleaner.plans.registry import query
+from gleaner.session import checkpoint_dir
+from gleaner.sources import writers
+from gleaner.streaming import ledger
 
 _NOTES = """notes AS (
       SELECT d.doc_id, 'Inbox/' || lpad(CAST(d.doc_id AS VARCHAR), 8, '0') || '.md' AS note, d.source AS primary_topic, d.lang AS secondary,
@@ -311,22 +317,41 @@ def set_differences(spark, sf_dir):
     return df.select("user_id", m.alias("m")).select("user_id", *[F.array_join(f"m.{n}", ",").alias(n) for n in ("matched", "missing", "extra")])
 
 
-@query(
-    "job_ledger",
-    """WITH p AS (SELECT user_id AS job_id, event_id, event_type, value FROM events),
+_LEDGER_SQL = """WITH p AS (SELECT user_id AS job_id, event_id, event_type, value FROM events),
         a AS (SELECT job_id, count(*) AS n_events, count(DISTINCT event_type) FILTER (WHERE event_type = 'error' OR value > 60) AS n_warnings,
               arg_max(event_type, event_id) AS last_type FROM p GROUP BY job_id)
-        SELECT job_id, n_events, CASE WHEN last_type = 'error' THEN 'failed' WHEN n_warnings > 0 THEN 'completed_with_warnings' ELSE 'done' END AS status FROM a""",
-)
-def job_ledger(spark, sf_dir):
-    """Final status per job from its phase events, by partial aggregation."""
-    from gleaner.streaming import ledger
+        SELECT job_id, n_events, CASE WHEN last_type = 'error' THEN 'failed' WHEN n_warnings > 0 THEN 'completed_with_warnings' ELSE 'done' END AS status FROM a"""
 
-    ev = base.read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
-    events = ev.select(
+
+def _phase_events(ev):
+    return ev.select(
         F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.lit("extract").alias("phase"),
         F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("state"),
         F.when((F.col("event_type") == "error") | (F.col("value") > 60), F.col("event_type")).alias("warning"),
     )
-    out = ledger.final_ledger(events)
-    return out.select("job_id", "n_events", "status")
+
+
+@query("job_ledger", _LEDGER_SQL)
+def job_ledger(spark, sf_dir):
+    """Final status per job from its phase events, by partial aggregation."""
+    ev = base.read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
+    return ledger.final_ledger(_phase_events(ev)).select("job_id", "n_events", "status")
+
+
+@query("job_ledger_stream", _LEDGER_SQL)
+def job_ledger_stream(spark, sf_dir):
+    """The same ledger from the stateful stream over the event files."""
+    folder = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="spark-ledger-")
+    run = f"{folder.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    schema = base.read_table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    query_run = (
+        ledger.stream_ledger(_phase_events(events))
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda batch, number: writers.upsert(batch, f"{run}/out", number))
+        .option("checkpointLocation", f"{run}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query_run.awaitTermination()
+    return writers.read_latest(spark, f"{run}/out", ["job_id"]).select("job_id", "n_events", "status")

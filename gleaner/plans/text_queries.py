@@ -544,9 +544,63 @@ def array_first_wins(spark, sf_dir):
 
 @query(
     "evidence_fingerprint",
-    rf"""WITH {sql.REQUESTS}, f AS (SELECT doc_id, source_kind || '|' || {sql.squash("text")} AS body FROM requests)
-        SELECT doc_id, sha256(body) AS fingerprint FROM f""",
+    rf"""WITH {sql.REQUESTS} SELECT doc_id, min(doc_id) OVER (PARTITION BY source_kind, {sql.squash("regexp_replace(text, '^https?://[^ ' || chr(10) || ']*' || chr(10), '')")}) AS first_doc FROM requests""",
 )
 def evidence_fingerprint(spark, sf_dir):
+    """First document with the same fingerprint: equal content, and only that, shares one."""
+    from gleaner.operators import evidence
+
     df = base.requests(spark, sf_dir)
-    return df.select("doc_id", F.sha2(F.concat_ws("|", "source_kind", tx.squash(F.col("text"))), 256).alias("fingerprint"))
+    df = df.select(
+        "doc_id", F.lit(None).cast("string").alias("source_url"), F.col("source_kind").alias("evidence_type"), F.lit("full").alias("coverage"),
+        F.regexp_replace("text", r"^https?://[^ \n]*\n", "").alias("text"), F.lit("").alias("transcript"), F.lit(None).cast("string").alias("tracks"),
+    )
+    df = df.select("doc_id", evidence.fingerprint().alias("fp"))
+    firsts = df.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
+    return df.join(firsts, "fp").select("doc_id", "first_doc")
+
+
+@query(
+    "item_flags",
+    f"""WITH {sql.REQUESTS} SELECT doc_id,
+        source_kind = 'video_url' OR {sql.contains_any("lower(text)", ("licensed", "token"))} OR contains(lower(coalesce(source_url, '')), 'cloud.tencent.com/developer/article') AS tutorial,
+        {sql.contains_any("lower(text)", ("gateway", "trash"))} AS installs,
+        source_kind = 'video_url' OR contains(lower(coalesce(source_url, '')), '/fr/') AS video,
+        source_url IS NOT NULL AND NOT (source_kind = 'video_url' AND doc_id % 3 = 0) AS cacheable,
+        CASE WHEN doc_id % 2 = 0 THEN 'group_chat' ELSE 'direct_chat' END AS chat_target, source_url IS NOT NULL AS has_url
+        FROM requests""",
+)
+def item_flags(spark, sf_dir):
+    df = base.requests(spark, sf_dir)
+    profile = F.when(F.col("source_kind") == "video_url", "installation_tutorial").otherwise("general_capture")
+    no = F.lit(False)
+    gate = F.when(F.col("doc_id") % 3 == 0, ar.strings("short")).otherwise(ar.empty_strings())
+    chat = F.when(F.col("doc_id") % 2 == 0, F.lit(" -100")).otherwise(F.lit("100"))
+    context = pr.entry_context(
+        chat, F.lit(""), F.lit(""), F.col("source_kind"), F.col("source_url"), F.col("text"), ar.empty_strings()
+    )
+    return df.select(
+        "doc_id",
+        pr.is_tutorial(profile, F.col("text"), F.col("source_url"), no, no, ("licensed", "token")).alias("tutorial"),
+        pr.is_install(F.col("text"), tokens=("gateway", "trash")).alias("installs"),
+        pr.is_video(F.col("source_kind"), F.col("source_url"), ("/fr/",)).alias("video"),
+        pr.cache_eligible(F.col("source_url"), F.col("source_kind"), gate, no).alias("cacheable"),
+        context["chat_target"].alias("chat_target"),
+        context["has_source_url"].alias("has_url"),
+    )
+
+
+@query(
+    "segments_normalized",
+    f"""WITH s AS (SELECT conv_id, turn, turn * 7.5 AS start, {sql.squash("text")} AS text FROM conversations WHERE turn * 7.5 < 40),
+        f AS (SELECT conv_id, text, min(turn) AS ord, arg_min(start, turn) AS start FROM s WHERE text <> '' GROUP BY conv_id, text)
+        SELECT conv_id, ord, CAST(start AS DOUBLE) AS start, text FROM f""",
+)
+def segments_normalized(spark, sf_dir):
+    """Turns as transcript segments of 7.5 seconds with a horizon."""
+    from gleaner.operators import segments
+
+    df = base.read_table(spark, sf_dir, "conversations")
+    start = F.col("turn") * 7.5
+    rows = df.select("conv_id", F.col("turn").alias("ord"), start.alias("start"), (start + 7.5).alias("end"), "text")
+    return segments.normalize_segment_rows(rows, "conv_id", 40.0).select("conv_id", "ord", "start", "text")

@@ -15,7 +15,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores when a scan has fewer splits than the cluster has cores.
 
     Text rules are CPU-bound. A table in one small file is one task; only then the
-    rows are dealt out evenly. Large tables have more splits and stay untouched.
+    rows are dealt out evenly. Large tables have more splits and stay untouched. Only
+    call this on a scan: counting the splits of a join would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
