@@ -217,10 +217,10 @@ def _compact_sql(seed: int, max_lines: int, pad: int, budget: int, clip: int, ta
                  + least({max_lines} - {seed}, count(*) FILTER (WHERE n > {seed} AND score >= 2))) AS have FROM strong GROUP BY doc_id),
       chosen AS (SELECT s.* FROM strong s JOIN sizes z USING (doc_id)
                WHERE n <= {seed} OR (score >= 2 AND sr <= {max_lines - seed}) OR (score < 2 AND wr <= greatest(0, {min(pad, max_lines)} - have))),
-      pieces AS (SELECT doc_id, {sql.clip("line", clip)} AS piece,
+      cut_lines AS (SELECT doc_id, {sql.clip("line", clip)} AS piece,
                  row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN score >= 10 THEN 0 WHEN score >= 6 THEN 1 ELSE 2 END,
                                     CASE WHEN score >= 10 THEN -score ELSE 0 END, pos) AS o FROM chosen),
-      used AS (SELECT *, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY o ROWS UNBOUNDED PRECEDING) - 1 AS u FROM pieces),
+      used AS (SELECT *, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY o ROWS UNBOUNDED PRECEDING) - 1 AS u FROM cut_lines),
       fit AS (SELECT doc_id, string_agg(piece, chr(10) ORDER BY o) AS text, count(*) AS kept_lines FROM used WHERE u <= {budget} GROUP BY doc_id),
       raw_stats AS (SELECT d.doc_id, {sql.strip("d.text")} AS whole, (SELECT count(*) FROM lines l WHERE l.doc_id = d.doc_id) AS raw_lines FROM {table} d)
       SELECT r.doc_id, coalesce(f.text, '') AS text, r.raw_lines, coalesce(f.kept_lines, 0) AS kept_lines,
