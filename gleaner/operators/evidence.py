@@ -178,6 +178,6 @@ def match_pages(requests: DataFrame, pages: DataFrame, request_id: str, page_url
     r = ar.explode_rows(requests, request_id, keys(F.col("source_url")), "k").select(request_id, "k.*")
     p = ar.explode_rows(pages, page_url, keys(F.col(page_url)), "k").select("k.*", page_url)
     p = p.groupBy("prio", "key").agg(F.min(page_url).alias(page_url))
-    hits = r.join(p, ["prio", "key"])
+    hits = salted_lookup(r, p, ["prio", "key"], "inner", deal_by=[request_id])
     return hits.groupBy(request_id).agg(F.min_by(page_url, "prio").alias(page_url), F.min("prio").alias("match_pass"))
 

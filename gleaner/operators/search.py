@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import arrays as ar
 from gleaner.functions import text as tx
 from gleaner.functions import urls
-from gleaner.operators.keyed import distinct_first, top_per_key
+from gleaner.operators.keyed import distinct_first, salted_lookup, top_per_key
 
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9._\-]{1,}|[\x{4e00}-\x{9fff}]{2,10}"
 #: Words of a URL that do not help a search.
@@ -51,8 +51,8 @@ def merge_results(results: DataFrame, case_id: str = "case_id", order: Iterable[
 
 
 def enrich_results(results: DataFrame, pages: DataFrame, case_id: str = "case_id", first: int = 2) -> DataFrame:
-    """Attach page text to the first results of every case."""
-    joined = results.join(pages.select("url", "page_text"), "url", "left")
+    """Attach page text to the first results of every case. Pages have one row per URL."""
+    joined = salted_lookup(results, pages.select("url", "page_text"), ["url"], "left", deal_by=[case_id])
     return joined.withColumn("page_text", F.when(F.col("rank") <= first, F.col("page_text")))
 
 

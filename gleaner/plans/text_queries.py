@@ -12,6 +12,7 @@ from gleaner.functions import times as tm
 from gleaner.functions import urls
 from gleaner.operators import lines as ln
 from gleaner.operators import predicates as pr
+from gleaner.operators.keyed import salted_lookup
 from gleaner.plans import base, sql
 from gleaner.plans.registry import query
 
@@ -318,11 +319,10 @@ def guidance_split(spark, sf_dir):
         FROM y""",
 )
 def raw_bullets(spark, sf_dir):
-    from pyspark.sql import Window
-
-    df = base.read_table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    df = df.withColumn("before", F.lag("text").over(w))
+    df = base.read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    # The turn before, by a join on (conversation, turn): no conversation meets in one task.
+    earlier = df.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    df = df.join(earlier, ["conv_id", "turn"], "left")
     return df.select("conv_id", "turn", pr.is_raw_bullet(F.col("text"), F.col("before")).alias("raw_bullet"))
 
 
@@ -557,7 +557,7 @@ def evidence_fingerprint(spark, sf_dir):
     )
     df = df.select("doc_id", evidence.fingerprint().alias("fp"))
     firsts = df.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    return df.join(firsts, "fp").select("doc_id", "first_doc")
+    return salted_lookup(df, firsts, ["fp"], "inner").select("doc_id", "first_doc")
 
 
 @query(
