@@ -66,18 +66,27 @@ def exists_in(arr: Column, value: Column) -> Column:
     return F.array_contains(arr, value)
 
 
-def top_by_score(arr: Column, score: Callable[[Column], Column], limit: int | Column) -> Column:
-    """Best ``limit`` values by score, earlier position first on ties, in document order.
+def ranked(arr: Column, score: Callable[[Column], Column]) -> Column:
+    """array<struct<rank,pos,value>> with the negated score, each score computed once."""
+    return F.transform(arr, lambda x, i: F.struct((-score(x)).alias("rank"), i.alias("pos"), x.alias("value")))
+
+
+def best_in_order(entries: Column, limit: int | Column) -> Column:
+    """Best ``limit`` values of ranked entries, earlier position first on ties, in document order.
 
-    Ordering uses the natural order of a struct, which Spark sorts without
-    calling back into a comparator.
+    Ordering uses the natural order of a struct, which Spark sorts without calling
+    back into a comparator.
     """
-    ranked = F.transform(arr, lambda x, i: F.struct((-score(x)).alias("rank"), i.alias("pos"), x.alias("value")))
-    best = F.slice(F.sort_array(ranked), 1, limit)
+    best = F.slice(F.sort_array(entries), 1, limit)
     by_position = F.sort_array(F.transform(best, lambda e: F.struct(e["pos"].alias("pos"), e["value"].alias("value"))))
     return F.transform(by_position, lambda e: e["value"])
 
 
+def top_by_score(arr: Column, score: Callable[[Column], Column], limit: int | Column) -> Column:
+    """Best ``limit`` values by score, back in document order."""
+    return best_in_order(ranked(arr, score), limit)
+
+
 def explode_rows(df: DataFrame, keep: list[str] | str, arr: Column, value: str, ord_name: str = "ord") -> DataFrame:
     """One row per item with its position.
 

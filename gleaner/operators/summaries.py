@@ -492,14 +492,14 @@ def compact_lines(text: Column, url: Column, noise: Iterable[str] = ("notificati
             & ~(F.startswith(x, F.lit("[")) & F.endswith(x, F.lit("]")))
             & (F.length(x) >= 8)
             & ~tx.contains_any(low, noise)
-            & ((score(x) > 0) | (F.length(x) >= 20))
         )
 
     def pick(xs: Column) -> Column:
-        ranked = F.sort_array(
-            F.transform(F.filter(xs, keep), lambda x, i: F.struct((-score(x)).alias("s"), i.alias("i"), x.alias("x")))
+        scored = F.filter(
+            ar.ranked(F.filter(xs, keep), score), lambda e: (e["rank"] < 0) | (F.length(e["value"]) >= 20)
         )
-        best = first_by_key(F.transform(ranked, lambda e: e["x"]), lambda x: tx.strip(F.regexp_replace(F.lower(x), "[.。…]+$", "")))
+        ordered = F.transform(F.sort_array(scored), lambda e: e["value"])
+        best = first_by_key(ordered, lambda x: tx.strip(F.regexp_replace(F.lower(x), "[.。…]+$", "")))
         shown = F.transform(ar.take(best, limit), lambda x: tx.clip(x, 140))
         meaningful = F.filter(
             F.transform(xs, tx.squash),
