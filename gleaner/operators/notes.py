@@ -7,6 +7,7 @@ index is ever collected into one row; it is written sorted by range instead.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -225,6 +226,21 @@ def dedup_notes(notes: DataFrame, path: str = "path") -> DataFrame:
     return notes.join(duplicate_notes(notes, path).select(path), path, "left_anti")
 
 
+class Vault(NamedTuple):
+    notes: DataFrame
+    index: DataFrame
+
+
+def rebuild_vault(notes: DataFrame, index: DataFrame, root: str) -> Vault:
+    """Drop repeated notes, then renew the topic index from what is left.
+
+    Expects notes as made by ``sources.readers.parse_notes``.
+    """
+    kept = dedup_notes(notes)
+    edges = ar.explode_rows(kept.withColumnRenamed("path", "note"), "note", F.col("topic_names"), "topic")
+    return Vault(kept, refresh_index(index, edges, root))
+
+
 def existing_note(items: DataFrame, notes: DataFrame, url: str = "source_url") -> DataFrame:
     """Add ``note_path``: the latest note with the same canonical URL."""
     latest = (

@@ -739,7 +739,21 @@ def candidate_sample(spark, sf_dir):
     return sampling.sample_candidates(df, 15, 6).select("source_url", "family", "bucket", "round")
 
 
-@query("outline_and_blocks")
+@query(
+    "outline_and_blocks",
+    rf"""WITH {sql.lines()}, n AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM lines),
+        c AS (SELECT doc_id, -1 AS i, '标题: ' || {sql.squash("substr(text, 1, 60)")} AS plain FROM documents WHERE {sql.squash("substr(text, 1, 60)")} <> ''
+              UNION ALL SELECT doc_id, i, {sql.squash("line")} FROM n WHERE i < 20),
+        im AS (SELECT doc_id, plain, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS r FROM c
+               WHERE length(plain) BETWEEN 6 AND 120 AND (contains(lower(plain), 'github') OR contains(lower(plain), 'api')) GROUP BY doc_id, plain),
+        fb AS (SELECT doc_id, arg_min(plain, i) AS plain FROM c WHERE length(plain) BETWEEN 8 AND 120 GROUP BY doc_id),
+        used AS (SELECT doc_id, plain FROM c WHERE i = -1 UNION SELECT doc_id, plain FROM fb UNION SELECT doc_id, plain FROM im WHERE r <= 3),
+        other AS (SELECT DISTINCT doc_id FROM c WHERE length(plain) BETWEEN 8 AND 120 AND (doc_id, plain) NOT IN (SELECT (doc_id, plain) FROM used)),
+        raw_b AS (SELECT doc_id, bool_or(length(line) >= 90 OR (NOT regexp_matches(line, '[，。；：:,]') AND length(regexp_replace(line, '\s+', '', 'g')) >= 32)) AS is_raw FROM n WHERE i < 5 GROUP BY doc_id),
+        d AS (SELECT doc_id, CASE WHEN (SELECT is_raw FROM raw_b b WHERE b.doc_id = documents.doc_id) THEN 'raw_transcript_bullets' ELSE 'pass' END AS root_cause,
+              CASE WHEN doc_id IN (SELECT doc_id FROM n) THEN 1 + CAST(doc_id IN (SELECT doc_id FROM im) AS INT) + CAST(doc_id IN (SELECT doc_id FROM other) AS INT) ELSE 0 END AS blocks FROM documents)
+        SELECT root_cause, count(*) AS n_docs, CAST(sum(blocks) AS BIGINT) AS n_blocks FROM d GROUP BY root_cause""",
+)
 def outline_and_blocks(spark, sf_dir):
     """Story blocks and outline of documents treated as media evidence, default vocabularies."""
     from gleaner.functions.times import clock_label

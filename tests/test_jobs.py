@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleaner.config import CacheConfig, RoutingConfig
 from gleaner.functions import arrays as ar
 from gleaner.functions import text as tx
-from gleaner.operators import cost, evaluation, evidence, media, pages, quality, reports, summaries
+from gleaner.operators import cost, evaluation, evidence, media, notes, pages, quality, reports, summaries
 
 REQUEST = (
     "doc_id bigint, source_kind string, source_url string, raw_text string, platform_hint string, page_title string, page_text string, "
@@ -137,6 +137,15 @@ def test_rule_summary_uses_signals_and_steps(spark):
     assert out["conclusion"] == "包含可执行命令，证据不完整。" and out["quotes"] == ["项目介绍第一行内容", "npm install -g b"]
 
 
+def test_vault_rebuild(spark):
+    rows = [("Inbox/a.md", "T", "https://e.com", "x", ["AI", "Old"]), ("Inbox/b.md", "T", "https://e.com", "x", ["AI"]), ("Inbox/c.md", "U", "", "", ["Keep"])]
+    table = spark.createDataFrame(rows, "path string, title string, source_url string, raw_evidence string, topic_names array<string>")
+    index = spark.createDataFrame([("AI", "Inbox/a.md"), ("Old", "Inbox/a.md"), ("Keep", "Else/z.md")], "topic string, note string")
+    vault = notes.rebuild_vault(table, index, "Inbox")
+    assert sorted(r["path"] for r in vault.notes.collect()) == ["Inbox/b.md", "Inbox/c.md"]
+    assert sorted((r["topic"], r["note"]) for r in vault.index.collect()) == [("AI", "Inbox/b.md"), ("Keep", "Else/z.md")]
+
+
 def test_cost_of_media(spark):
     df = spark.createDataFrame([("x" * 1000, 600.0, True), ("", None, False)], "text string, duration_seconds double, has_transcript boolean")
     a, b = cost.cost_ledger(df).collect()
