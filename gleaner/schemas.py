@@ -30,7 +30,7 @@ EVAL_CASE = (
     f"image_refs ARRAY<STRING>, video_probe_seconds INT, force_full_video BOOLEAN, expect {_struct(EXPECT)}"
 )
 RECOGNITION_CASE = (
-    "id STRING, source_kind STRING, source_url STRING, raw_text STRING, platform_hint STRING, provenance STRING, "
+    "id STRING, case_id STRING, source_kind STRING, source_url STRING, raw_text STRING, platform_hint STRING, provenance STRING, "
     f"labels ARRAY<STRING>, expect {_struct(EXPECT)}, auto_reason STRING"
 )
 REPLAY_CASE = (

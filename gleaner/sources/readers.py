@@ -12,6 +12,7 @@ from gleaner.functions import arrays as ar
 from gleaner.functions import text as tx
 from gleaner.operators import cases, sampling, segments, snapshots
 from gleaner.operators import lines as ln
+from gleaner.operators import predicates as pr
 from gleaner.streaming.ledger import PHASES
 
 
@@ -73,20 +74,25 @@ def read_eval_cases(spark: SparkSession, path: str) -> Checked:
 
 
 def read_recognition_cases(spark: SparkSession, path: str, provenance: str) -> Checked:
-    """Recognition cases: JSON array for ``manual``, one object per line for ``auto``."""
+    """Recognition cases: JSON array for ``manual``, one object per line for ``auto``.
+
+    A case without an id gets one from its normalised reason, which is never empty,
+    so such an id starts with ``auto-`` even in a manual file.
+    """
     df = spark.read.schema(schemas.RECOGNITION_CASE).json(path, multiLine=provenance == "manual")
-    reason = F.lit("") if provenance == "manual" else F.coalesce("auto_reason", F.lit(""))
     df = df.withColumns(
         {
-            "provenance": F.lit(provenance),
-            "auto_reason": reason,
+            "provenance": F.coalesce(F.nullif(tx.strip(F.col("provenance")), F.lit("")), F.lit(provenance)),
+            "auto_reason": pr.normalize_reason(F.col("auto_reason")),
             "labels": ar.keep_first(F.col("labels")),
             "expect": clean_expect(F.col("expect")),
             "ord": F.monotonically_increasing_id(),
         }
     )
     derived = cases.case_id(F.col("source_kind"), F.col("source_url"), F.col("raw_text"), F.col("auto_reason"))
-    df = df.withColumn("id", F.coalesce(F.nullif(tx.strip(F.col("id")), F.lit("")), derived))
+    given = [F.nullif(tx.strip(F.col(c)), F.lit("")) for c in ("id", "case_id")]
+    df = df.withColumn("id", F.coalesce(*given, derived)).drop("case_id")
+    df = df.withColumn("auto_reason", F.when(F.col("provenance") == "auto", F.col("auto_reason")).otherwise(F.lit("")))
     supported = F.coalesce(F.col("source_kind").isin(*cases.SUPPORTED_KINDS), F.lit(False))
     return Checked(df.filter(supported), df.filter(~supported))
 

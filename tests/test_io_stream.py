@@ -43,7 +43,8 @@ def test_recognition_and_replay_cases(spark, tmp_path):
     manual = dump(tmp_path / "m.json", [{"source_kind": "url", "source_url": "https://e.com", "labels": ["a", "a"]}, {"source_kind": "image"}])
     auto = dump(tmp_path / "a.jsonl", '{"source_kind":"video_url","source_url":"https://v.com","auto_reason":"x"}\n')
     good, bad = readers.read_recognition_cases(spark, manual, "manual")
-    assert good.first()["labels"] == ["a"] and good.first()["id"].startswith("manual-") and bad.count() == 1
+    assert good.first()["labels"] == ["a"] and good.first()["id"].startswith("auto-https-e-com-") and bad.count() == 1
+    assert good.first()["provenance"] == "manual" and good.first()["auto_reason"] == ""
     assert readers.read_recognition_cases(spark, auto, "auto").good.first()["id"].startswith("auto-")
     replay = dump(tmp_path / "p.json", [{"case_id": "r", "entry_context": {"chat_target": "group_chat"}, "payload": {"source_kind": "url"}, "expect": {}}])
     row = readers.read_replay_cases(spark, replay).first()
