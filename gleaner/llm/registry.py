@@ -13,6 +13,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: query name -> module; each module has ``query`` and, where SQL can say it, ``ORACLE``
 MODULES = {
+    "op2_cotraining": "gleaner.llm.cotraining",
+    "op5_language": "gleaner.llm.langid",
     "op9_decontaminate": "gleaner.llm.decontaminate",
 }
 
