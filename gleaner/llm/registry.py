@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: query name -> module; each module has ``query`` and, where SQL can say it, ``ORACLE``
 MODULES = {
     "op2_cotraining": "gleaner.llm.cotraining",
+    "op3_neardup": "gleaner.llm.neardup",
     "op4_rules": "gleaner.llm.rules",
     "op5_language": "gleaner.llm.langid",
     "op6_pii": "gleaner.llm.pii",
