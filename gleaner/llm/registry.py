@@ -19,6 +19,7 @@ MODULES = {
     "op5_language": "gleaner.llm.langid",
     "op6_pii": "gleaner.llm.pii",
     "op7_licenses": "gleaner.llm.licenses",
+    "op8_substrings": "gleaner.llm.substrings",
     "op9_decontaminate": "gleaner.llm.decontaminate",
 }
 
