@@ -13,6 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: query name -> module; each module has ``query`` and, where SQL can say it, ``ORACLE``
 MODULES = {
+    "op1_warc": "gleaner.llm.warc",
     "op2_cotraining": "gleaner.llm.cotraining",
     "op3_neardup": "gleaner.llm.neardup",
     "op4_rules": "gleaner.llm.rules",
