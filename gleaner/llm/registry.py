@@ -22,6 +22,7 @@ MODULES = {
     "op7_licenses": "gleaner.llm.licenses",
     "op8_substrings": "gleaner.llm.substrings",
     "op9_decontaminate": "gleaner.llm.decontaminate",
+    "op10_mixing": "gleaner.llm.mixing",
 }
 
 
