@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from gleaner.session import apply_defaults
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,9 +36,10 @@ def _with_defaults(fn: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _with_defaults(importlib.import_module(module).query) for name, module in MODULES.items()}
+    found = {name: _with_defaults(importlib.import_module(module).query) for name, module in MODULES.items()}
+    return {**found, "pipeline": _with_defaults(corpus_pipeline.run)}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: getattr(importlib.import_module(module), "ORACLE", None) for name, module in MODULES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    return {name: sql for name, sql in {**found, "pipeline": corpus_pipeline.ORACLE_SQL}.items() if sql}
