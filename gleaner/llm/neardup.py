@@ -12,12 +12,12 @@ of a pair jointly by maximum likelihood, given both set sizes. Pairs whose estim
    are one class from here on, so copies cost one row each and never form pairs.
 2. Every class meets the first class of each of its buckets (a star: linear, whatever the
    size of a bucket). Verified stars are contracted to components.
-3. Buckets that still hold several components are compared within tasks, chunk by chunk,
-   across components only, and a pair is emitted once, in its first common band, and only if
-   its estimate may reach the threshold. Verified, those links complete the components.
+3. Buckets that still hold several components are compared and verified within tasks, chunk by
+   chunk, across components only; a pair is looked at once, in its first common band, and only
+   if its estimate may reach the threshold. Only links leave the task, and complete the components.
 
-Texts are joined to candidate pairs for the verification; sets are built inside the task and
-compared there. Nothing is gathered on the driver.
+Texts are joined to what is to be verified; sets are built inside the task and compared there.
+Nothing is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -233,47 +233,65 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: float, k: int) -> Dat
     return rows.select("a", "b", "t_a", "t_b").mapInArrow(run, "a binary, b binary")
 
 
-def _residual(buckets: DataFrame, classes: DataFrame, roots: DataFrame, percent: float) -> DataFrame:
-    """Candidate pairs across components within the buckets that stars didn't settle.
+def _residual(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, block, own, node, root): classes of the buckets that stars didn't settle, for :func:`_across`.
 
     ``buckets`` has (key, node) of buckets with several classes. A bucket of more than
-    ``CHUNK`` classes is dealt into chunks, and every pair of chunks is a task's group.
+    ``CHUNK`` classes is dealt into chunks, and every pair of chunks is a group.
     """
     labelled = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = mixed.where("lo <> hi").select("key", "size")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    mixed = mixed.where("lo <> hi").select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(
         F.least(i, F.col("own")).alias("lo"), F.greatest(i, F.col("own")).alias("hi")))
-    rows = (
-        labelled.join(mixed, "key").withColumn("chunks", chunks).withColumn("own", own)
-        .select("key", "node", "root", "own", F.explode(meets).alias("block"))
-        .join(classes.select("node", "n", "sketch"), "node")
-        .select("key", "block", "own", "node", "root", "n", "sketch")
-    )
+    rows = labelled.join(mixed, "key").withColumn("own", own)
+    return rows.select("key", "node", "root", "own", F.explode(meets).alias("block"))
+
+
+def _across(rows: DataFrame, percent: float, k: int) -> DataFrame:
+    """Verified links (a, b) between components within the groups of :func:`_residual`.
+
+    A pair is looked at in its first common band and only if its estimate may reach the
+    threshold; pairs that the group has connected by then are passed over. What is emitted are
+    links, never candidates.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         sketches, n = _matrix(table.column("sketch").combine_chunks()), table.column("n").to_numpy()
         own, key = table.column("own").to_numpy(), table.column("key")[0].as_py()
         block = table.column("block")[0].as_py()
-        node = np.array(table.column("node").to_pylist(), dtype=object)
+        node, text = table.column("node"), table.column("text")
         root = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
         band = key.to_bytes(8, "little", signed=True)[ROWS]
         keys = _band_keys(sketches)
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(text[i].as_py().encode(), k)
+            return sets[i]
+
         left, right = np.flatnonzero(own == block["lo"]), np.flatnonzero(own == block["hi"])
         found_a, found_b = [], []
-        for i in left:
+        for i in left.tolist():
             j = right[right > i] if block["lo"] == block["hi"] else right
             j = j[(root[j] != root[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
             if len(j):
                 j = j[~(keys[j, :band] == keys[i, :band]).any(1)]  # else an earlier band has the pair
             if len(j):
                 j = j[_similar(sketches[j], sketches[i][None], n[j], np.full(len(j), n[i]), percent)]
-                found_a += [node[i]] * len(j)
-                found_b += node[j].tolist()
+            for other in j.tolist():
+                if root[other] != root[i]:
+                    x, y = set_of(i), set_of(other)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        found_a.append(node[i].as_py())
+                        found_b.append(node[other].as_py())
+                        root[root == root[other]] = root[i]
         return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
 
+    rows = rows.select("key", "block", "own", "node", "root", "n", "sketch", "text")
     return rows.groupBy("key", "block").applyInArrow(run, "a binary, b binary")
 
 
@@ -296,23 +314,27 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     )
     classes = materialize(classes, "classes")
 
-    def check(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = materialize(pairs, f"{label}-pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        needed = classes.join(nodes, "node", "left_semi").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_id").alias("rep_text"))
+    def texts_of(nodes: DataFrame, label: str) -> DataFrame:
+        """(node, text): one text per class."""
+        needed = classes.join(nodes.distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_id").alias("rep_text"))
         # One row tells a class: that of its first id. Only rows repeated whole are several.
         texts = source.join(needed, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_id") == F.col("rep_text")))
         texts = texts.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("doc_id"))).where("r = 1").select("node", "text")
-        return materialize(_verified(pairs, materialize(texts, f"{label}-texts"), percent, k), label)
+        return materialize(texts, f"{label}-texts")
 
     bands = _bands(classes)
     hubs = bands.groupBy("key").agg(F.min(F.struct("first", "node")).alias("hub"), F.count("*").alias("size")).where("size > 1")
     hubs = hubs.select("key", F.col("hub.node").alias("hub"))
     buckets = materialize(bands.join(hubs, "key").select("key", "node", "hub"), "buckets")
     stars = buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    first = check(_candidates(stars, classes, percent), "stars")
+    pairs = materialize(_candidates(stars, classes, percent), "stars-pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    first = materialize(_verified(pairs, texts_of(nodes, "stars"), percent, k), "stars")
     roots = materialize(components(first), "roots")
-    rest = check(_residual(buckets.select("key", "node"), classes, roots, percent), "residual")
+    rows = materialize(_residual(buckets.select("key", "node"), roots), "residual-rows")
+    texts = texts_of(rows.select("node"), "residual")
+    rest = rows.join(classes.select("node", "n", "sketch"), "node").join(texts, "node")
+    rest = materialize(_across(rest, percent, k), "residual")
     links = first.unionByName(rest)
     roots = components(links)
 
