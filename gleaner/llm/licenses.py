@@ -32,7 +32,7 @@ TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
             "documentation files", ("permission is hereby granted free of charge", "associated documentation files")),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license version 2 0",)),
-    ("apache-2.0", "you may not use this file except in compliance with the License", ("except in compliance with the license", "apache")),
+    ("apache-2.0", "you may not use this file except in compliance with the License", ("except in compliance with the license",)),
     ("gpl-3.0", "licensed under the GNU General Public License, version 3", ("gnu general public license version 3",)),
     ("gpl-2.0", "licensed under the GNU General Public License, version 2", ("gnu general public license version 2",)),
     ("gpl", "This program is free software: you can redistribute it and or modify it under the terms of the GNU General Public License",
@@ -55,7 +55,7 @@ TEMPLATES = (
 )
 
 #: Rarest licence words of a file that are looked up; least share of a template's weight that must agree.
-TOP = 8
+TOP = 12
 SHARE = 0.6
 #: A licence word is looked up only if it is in less than this share of all documents.
 COMMON = 0.2
@@ -130,7 +130,8 @@ def scan(docs: DataFrame, result: str, text: str = "text", idf: dict[str, float]
     total = []
     for t, (_, notice, _) in enumerate(TEMPLATES):
         own = [(q, w) for q, w in enumerate(_split(notice)) if w in set(rare)]
-        total.append(sum(idf[w] for _, w in own))
+        best = set(sorted({w for _, w in own}, key=lambda w: (-idf[w], w))[:TOP])  # no file is asked for more
+        total.append(sum(idf[w] for _, w in own if w in best))
         for q, w in own:
             postings.setdefault(w, []).append((t, q))
     weight = F.create_map(*[x for w in rare for x in (F.lit(w), F.lit(float(idf[w])))])
