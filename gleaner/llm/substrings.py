@@ -73,31 +73,49 @@ def _hash_windows(b: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+
+
+class _Powers:
+    """The powers of both bases, kept by a process for texts of up to a million bytes."""
+
+    held = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.held[0]) >= n:
+            return cls.held[0][:n], cls.held[1][:n]
+        both = _powers(_BASE, n), _powers(_INVERSE, n)
+        if n <= 1 << 20:
+            cls.held = both
+        return both
+
+
 class Prefix:
     """Hash of any substring of a byte array in constant time."""
 
     def __init__(self, b: np.ndarray):
-        n = len(b) + 1
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE, np.uint64)]))
-        self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _INVERSE, np.uint64)]))
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[b] * powers[:-1])])
+        powers, self.inverse = _Powers.of(len(b) + 1)
+        self.sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTE[b] * powers[:-1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
 def _leftmost_least(h: np.ndarray, w: int) -> np.ndarray:
-    """Place of the leftmost least value in every window of ``w`` values."""
+    """Place of the leftmost value with the least upper half in every window of ``w`` values.
+
+    Upper half and place share a number, so that a minimum takes both; doubling reaches any width in log steps.
+    """
     n = len(h) - w + 1
-    at = np.arange(len(h))
-    # The place rides along: order by value, then place. Doubling reaches any width in log steps.
-    best, size = at, 1
+    best, size = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
     while size * 2 <= w:
-        a, b = best[: len(best) - size], best[size:]
-        best = np.where(h[b] < h[a], b, a)
-        size *= 2
-    a, b = best[:n], best[w - size : w - size + n]
-    return np.where(h[b] < h[a], b, a)
+        best, size = np.minimum(best[: len(best) - size], best[size:]), size * 2
+    best = np.minimum(best[:n], best[w - size : w - size + n])
+    return (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def runs_of(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -136,39 +154,50 @@ def _run_rows(source: DataFrame, length: int) -> DataFrame:
 def order_to_depth(data: np.ndarray, depth: int) -> np.ndarray:
     """Class of every position by its next ``depth`` bytes, numbered in suffix order (prefix doubling).
 
-    ``data`` holds small integers; positions within ``depth`` of the end are classed by what follows them.
+    A class is the place of its first suffix in that order. Positions that stand alone are done
+    and aren't sorted again; positions within ``depth`` of the end are classed by what follows.
     """
     n = len(data)
-    radix = int(data.max(initial=0)) + 2
-    known = min(4, depth) if radix < 1 << 15 else 1
-    key = np.zeros(n, np.int64)
+    if not n:
+        return np.zeros(0, np.int64)
+    symbols = np.zeros(256, np.int64)
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    symbols[used] = np.arange(1, len(used) + 1)
+    bits = int(len(used)).bit_length()
+    known = min(depth, 63 // bits)
+    key, coded = np.zeros(n, np.int64), symbols[data]
     for i in range(known):
-        key *= radix
-        key[: n - i] += data[i:] + 1
+        key <<= bits
+        key[: n - i] |= coded[i:]
+    rank, active = np.zeros(n, np.int64), np.arange(n)
     while True:
         order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)]))[:n]
-        if known >= depth or not n or rank.max() == n:
+        key, active = key[order], active[order]
+        place = np.arange(len(active))
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        old = rank[active]
+        group = np.concatenate([[True], old[1:] != old[:-1]])
+        # the class moves by as many places as its members stand behind the first of their former class
+        rank[active] = old + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(group, place, 0))
+        alone = fresh & np.concatenate([fresh[1:], [True]])
+        active = active[~alone]
+        if known >= depth or not len(active):
             return rank
         step = min(known, depth - known)
-        behind = np.zeros(n, np.int64)
-        behind[: n - step] = rank[step:]
-        key, known = rank * np.int64(n + 2) + behind, known + step
+        behind = np.where(active + step < n, rank[np.minimum(active + step, n - 1)] + 1, 0)
+        key, known = rank[active] * np.int64(n + 1) + behind, known + step
 
 
 def factors(texts: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For every string start of every text: does the string occur earlier, does it occur later?
 
-    The texts are concatenated in order, each with an end mark of its own. In the suffix order
-    the previous (next) position of the same class to depth ``length`` is the nearest earlier
-    (later) match, so the longest previous (next) factor reaches ``length``.
+    The texts are concatenated in order; no string starts where it would reach into the next. In
+    the suffix order the previous (next) position of the same class to depth ``length`` is the
+    nearest earlier (later) match, so the longest previous (next) factor reaches ``length``.
     """
-    sizes = np.array([len(t) for t in texts])
-    data = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.int64)
-    ends = np.cumsum(sizes + 1) - 1
-    data[ends] = 256 + np.arange(len(texts))
+    sizes = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum(sizes)
     starts = [np.arange(max(0, s - length + 1)) + (e - s) for s, e in zip(sizes, ends)]
     at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     rank = order_to_depth(data, length)[at]

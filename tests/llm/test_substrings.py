@@ -71,6 +71,6 @@ def test_factors_against_definition():
 
 
 def test_anchors_are_leftmost_least():
-    h = np.random.default_rng(0).integers(0, 5, 300).astype(np.uint64)
+    h = np.random.default_rng(0).integers(0, 5, 300).astype(np.uint64) << np.uint64(32)
     for w in (1, 2, 7, 64):
         assert ss._leftmost_least(h, w).tolist() == [i + int(h[i : i + w].argmin()) for i in range(len(h) - w + 1)]
