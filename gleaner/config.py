@@ -65,10 +65,11 @@ class OcrConfig:
 
 @dataclass(frozen=True)
 class PageLimits:
-    max_images: int = 6
-    max_videos: int = 3
-    max_tables: int = 6
-    fallback_section_chars: int = 1200
+    #: None keeps everything; what is shown of a document is a matter of its text form.
+    max_images: int | None = None
+    max_videos: int | None = None
+    max_tables: int | None = None
+    fallback_section_chars: int | None = None
 
 
 @dataclass(frozen=True)

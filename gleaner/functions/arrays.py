@@ -34,8 +34,9 @@ def lines(c: Column) -> Column:
     return F.filter(F.transform(raw, lambda x: tx.strip(x)), lambda x: x != "")
 
 
-def take(arr: Column, n: int | Column) -> Column:
-    return F.slice(arr, 1, n)
+def take(arr: Column, n: int | Column | None) -> Column:
+    """The first ``n`` values; None: all."""
+    return arr if n is None else F.slice(arr, 1, n)
 
 
 def skip(arr: Column, n: int | Column) -> Column:
@@ -47,7 +48,7 @@ def keep_first(arr: Column, limit: int | None = None) -> Column:
     """Trim, drop blanks, keep the first of equal values, optionally the first ``limit``."""
     cleaned = F.filter(F.transform(or_empty(arr), lambda x: tx.strip(x)), lambda x: x.isNotNull() & (x != ""))
     unique = F.array_distinct(cleaned)
-    return take(unique, limit) if limit is not None else unique
+    return take(unique, limit)
 
 
 def join_present(sep: str, *values: Column) -> Column:

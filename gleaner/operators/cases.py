@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
 from gleaner.operators import predicates as pr
-from gleaner.operators.keyed import keep_where
+from gleaner.operators.keyed import distinct_first, keep_where
 
 SUPPORTED_KINDS = ("url", "video_url")
 
@@ -83,7 +83,8 @@ def auto_cases(jobs: DataFrame, threshold: float = 0.72) -> DataFrame:
     return found.withColumns({"case_key": key, "id": ident})
 
 
-def new_cases(found: DataFrame, inbox: DataFrame) -> DataFrame:
-    """Cases whose (key, reason) is not in the inbox yet, once each."""
-    fresh = found.dropDuplicates(["case_key", "auto_reason"])
+def new_cases(found: DataFrame, inbox: DataFrame, order: str | None = None) -> DataFrame:
+    """Cases whose (key, reason) is not in the inbox yet, once each: the first by ``order``, any without one."""
+    keys = ["case_key", "auto_reason"]
+    fresh = found.dropDuplicates(keys) if order is None else distinct_first(found, keys, [order])
     return fresh.join(inbox.select("case_key", "auto_reason"), ["case_key", "auto_reason"], "left_anti")

@@ -52,7 +52,7 @@ def build_evidence(requests: DataFrame, lexicon: signals.SignalLexicon = signals
             "_ocr": F.array_join(cp.salient_lines(F.col("ocr_lines"), 16), "\n"),
             "_repo": F.array_join(ar.or_empty(F.col("repo_lines")), "\n"),
             "_page": tx.strip(tx.text_or_empty(F.col("page_text"))),
-            "_warn": ar.keep_first(F.col("fetch_warnings"), 20),
+            "_warn": ar.keep_first(F.col("fetch_warnings")),
         }
     )
     ocr_block = F.when(F.col("_ocr") != "", F.concat(F.lit("[OCR补充]\n"), F.col("_ocr")))
@@ -109,7 +109,7 @@ def repo_lines(name: Column, url: Column, description: Column, readme: Column) -
     return F.when(F.size(keys) > 0, F.concat(head, ar.strings("[README关键信息]"), keys)).otherwise(head)
 
 
-def merge_sources(*tables: DataFrame, key: str = "doc_id", limit: int = 20) -> DataFrame:
+def merge_sources(*tables: DataFrame, key: str = "doc_id", limit: int | None = None) -> DataFrame:
     """Union of (doc, pos, source) tables to one distinct, ordered source list per doc.
 
     Names are reduced to their first position, and to the first ``limit`` names per

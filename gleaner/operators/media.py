@@ -96,8 +96,8 @@ def story_blocks(df: DataFrame, out: str = "story_blocks") -> DataFrame:
     feedback get no blocks.
     """
     title, desc = tx.squash(tx.text_or_empty(F.col("title"))), tx.squash(tx.text_or_empty(F.col("description")))
-    caps = {"timeline_highlights": 10, "transcript_timeline": 20, "subtitle_timeline": 20, "ocr_lines": 12, "keyframe_text": 8}
-    tracks = [F.transform(ar.take(ar.or_empty(F.col(n)), k), lambda x: tx.squash(x)) for n, k in caps.items()]
+    names = ("timeline_highlights", "transcript_timeline", "subtitle_timeline", "ocr_lines", "keyframe_text")
+    tracks = [F.transform(ar.or_empty(F.col(n)), lambda x: tx.squash(x)) for n in names]
     heads = F.array(
         F.when(title != "", F.concat(F.lit("标题: "), title)), F.when(desc != "", F.concat(F.lit("简介: "), desc))
     )
@@ -106,9 +106,9 @@ def story_blocks(df: DataFrame, out: str = "story_blocks") -> DataFrame:
         F.array_distinct(F.filter(F.transform(ar.or_empty(F.col("viewer_feedback")), lambda x: tx.squash(x)), lambda x: x != "")), 5
     )
     df = df.withColumns(
-        {"_title": title, "_heads": heads, "_fb": feedback, "_lines": ar.keep_first(F.concat(heads, *tracks), 50)}
+        {"_title": title, "_heads": heads, "_fb": feedback, "_lines": ar.keep_first(F.concat(heads, *tracks))}
     )
-    rich = [F.size(ar.or_empty(F.col(n))) > 0 for n in list(caps)[:4]] + [F.size("_fb") > 0]
+    rich = [F.size(ar.or_empty(F.col(n))) > 0 for n in names[:4]] + [F.size("_fb") > 0]
     corpus = F.concat_ws(
         "\n", "_title", desc, tx.text_or_empty(F.col("text")), tx.text_or_empty(F.col("transcript")),
         F.array_join("_lines", "\n"), F.array_join("_fb", "\n"),

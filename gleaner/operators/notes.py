@@ -107,7 +107,8 @@ def topic_counts(index: DataFrame) -> DataFrame:
 
 
 def select_topics(
-    edges: DataFrame, counts: DataFrame, whitelist: Sequence[str] = (), blocklist: Sequence[str] = (), limit: int = 3, note: str = "note"
+    edges: DataFrame, counts: DataFrame, whitelist: Sequence[str] = (), blocklist: Sequence[str] = (), limit: int = 3, note: str = "note",
+    min_secondary: int = 2,
 ) -> DataFrame:
     """Topics a note is linked to: allow-listed, or known to enough notes already.
 
@@ -119,7 +120,7 @@ def select_topics(
     n = F.coalesce("n_notes", F.lit(0))
     listed = F.col("topic").isin(*whitelist) if whitelist else F.lit(False)
     primary = F.col("is_primary") & (n >= 1)
-    secondary = ~F.col("is_primary") & pr.is_secondary_topic(F.col("topic"), blocklist) & (n >= 2)
+    secondary = ~F.col("is_primary") & pr.is_secondary_topic(F.col("topic"), blocklist) & (n >= min_secondary)
     chosen = counted.filter(listed | primary | secondary)
     return top_per_key(chosen, [note], [F.col("ord").asc()], limit).select(note, "topic", "ord")
 

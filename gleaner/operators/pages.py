@@ -94,11 +94,15 @@ def _attr(tag: Column, name: str) -> Column:
     return tx.squash(tx.unescape(quoted))
 
 
+def _clipped(c: Column, limit: int | None) -> Column:
+    return c if limit is None else tx.clip(c, limit)
+
+
 def _some(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def images_of(main: Column, base: Column, limit: int) -> Column:
+def images_of(main: Column, base: Column, limit: int | None = None) -> Column:
     tags = F.filter(F.regexp_extract_all(main, F.lit(r"(?is)<img\b[^>]*>"), 0), lambda t: _attr(t, "src") != "")
     found = F.transform(
         tags,
@@ -112,7 +116,7 @@ def images_of(main: Column, base: Column, limit: int) -> Column:
     return ar.take(F.filter(found, lambda i: ~pr.is_decorative(i["src"], i["alt"])), limit)
 
 
-def videos_of(main: Column, base: Column, limit: int) -> Column:
+def videos_of(main: Column, base: Column, limit: int | None = None) -> Column:
     tags = F.regexp_extract_all(main, F.lit(r"(?is)<video\b[^>]*>.*?</video\s*>|<video\b[^>]*>|<iframe\b[^>]*>"), 0)
 
     def video(t: Column) -> Column:
@@ -140,7 +144,7 @@ def _cells(fragment: Column, names: str) -> Column:
     return F.filter(F.transform(raw, lambda x: tx.squash(tx.unescape(F.regexp_replace(x, "<[^>]+>", " ")))), lambda x: x != "")
 
 
-def tables_of(main: Column, limit: int) -> Column:
+def tables_of(main: Column, limit: int | None = None) -> Column:
     found = F.regexp_extract_all(main, F.lit(r"(?is)<table\b[^>]*>(.*?)</table\s*>"), 1)
 
     def table(t: Column) -> Column:
@@ -182,7 +186,7 @@ def structure_pages(
         }
     )
     fallback_body = F.when(
-        F.col("_text") != "", tx.clip(tx.squash(F.col("_text")), limits.fallback_section_chars)
+        F.col("_text") != "", _clipped(tx.squash(F.col("_text")), limits.fallback_section_chars)
     ).otherwise(hint_text)
     fallback = F.array(
         F.struct(F.col("_title").alias("heading"), F.lit(1).alias("level"), fallback_body.alias("content"))

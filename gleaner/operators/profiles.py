@@ -99,6 +99,6 @@ def finalize_evidence(df: DataFrame, has_steps: Column | None = None) -> DataFra
                 needs_checklist(profile).alias("require_action_checklist"),
                 needs_project_section(profile).alias("require_project_section"),
             ),
-            "evidence_sources": ar.keep_first(F.col("evidence_sources"), 20),
+            "evidence_sources": ar.keep_first(F.col("evidence_sources")),
         }
     )

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from gleaner.functions import arrays as ar
 from gleaner.functions import text as tx
 from gleaner.functions import urls
-from gleaner.operators.keyed import distinct_first, salted_lookup, top_per_key
+from gleaner.operators.keyed import distinct_first, top_per_key
 
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9._\-]{1,}|[\x{4e00}-\x{9fff}]{2,10}"
 #: Words of a URL that do not help a search.
 STOP = ("github", "http", "https", "www", "com", "html")
 
 
-def query_tokens(c: Column, stop: Iterable[str] = STOP, limit: int = 6) -> Column:
+def query_tokens(c: Column, stop: Iterable[str] = STOP, limit: int | None = None) -> Column:
     """Distinct Latin words and CJK runs, without stop words."""
     stop = tuple(stop)
     found = F.regexp_extract_all(tx.squash(tx.text_or_empty(c)), F.lit(TOKEN), 0)
@@ -51,9 +51,13 @@ def merge_results(results: DataFrame, case_id: str = "case_id", order: Iterable[
 
 
 def enrich_results(results: DataFrame, pages: DataFrame, case_id: str = "case_id", first: int = 2) -> DataFrame:
-    """Attach page text to the first results of every case. Pages have one row per URL."""
-    joined = salted_lookup(results, pages.select("url", "page_text"), ["url"], "left", deal_by=[case_id])
-    return joined.withColumn("page_text", F.when(F.col("rank") <= first, F.col("page_text")))
+    """Attach page text to the first results of every case. Pages have one row per URL.
+
+    Only the first results take part in the join; a hot URL is left to adaptive execution.
+    """
+    asked = F.coalesce(F.col("rank") <= first, F.lit(False))
+    found = results.filter(asked).join(pages.select("url", "page_text"), "url", "left")
+    return found.unionByName(results.filter(~asked).withColumn("page_text", F.lit(None).cast("string")))
 
 
 def evidence_text(results: Column) -> Column:
@@ -72,18 +76,16 @@ def evidence_text(results: Column) -> Column:
 
 def rank_corpus(
     queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, query_text: str, text: str,
-    limit: int = 5, salts: int = 16, stop: Iterable[str] = STOP,
+    limit: int = 5, stop: Iterable[str] = STOP,
 ) -> DataFrame:
     """Top documents per query by number of distinct query tokens they contain.
 
-    Tokens meet in an equi-join. A frequent token may sit in a third of all
-    documents, so the query side is replicated over ``salts`` buckets and the
-    document side deals its rows over them; counts are then summed per pair.
+    Tokens meet in an equi-join: asked tokens are broadcast where they are few, and
+    adaptive execution splits a frequent token otherwise. Counts are summed per pair
+    before they move.
     """
-    asked = ar.explode_rows(queries, query_id, query_tokens(F.col(query_text), stop), "token").drop("ord").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = ar.explode_rows(queries, query_id, query_tokens(F.col(query_text), stop), "token").drop("ord")
     words = F.array_distinct(F.regexp_extract_all(tx.text_or_empty(F.col(text)), F.lit(TOKEN), 0))
-    held = ar.explode_rows(corpus, doc_id, words, "token").drop("ord").withColumn(
-        "salt", F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int")
-    )
-    hits = asked.join(held, ["token", "salt"]).groupBy(query_id, doc_id).agg(F.count("*").alias("hits"))
+    held = ar.explode_rows(corpus, doc_id, words, "token").drop("ord")
+    hits = held.join(asked, "token").groupBy(query_id, doc_id).agg(F.count("*").alias("hits"))
     return top_per_key(hits, [query_id], [F.col("hits").desc(), F.col(doc_id).asc()], limit)

@@ -24,10 +24,11 @@ def _filled(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(tx.strip(c), F.lit("")) for c in columns])
 
 
-def parse_transcripts(df: DataFrame, payload: str, out: str = "transcript", timeline_cap: int = 300, segment_cap: int = 1200) -> DataFrame:
+def parse_transcripts(df: DataFrame, payload: str, out: str = "transcript", timeline_limit: int | None = None) -> DataFrame:
     """Add struct(text, language, duration_seconds, timeline) from JSON or plain text.
 
-    Valid JSON without usable text gives empty text, never the JSON itself.
+    Valid JSON without usable text gives empty text, never the JSON itself. Text and
+    duration cover all segments; ``timeline_limit`` only shortens the timeline shown.
     """
     raw = tx.strip(tx.text_or_empty(F.col(payload)))
     parsed = F.from_json(F.when(F.startswith(raw, F.lit("{")), raw), PAYLOAD)
@@ -40,7 +41,7 @@ def parse_transcripts(df: DataFrame, payload: str, out: str = "transcript", time
         body = tx.strip(s["text"])
         return F.when(start.isNull(), body).otherwise(F.concat(F.lit("["), tm.clock_label(start), F.lit("] "), body))
 
-    spoken = F.filter(ar.take(p["segments"], segment_cap), lambda s: tx.strip(tx.text_or_empty(s["text"])) != "")
+    spoken = F.filter(p["segments"], lambda s: tx.strip(tx.text_or_empty(s["text"])) != "")
     df = df.withColumn("_seg", F.coalesce(F.transform(spoken, line), ar.empty_strings()))
     given = _filled(p["text"], p["transcript"], p["subtitle"], p["content"])
     text = F.when(is_json, F.coalesce(given, F.array_join("_seg", "\n"))).otherwise(F.col("_raw"))
@@ -53,7 +54,7 @@ def parse_transcripts(df: DataFrame, payload: str, out: str = "transcript", time
         F.col("_text").alias("text"),
         p["language"].alias("language"),
         duration.alias("duration_seconds"),
-        ar.take(F.col("_seg"), timeline_cap).alias("timeline"),
+        ar.take(F.col("_seg"), timeline_limit).alias("timeline"),
     )
     return df.withColumn(out, result).drop("_raw", "_p", "_seg", "_text")
 
@@ -72,7 +73,7 @@ def normalize_transcription(df: DataFrame, payload: str, out: str = "asr") -> Da
         )
 
     spoken = F.filter(p["segments"], lambda s: tx.strip(tx.text_or_empty(s["text"])) != "")
-    df = df.withColumn("_s", F.coalesce(F.transform(ar.take(spoken, 2000), segment), F.expr("array()").cast("array<struct<start:double,end:double,text:string>>")))
+    df = df.withColumn("_s", F.coalesce(F.transform(spoken, segment), F.expr("array()").cast("array<struct<start:double,end:double,text:string>>")))
     given = F.nullif(tx.strip(tx.text_or_empty(p["text"])), F.lit(""))
     joined = F.array_join(F.transform("_s", lambda s: s["text"]), " ")
     ends = F.array_max(F.transform("_s", lambda s: s["end"]))
@@ -85,7 +86,7 @@ def normalize_transcription(df: DataFrame, payload: str, out: str = "asr") -> Da
         tx.squash(F.coalesce(given, joined)).alias("text"),
         F.lower(tx.strip(tx.text_or_empty(p["language"]))).alias("language"),
         duration.alias("duration_seconds"),
-        ar.take(F.col("_s"), 1200).alias("segments"),
+        F.col("_s").alias("segments"),
     )
     return df.withColumn(out, result).drop("_p", "_s")
 
@@ -94,7 +95,7 @@ def clean_caption(c: Column) -> Column:
     return tx.squash(F.regexp_replace(tx.unescape(tx.strip(c)), "<[^>]+>", " "))
 
 
-def vtt_segments(content: Column, max_seconds: float = 0.0, limit: int = 3000) -> Column:
+def vtt_segments(content: Column, max_seconds: float = 0.0, limit: int | None = None) -> Column:
     """array<struct<start,end,text>> of a caption file, each text once.
 
     A cue runs from its time line to the next time line or blank line.
@@ -125,7 +126,7 @@ def vtt_segments(content: Column, max_seconds: float = 0.0, limit: int = 3000) -
     return ar.take(first_by_key(cues, lambda s: s["text"]), limit)
 
 
-def normalize_segments(segments: Column, max_seconds: float = 0.0, limit: int = 1200) -> Column:
+def normalize_segments(segments: Column, max_seconds: float = 0.0, limit: int | None = None) -> Column:
     """Cleaned segments inside the horizon, each text once."""
     cleaned = F.transform(
         segments,
@@ -139,7 +140,7 @@ def normalize_segments(segments: Column, max_seconds: float = 0.0, limit: int =
     return ar.take(first_by_key(kept, lambda s: s["text"]), limit)
 
 
-def normalize_segment_rows(rows: DataFrame, key: str, max_seconds: float = 0.0, limit: int = 1200) -> DataFrame:
+def normalize_segment_rows(rows: DataFrame, key: str, max_seconds: float = 0.0, limit: int | None = None) -> DataFrame:
     """The same rule on a long table (key, ord, start, end, text).
 
     For segments that do not sit in one row: the first of equal texts is a partial
@@ -151,10 +152,10 @@ def normalize_segment_rows(rows: DataFrame, key: str, max_seconds: float = 0.0,
         df = df.filter(F.col("start") < max_seconds)
     df = df.withColumns({"start": F.round("start", 3), "end": F.round("end", 3)})
     first = distinct_first(df.withColumn("_o", F.col("ord")), [key, "text"], ["_o"]).drop("_o")
-    return top_per_key(first, [key], [F.col("ord").asc()], limit).drop("rank")
+    return first if limit is None else top_per_key(first, [key], [F.col("ord").asc()], limit).drop("rank")
 
 
-def timeline(segments: Column, limit: int = 300) -> Column:
+def timeline(segments: Column, limit: int | None = None) -> Column:
     lines = F.transform(segments, lambda s: F.concat(F.lit("["), tm.clock_label(s["start"]), F.lit("] "), s["text"]))
     return ar.take(lines, limit)
 

@@ -173,7 +173,7 @@ def snapshot_comments(snapshot: Column, owner: Column, limit: int = 5) -> Column
     )
 
 
-def tutorial_text(snapshot: Column, start: Iterable[str], stop: Iterable[str], limit: int = 220) -> Column:
+def tutorial_text(snapshot: Column, start: Iterable[str], stop: Iterable[str], limit: int | None = None) -> Column:
     """Lines between a start heading and a stop token, commands labelled."""
     start, stop = tuple(start), tuple(stop)
     area = ln.between_markers(
@@ -188,7 +188,7 @@ def tutorial_text(snapshot: Column, start: Iterable[str], stop: Iterable[str], l
         ),
     )
     kept = F.filter(lines, lambda x: ~pr.is_ui_noise(x) & ~F.startswith(x, F.lit("发布于")))
-    return F.array_join(F.array_distinct(ar.take(kept, limit)), "\n")
+    return F.array_join(ar.take(F.array_distinct(kept), limit), "\n")
 
 
 def sanitize_media_page(

@@ -29,7 +29,7 @@ def _is_step_heading(c: Column) -> Column:
     return c.rlike(f"^{NUMERAL}[、）]")
 
 
-def step_items(text: Column, products: Iterable[str] = (), limit: int = 30) -> Column:
+def step_items(text: Column, products: Iterable[str] = (), limit: int | None = None) -> Column:
     """array<struct<title,detail,command>>: numbered headings open a group."""
     label = "命令："
     products = tuple(products)
@@ -73,10 +73,11 @@ def _real_command(c: Column, products: tuple[str, ...]) -> Column:
     )
 
 
-def step_lines(text: Column, products: Iterable[str] = (), limit: int = 30) -> Column:
+def step_lines(text: Column, products: Iterable[str] = (), limit: int | None = None, part_chars: int = 260) -> Column:
     """Flat steps: headings, step lines, commands and numbered phrases inside a line.
 
-    A phrase ends at white space or punctuation.
+    A phrase ends at white space or punctuation. Headings, commands and phrases of over
+    ``part_chars`` characters are no steps; the line around them may be of any length.
     """
     label = "命令："
     products = tuple(products)
@@ -100,11 +101,10 @@ def step_lines(text: Column, products: Iterable[str] = (), limit: int = 30) -> C
 
     def of_line(x: Column) -> Column:
         return (
-            F.when(F.length(x) > 260, ar.empty_strings())
-            .when(x.rlike("^[一二三四五六七八九十][、）]"), F.array(x))
+            F.when(x.rlike("^[一二三四五六七八九十][、）]"), F.when(F.length(x) <= part_chars, F.array(x)).otherwise(ar.empty_strings()))
             .when(F.startswith(x, F.lit("步骤")) & (F.length(x) <= 120), F.array(x))
             .when(F.startswith(x, F.lit(label)), whole_command(x))
-            .otherwise(F.concat(commands(x), phrases(x)))
+            .otherwise(F.filter(F.concat(commands(x), phrases(x)), lambda p: F.length(p) <= part_chars))
         )
 
     return ar.take(F.flatten(F.transform(ar.lines(text), of_line)), limit)

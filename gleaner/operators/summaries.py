@@ -457,7 +457,7 @@ def extend_document(doc: Column, extra: Column) -> Column:
     return F.struct(
         doc["title"].alias("title"),
         F.when(has_extra, summary).otherwise(doc["summary"]).alias("summary"),
-        F.when(has_extra, ar.take(F.concat(doc["sections"], F.array(added)), 8)).otherwise(doc["sections"]).alias("sections"),
+        F.when(has_extra, F.concat(doc["sections"], F.array(added))).otherwise(doc["sections"]).alias("sections"),
         *[doc[n].alias(n) for n in ("images", "videos", "tables")],
     )
 

@@ -292,12 +292,12 @@ def weak_source_only(spark, sf_dir):
 
 @query(
     "text_assembly",
-    f"""WITH {sql.lines()}, f AS (SELECT doc_id, line, min(pos) AS pos FROM lines WHERE length(line) <= 60 GROUP BY ALL)
+    f"""WITH {sql.lines()}, f AS (SELECT doc_id, line, min(pos) AS pos FROM lines GROUP BY ALL)
         SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY pos) AS merged FROM f GROUP BY doc_id""",
 )
 def text_assembly(spark, sf_dir):
     df = base.documents(spark, sf_dir, "doc_id", "text")
-    blocks = ar.keep_first(F.filter(ar.lines(F.col("text")), lambda x: F.length(x) <= 60))
+    blocks = ar.keep_first(ar.lines(F.col("text")))
     df = keep_where(df.select("doc_id", blocks.alias("b")), F.size("b") > 0)
     return df.select("doc_id", F.array_join("b", "\n\n").alias("merged"))
 
@@ -651,7 +651,7 @@ def compact_lines(spark, sf_dir):
     r"""WITH q AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._-]{1,}') AS ws FROM benchmark),
         qu AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM q),
         qf AS (SELECT item_id, w, min(i) AS i FROM qu WHERE lower(w) NOT IN ('the', 'and', 'of') GROUP BY ALL),
-        qr AS (SELECT item_id, w FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS rn FROM qf) WHERE rn <= 6),
+        qr AS (SELECT item_id, w FROM qf),
         d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._-]{1,}')) AS w FROM documents),
         h AS (SELECT item_id, doc_id, count(*) AS hits FROM qr JOIN d USING (w) GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rank FROM h)
@@ -682,8 +682,8 @@ def search_merge(spark, sf_dir):
 @query(
     "search_enrichment",
     """WITH r AS (SELECT user_id AS case_id, event_id AS ord, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events),
-        k AS (SELECT r.*, p.url FROM r LEFT JOIN pages p ON p.page_id = r.ord % 500 WHERE rank <= 5)
-        SELECT case_id, rank, CASE WHEN rank <= 2 THEN length(p.html) END AS page_chars FROM k LEFT JOIN pages p ON p.page_id = k.ord % 500""",
+        k AS (SELECT r.*, p.url FROM r LEFT JOIN pages p ON p.page_id = r.ord WHERE rank <= 5)
+        SELECT case_id, rank, CASE WHEN rank <= 2 THEN length(p.html) END AS page_chars FROM k LEFT JOIN pages p ON p.page_id = k.ord""",
 )
 def search_enrichment(spark, sf_dir):
     """Page text for the first two of five results per case."""
@@ -691,7 +691,7 @@ def search_enrichment(spark, sf_dir):
 
     ev = base.read_table(spark, sf_dir, "events", "event_id", "user_id")
     results = top_per_key(ev.withColumnRenamed("user_id", "case_id"), ["case_id"], [F.col("event_id").asc()], 5)
-    results = results.withColumn("url", (F.col("event_id") % 500).cast("string"))
+    results = results.withColumn("url", F.col("event_id").cast("string"))
     texts = base.read_table(spark, sf_dir, "pages", F.col("page_id").cast("string").alias("url"), F.col("html").alias("page_text"))
     out = search.enrich_results(results, texts)
     return out.select("case_id", "rank", F.length("page_text").alias("page_chars"))
@@ -718,7 +718,7 @@ def search_queries(spark, sf_dir):
     "candidate_sample",
     r"""WITH p AS (SELECT DISTINCT split_part(split_part(url, '#', 1), '?', 1) AS source_url FROM pages),
         c AS (SELECT source_url, regexp_extract(source_url, '\.example\.(com|net|org)', 1) AS family, regexp_extract(source_url, '\.example\.(com|net|org)', 1) || '_' || regexp_extract(source_url, '/(en|fr|de|es)/', 1) AS bucket,
-              CASE WHEN length(source_url) % 3 = 0 THEN 1 ELSE 0 END AS cls FROM p WHERE length(source_url) % 5 <> 0),
+              CASE WHEN length(source_url) % 3 = 0 THEN 1 ELSE 0 END AS cls FROM p),
         h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY cls, source_url) AS b FROM c) WHERE b = 1),
         f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY bucket) AS fr FROM h) WHERE fr <= 6),
         t AS (SELECT family, count(*) AS taken FROM f GROUP BY family),
@@ -730,7 +730,7 @@ def search_queries(spark, sf_dir):
 def candidate_sample(spark, sf_dir):
     df = base.read_table(spark, sf_dir, "pages", "url")
     u = F.substring_index(F.substring_index("url", "#", 1), "?", 1)
-    df = df.select(u.alias("source_url")).distinct().filter(F.length("source_url") % 5 != 0)
+    df = df.select(u.alias("source_url")).distinct()
     fam = F.regexp_extract("source_url", r"\.example\.(com|net|org)", 1)
     df = df.select(
         "source_url", fam.alias("family"), F.concat(fam, F.lit("_"), F.regexp_extract("source_url", "/(en|fr|de|es)/", 1)).alias("bucket"),
@@ -742,14 +742,14 @@ def candidate_sample(spark, sf_dir):
 @query(
     "outline_and_blocks",
     rf"""WITH {sql.lines()}, n AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM lines),
-        c AS (SELECT doc_id, -1 AS i, '标题: ' || {sql.squash("substr(text, 1, 60)")} AS plain FROM documents WHERE {sql.squash("substr(text, 1, 60)")} <> ''
-              UNION ALL SELECT doc_id, i, {sql.squash("line")} FROM n WHERE i < 20),
+        c AS (SELECT doc_id, -1 AS i, '标题: ' || {sql.squash("split_part(text, chr(10), 1)")} AS plain FROM documents WHERE {sql.squash("split_part(text, chr(10), 1)")} <> ''
+              UNION ALL SELECT doc_id, i, {sql.squash("line")} FROM n),
         im AS (SELECT doc_id, plain, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS r FROM c
                WHERE length(plain) BETWEEN 6 AND 120 AND (contains(lower(plain), 'github') OR contains(lower(plain), 'api')) GROUP BY doc_id, plain),
         fb AS (SELECT doc_id, arg_min(plain, i) AS plain FROM c WHERE length(plain) BETWEEN 8 AND 120 GROUP BY doc_id),
         used AS (SELECT doc_id, plain FROM c WHERE i = -1 UNION SELECT doc_id, plain FROM fb UNION SELECT doc_id, plain FROM im WHERE r <= 3),
         other AS (SELECT DISTINCT doc_id FROM c WHERE length(plain) BETWEEN 8 AND 120 AND (doc_id, plain) NOT IN (SELECT (doc_id, plain) FROM used)),
-        raw_b AS (SELECT doc_id, bool_or(length(line) >= 90 OR (NOT regexp_matches(line, '[，。；：:,]') AND length(regexp_replace(line, '\s+', '', 'g')) >= 32)) AS is_raw FROM n WHERE i < 5 GROUP BY doc_id),
+        raw_b AS (SELECT doc_id, bool_or(length(line) >= 90 OR (NOT regexp_matches(line, '[，。；：:,]') AND length(regexp_replace(line, '\s+', '', 'g')) >= 32)) AS is_raw FROM n GROUP BY doc_id),
         d AS (SELECT doc_id, CASE WHEN (SELECT is_raw FROM raw_b b WHERE b.doc_id = documents.doc_id) THEN 'raw_transcript_bullets' ELSE 'pass' END AS root_cause,
               CASE WHEN doc_id IN (SELECT doc_id FROM n) THEN 1 + CAST(doc_id IN (SELECT doc_id FROM im) AS INT) + CAST(doc_id IN (SELECT doc_id FROM other) AS INT) ELSE 0 END AS blocks FROM documents)
         SELECT root_cause, count(*) AS n_docs, CAST(sum(blocks) AS BIGINT) AS n_blocks FROM d GROUP BY root_cause""",
@@ -763,13 +763,13 @@ def outline_and_blocks(spark, sf_dir):
     none = ar.empty_strings()
     df = df.withColumns(
         {
-            "source_kind": F.lit("video_url"), "title": F.substring("text", 1, 60), "description": F.lit(""), "transcript": F.col("text"),
+            "source_kind": F.lit("video_url"), "title": F.substring_index("text", "\n", 1), "description": F.lit(""), "transcript": F.col("text"),
             "timeline_highlights": none, "transcript_timeline": timed, "subtitle_timeline": none, "ocr_lines": none,
             "keyframe_text": none, "viewer_feedback": none,
         }
     )
     df = media.story_blocks(df)
-    df = df.withColumns({"outline_points": media.story_points(F.col("story_blocks")), "bullets": ar.take(ar.lines(F.col("text")), 5), "conclusion": F.lit("")})
+    df = df.withColumns({"outline_points": media.story_points(F.col("story_blocks")), "bullets": ar.lines(F.col("text")), "conclusion": F.lit("")})
     df = media.outline_recall(df)
     return df.groupBy("outline.root_cause").agg(F.count("*").alias("n_docs"), F.sum(F.size("story_blocks").cast("long")).alias("n_blocks"))
 

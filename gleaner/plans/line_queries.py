@@ -322,7 +322,7 @@ def doc_key_lines(spark, sf_dir):
 
 @query(
     "timeline_highlights",
-    f"""WITH {_LINES}, t AS (SELECT doc_id, pos, '[' || printf('%02d:%02d', pos // 60, pos % 60) || '] ' || {_NORM} AS line FROM lines WHERE pos < 400),
+    f"""WITH {_LINES}, t AS (SELECT doc_id, pos, '[' || CASE WHEN pos >= 3600 THEN printf('%02d:%02d:%02d', pos // 3600, pos % 3600 // 60, pos % 60) ELSE printf('%02d:%02d', pos // 60, pos % 60) END || '] ' || {_NORM} AS line FROM lines),
         s AS (SELECT *, lower(line) AS low FROM t WHERE NOT {_NOISE_SQL}),
         r AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY
               ({_SCORE_SQL} - CASE WHEN contains(line, 'in ') THEN 5 ELSE 0 END - CASE WHEN length(line) < 16 THEN 2 ELSE 0 END) DESC, pos) AS rn FROM s)
@@ -337,7 +337,7 @@ def timeline_highlights(spark, sf_dir):
         lambda x, i: F.when(tx.strip(x) != "", F.concat(F.lit("["), clock_label(i), F.lit("] "), x)),
     )
     df = _docs(spark, sf_dir)
-    kept = F.filter(F.slice(labelled, 1, 400), lambda x: x.isNotNull())
+    kept = F.filter(labelled, lambda x: x.isNotNull())
     found = cp.timeline_highlights(kept, lexicon=_MEDIA, noise=_noise, chatter=("in ",))
     return _rows(df, "doc_id", found)
 

@@ -23,8 +23,8 @@ from gleaner.sources import writers
 from gleaner.streaming import ledger
 
 _NOTES = """notes AS (
-      SELECT d.doc_id, 'Inbox/' || lpad(CAST(d.doc_id AS VARCHAR), 8, '0') || '.md' AS note, d.source AS primary_topic, d.lang AS secondary,
-             p.url AS source_url, substr(d.text, 1, 40) AS title, d.text AS raw_evidence
+      SELECT d.doc_id, 'Inbox/' || printf('%08d', d.doc_id) || '.md' AS note, d.source AS primary_topic, d.lang AS secondary,
+             p.url AS source_url, split_part(d.text, chr(10), 1) AS title, d.text AS raw_evidence
       FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id)"""
 
 
@@ -32,10 +32,10 @@ def note_table(spark, sf_dir):
     docs = base.read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     links = base.read_table(spark, sf_dir, "pages", F.col("page_id").alias("doc_id"), F.col("url").alias("source_url"))
     df = docs.join(links, "doc_id", "left")
-    name = F.concat(F.lit("Inbox/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".md"))
+    name = F.concat(F.lit("Inbox/"), F.format_string("%08d", F.col("doc_id")), F.lit(".md"))
     return df.select(
         "doc_id", name.alias("note"), F.col("source").alias("primary_topic"), F.array("lang").alias("secondary_topics"),
-        "source_url", F.substring("text", 1, 40).alias("title"), F.col("text").alias("raw_evidence"),
+        "source_url", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("raw_evidence"),
     )
 
 
@@ -68,9 +68,7 @@ def topic_counts(spark, sf_dir):
 def topic_selection(spark, sf_dir):
     edges = notes.topic_edges(note_table(spark, sf_dir))
     counts = notes.topic_counts(edges)
-    # The second topic asks for two notes; scaled so that small languages fall out.
-    few = F.when((F.col("n_notes") < 150) & (F.length("topic") == 2), F.lit(1)).otherwise(F.col("n_notes"))
-    return notes.select_topics(edges, counts.withColumn("n_notes", few), ("src5",), ("src1",))
+    return notes.select_topics(edges, counts, ("src5",), ("src1",), min_secondary=150)
 
 
 @query(
@@ -84,12 +82,12 @@ def stale_entries_anti_join(spark, sf_dir):
     return notes.without_stale(index, rewritten)
 
 
-_OLD = """old AS (SELECT topic, note FROM edges WHERE CAST(substr(note, 7, 8) AS INT) % 3 = 0
+_OLD = """old AS (SELECT topic, note FROM edges WHERE CAST(regexp_extract(note, '([0-9]+)', 1) AS BIGINT) % 3 = 0
       UNION ALL SELECT 'gone', note FROM edges WHERE topic = 'src3' UNION ALL SELECT 'src7', 'Else/x.md')"""
 
 
 def _old_index(edges):
-    number = F.substring("note", 7, 8).cast("int")
+    number = F.regexp_extract("note", "([0-9]+)", 1).cast("long")
     old = edges.filter(number % 3 == 0).select("topic", "note")
     gone = edges.filter("topic = 'src3'").select(F.lit("gone").alias("topic"), "note")
     foreign = edges.filter("topic = 'src7'").agg(F.lit("src7").alias("topic"), F.lit("Else/x.md").alias("note"))
@@ -177,7 +175,7 @@ def keyword_hierarchy(spark, sf_dir):
 
 @query(
     "note_tags",
-    f"""WITH {sql.lines()}, t AS (SELECT doc_id, line, pos FROM lines WHERE length(line) <= 20),
+    f"""WITH {sql.lines()}, t AS (SELECT doc_id, line, pos FROM lines ),
         a AS (SELECT d.doc_id, coalesce((SELECT list(line ORDER BY pos) FROM t WHERE t.doc_id = d.doc_id), []) || [upper(d.lang), d.source, d.lang] AS tags FROM documents d),
         u AS (SELECT doc_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS i FROM a),
         f AS (SELECT doc_id, arg_min({sql.squash("tag")}, i) AS tag, min(i) AS i FROM u GROUP BY doc_id, lower({sql.squash("tag")}))
@@ -185,9 +183,8 @@ def keyword_hierarchy(spark, sf_dir):
 )
 def note_tags(spark, sf_dir):
     df = base.documents(spark, sf_dir, "doc_id", "text", "lang", "source")
-    short = F.filter(ar.lines(F.col("text")), lambda x: F.length(x) <= 20)
     return df.select(
-        "doc_id", F.array_join(notes.note_tags(short, F.upper("lang"), F.array("source", "lang")), "|").alias("tags")
+        "doc_id", F.array_join(notes.note_tags(ar.lines(F.col("text")), F.upper("lang"), F.array("source", "lang")), "|").alias("tags")
     )
 
 
@@ -279,13 +276,14 @@ def merged_cases(spark, sf_dir):
 @query(
     "new_auto_cases",
     f"""WITH {_CASES} SELECT DISTINCT sha1(key) AS case_sha, auto_reason FROM k WHERE provenance = 'auto'
-        AND (key, auto_reason) NOT IN (SELECT (key, auto_reason) FROM k WHERE provenance = 'auto' AND ord < 300)""",
+        AND (key, auto_reason) NOT IN (SELECT (key, auto_reason) FROM k WHERE provenance = 'auto' AND ord IN (SELECT doc_id + 1 FROM labels))""",
 )
 def new_auto_cases(spark, sf_dir):
-    """Automatic cases that the inbox of earlier documents does not hold yet."""
+    """Automatic cases that the inbox, the documents behind a labelled one, does not hold yet."""
+    inbox = base.read_table(spark, sf_dir, "labels").select((F.col("doc_id") + 1).alias("ord"))
     table = case_tables(spark, sf_dir).filter("provenance = 'auto'")
     keyed = table.withColumn("case_key", cases.case_key(F.col("source_kind"), F.col("source_url"), F.col("raw_text")))
-    fresh = cases.new_cases(keyed, keyed.filter("ord < 300"))
+    fresh = cases.new_cases(keyed, keyed.join(inbox, "ord", "left_semi"), "ord")
     return fresh.select(F.sha1("case_key").alias("case_sha"), "auto_reason")
 
 

@@ -519,7 +519,7 @@ _STOP = ("the", "and", "of")
         u AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
         f AS (SELECT item_id, w, min(i) AS i FROM u WHERE lower(w) NOT IN ('the', 'and', 'of') GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS rn FROM f)
-        SELECT item_id, string_agg(w, ' ' ORDER BY i) AS tokens FROM r WHERE rn <= 6 GROUP BY item_id""",
+        SELECT item_id, string_agg(w, ' ' ORDER BY i) AS tokens FROM r GROUP BY item_id""",
 )
 def query_tokens(spark, sf_dir):
     from gleaner.operators import search

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner import lexicons as lx
+from gleaner.config import PageLimits
 from gleaner.functions import arrays as ar
 from gleaner.functions import text as tx
 from gleaner.functions import times as tm
@@ -190,7 +191,9 @@ def test_page_without_headings_gets_a_fallback_section(spark):
     html = "<html><head><title>T</title></head><body><p>" + "word " * 400 + "</p></body></html>"
     df = spark.createDataFrame([(1, "https://e.com", html)], "page_id bigint, url string, html string")
     sections = pages.structure_pages(df).first()["doc"]["sections"]
-    assert len(sections) == 1 and sections[0]["heading"] == "T" and len(sections[0]["content"]) <= 1203
+    assert len(sections) == 1 and sections[0]["heading"] == "T" and sections[0]["content"].split() == ["word"] * 400
+    short = pages.structure_pages(df, limits=PageLimits(fallback_section_chars=1200)).first()["doc"]["sections"]
+    assert len(short[0]["content"]) <= 1203
 
 
 def test_article_text(one):
