@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,11 +22,9 @@ SLUG = r"(?U)\b[a-z][a-z0-9]+(?:-[a-z0-9]+){1,5}\b"
 TIMESTAMP_PREFIX = r"^\[[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\]"
 
 #: Named and numeric references that occur in page text.
-ENTITIES = (
-    ("&nbsp;", "\xa0"), ("&#160;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'),
-    ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"), ("&bull;", "•"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&amp;", "&"),
-)
+#: Named character references, as the standard library lists them.
+NAMED_REFERENCES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 _PLAIN = re.compile(r"Column<'[\w.]+(?:\['?\w+'?\])*'>")
@@ -117,12 +116,30 @@ def has_slug(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """Decode the common character references; text without ``&`` passes through."""
+    """Decode character references, named and numeric; text without ``&`` passes through.
 
-    def decode(v: Column) -> Column:
-        return reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, v)
+    Unknown names and numbers that are no character stay as they are.
+    """
+    named = F.str_to_map(F.lit("\x02".join(f"{k}\x03{v}" for k, v in NAMED_REFERENCES.items())), F.lit("\x02"), F.lit("\x03"))
 
-    return let(c, lambda v: F.when(F.contains(v, F.lit("&")), decode(v)).otherwise(v))
+    def one(ref: Column) -> Column:
+        code = F.when(
+            ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 6), 16, 10)
+        ).otherwise(F.substring(ref, 2, 7)).try_cast("int")
+        usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(F.startswith(ref, F.lit("#")), F.when(usable, sign)).otherwise(F.try_element_at(named, ref))
+
+    def decode(v: Column) -> Column:
+        refs, gaps = F.regexp_extract_all(v, F.lit(REFERENCE), 1), F.split(v, REFERENCE, -1)
+        return let(F.struct(refs.alias("r"), gaps.alias("g")), lambda x: F.concat(
+            F.get(x["g"], F.lit(0)),
+            F.array_join(F.transform(x["r"], lambda ref, i: F.concat(
+                F.coalesce(one(ref), F.concat(F.lit("&"), ref, F.lit(";"))), F.get(x["g"], i + 1)
+            )), ""),
+        ))
+
+    return let(c, lambda v: F.when(v.rlike(REFERENCE), decode(v)).otherwise(v))
 
 
 def normalize(c: Column) -> Column:

@@ -1,11 +1,14 @@
 """Pages: article text and document structure from raw HTML, inside the row.
 
-No DOM is built. Noise elements go first, then block-start tags cut the main part
-into pieces; a block ends at the next block tag, so unclosed tags do no harm.
+No DOM is built. Elements are told by the running depth of tags of their name: noise
+elements go first, the main part is one element; block-start tags cut it into pieces,
+and a block ends at the next block tag, so unclosed tags do no harm.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,39 +24,105 @@ _START, _MID = "\x01", "\x02"
 CONTENT_CLASSES = "article|content|post|entry|rich_media_content|note-content"
 
 
+#: A tag, its attribute values in quotes of either kind or none.
+TAG = r"<[a-zA-Z/](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
+# Elements without content.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+# Elements whose content is raw text, so they end at their first close tag.
+RAW_TEXT = ("script", "style", "noscript")
+# Containers of the main part, in order of preference.
+CONTAINERS = (
+    r"\bdata-testid=[\"']readme[\"']",
+    r"\bclass=[\"'](?:[^\"']*\s)?markdown-body(?:\s[^\"']*)?[\"']",
+    r"\brole=[\"']main[\"']",
+    r"\bclass=[\"'](?:[^\"']*\s)?body(?:\s[^\"']*)?[\"']",
+    r"\bclass=[\"'](?:[^\"']*\s)?document(?:\s[^\"']*)?[\"']",
+    r"^<article\b",
+    r"^<main\b",
+)
+
+
+def _element_codes(tags: Column, target: Callable[[Column], Column]) -> Column:
+    """Per tag: 1 opens an element that ``target`` selects, 3 closes it, 2 is inside, 0 outside.
+
+    The element ends where as many tags of its name are closed as were opened since. One that
+    is never closed isn't an element.
+    """
+    start = F.struct(F.lit("").alias("name"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("codes"))
+
+    def step(acc: Column, x: Column) -> Column:
+        name = F.lower(F.regexp_extract(x, "^</?([a-zA-Z0-9:-]+)", 1))
+        close, void = F.startswith(x, F.lit("</")), F.endswith(x, F.lit("/>")) | name.isin(*VOID)
+        same = (acc["depth"] > 0) & (name == acc["name"]) & ~void
+        opens = (acc["depth"] == 0) & ~close & ~void & target(x)
+        depth = F.when(opens, 1).when(same & close, acc["depth"] - 1).when(same, acc["depth"] + 1).otherwise(acc["depth"])
+        code = F.when(opens, 1).when((acc["depth"] > 0) & (depth == 0), 3).when(acc["depth"] > 0, 2).otherwise(0)
+        return F.struct(F.when(opens, name).otherwise(acc["name"]).alias("name"), depth.alias("depth"), F.concat(acc["codes"], F.array(code)).alias("codes"))
+
+    def closed(acc: Column) -> Column:
+        last = F.size(acc["codes"]) - F.array_position(F.reverse(acc["codes"]), 1)
+        return F.when(acc["depth"] == 0, acc["codes"]).otherwise(
+            F.transform(acc["codes"], lambda c, i: F.when(i >= last, F.lit(0)).otherwise(c)))
+
+    return F.aggregate(tags, start, step, closed)
+
+
+def _parts(html: Column) -> Column:
+    """struct(tags, gaps): the tags and the text before, between and behind them."""
+    return F.struct(F.regexp_extract_all(html, F.lit(TAG), 0).alias("tags"), F.split(html, TAG, -1).alias("gaps"))
+
+
+def cut_elements(html: Column, target: Callable[[Column], Column]) -> Column:
+    """HTML without the elements that ``target`` selects by their open tag, with all that is in them."""
+
+    def kept(p: Column) -> Column:
+        return tx.let(_element_codes(p["tags"], target), lambda codes: F.concat(
+            F.get(p["gaps"], F.lit(0)),
+            F.array_join(F.transform(p["tags"], lambda t, i: F.when(F.get(codes, i) == 0, F.concat(t, F.get(p["gaps"], i + 1)))
+                         .when(F.get(codes, i) == 3, F.concat(F.lit(" "), F.get(p["gaps"], i + 1))).otherwise(F.lit(""))), ""),
+        ))
+
+    return tx.let(_parts(html), lambda p: F.when(F.exists(p["tags"], target), kept(p)).otherwise(html))
+
+
+def inner_of(html: Column, target: Callable[[Column], Column]) -> Column:
+    """Content of the first closed element that ``target`` selects; null without one."""
+
+    def content(p: Column) -> Column:
+        def between(codes: Column) -> Column:
+            first = F.array_position(codes, 1).cast("int") - 1
+            last = F.array_position(codes, 3).cast("int") - 1
+            return F.when(last > first, F.concat(F.get(p["gaps"], first + 1), F.array_join(F.transform(
+                F.slice(p["tags"], first + 2, last - first - 1), lambda t, i: F.concat(t, F.get(p["gaps"], first + 2 + i))), "")))
+
+        return tx.let(_element_codes(p["tags"], target), between)
+
+    return tx.let(_parts(html), lambda p: F.when(F.exists(p["tags"], target), content(p)))
+
+
 def without_noise(html: Column) -> Column:
-    """HTML without noise elements, noise classes and comments."""
+    """HTML without noise elements, noise classes and comments; nested ones go with theirs."""
     c = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for tag in lx.PAGE_NOISE_TAGS:
+    for tag in RAW_TEXT:
         c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    names = "|".join(t for t in lx.PAGE_NOISE_TAGS if t not in RAW_TEXT)
     classes = "|".join(lx.PAGE_NOISE_CLASSES)
-    noisy = rf"(?is)<(\w+)\b[^>]*\bclass=[\"'](?:[^\"']*\s)?(?:{classes})(?:\s[^\"']*)?[\"'][^>]*>.*?</\1\s*>"
-    return F.when(c.rlike(f"(?i)class=[\"'][^\"']*(?:{classes})"), F.regexp_replace(c, noisy, " ")).otherwise(c)
+    noisy = rf"(?is)^<(?:(?:{names})\b|\w[^>]*\bclass=[\"'](?:[^\"']*\s)?(?:{classes})(?:\s[^\"']*)?[\"'])"
+    return F.when(
+        c.rlike(rf"(?i)<(?:{names})\b|class=[\"'][^\"']*(?:{classes})"), cut_elements(c, lambda t: t.rlike(noisy))
+    ).otherwise(c)
 
 
 def main_part(html: Column) -> Column:
-    """Content of the first primary container in order of preference."""
+    """Content of the first primary container in order of preference, from its open tag to its own close tag."""
 
     def inside(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
-
-    by_attribute = [
-        r"data-testid=[\"']readme[\"']",
-        r"class=[\"'](?:[^\"']*\s)?markdown-body(?:\s[^\"']*)?[\"']",
-        r"role=[\"']main[\"']",
-        r"class=[\"'](?:[^\"']*\s)?body(?:\s[^\"']*)?[\"']",
-        r"class=[\"'](?:[^\"']*\s)?document(?:\s[^\"']*)?[\"']",
-    ]
-    # The element name differs per page, so the part reaches to its last close tag.
-    options = [
-        F.nullif(F.regexp_extract(html, rf"(?is)<(\w+)\b[^>]*{attr}[^>]*>(.*)</\1\s*>", 2), F.lit(""))
-        for attr in by_attribute
-    ]
-    marked = html.rlike("(?i)data-testid=|markdown-body|role=[\"']main|class=[\"'][^\"']*(?:body|document)")
-    options = [F.when(marked, o) for o in options]
-    options += [inside(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>") for tag in ("article", "main")]
-    options += [inside(r"(?is)<body\b[^>]*>(.*)"), html]
-    return F.coalesce(*options)
+        return F.nullif(inner_of(html, lambda t: t.rlike("(?is)" + pattern)), F.lit(""))
+
+    marked = html.rlike("(?i)data-testid=|markdown-body|role=[\"']main|class=[\"'][^\"']*(?:body|document)|<article|<main")
+    options = [F.when(marked, inside(pattern)) for pattern in CONTAINERS]
+    body = F.nullif(F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)", 1), F.lit(""))
+    return F.coalesce(*options, body, html)
 
 
 def blocks(main: Column) -> Column:
