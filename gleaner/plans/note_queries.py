@@ -19,7 +19,6 @@ from gleaner.operators import predicates as pr
 from gleaner.plans import base, sql
 from gleaner.plans.registry import query
 from gleaner.session import checkpoint_dir
-from gleaner.sources import writers
 from gleaner.streaming import ledger
 
 _NOTES = """notes AS (
@@ -315,41 +314,51 @@ def set_differences(spark, sf_dir):
     return df.select("user_id", m.alias("m")).select("user_id", *[F.array_join(f"m.{n}", ",").alias(n) for n in ("matched", "missing", "extra")])
 
 
-_LEDGER_SQL = """WITH p AS (SELECT user_id AS job_id, event_id, event_type, value FROM events),
-        a AS (SELECT job_id, count(*) AS n_events, count(DISTINCT event_type) FILTER (WHERE event_type = 'error' OR value > 60) AS n_warnings,
-              arg_max(event_type, event_id) AS last_type FROM p GROUP BY job_id)
-        SELECT job_id, n_events, CASE WHEN last_type = 'error' THEN 'failed' WHEN n_warnings > 0 THEN 'completed_with_warnings' ELSE 'done' END AS status FROM a"""
+_LEDGER_SQL = """WITH p AS (SELECT user_id AS job_id, event_id AS seq, list_extract(['extract', 'summarize', 'write_note', 'notify'], CAST(event_id % 4 + 1 AS INT)) AS phase,
+          CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS state, CASE WHEN event_type = 'error' OR value > 60 THEN event_type END AS warning FROM events),
+        a AS (SELECT job_id, count(*) AS n_events, arg_max(state, seq) AS last_state, arg_max(phase, seq) AS last_phase FROM p GROUP BY job_id),
+        w AS (SELECT job_id, string_agg(warning, ',' ORDER BY first_at, warning) AS warnings FROM (SELECT job_id, warning, min(seq) AS first_at FROM p WHERE warning IS NOT NULL GROUP BY ALL) GROUP BY job_id),
+        h AS (SELECT job_id, phase, arg_max(state, seq) AS state FROM p GROUP BY ALL),
+        n AS (SELECT unnest(['extract', 'summarize', 'write_note', 'notify']) AS phase, unnest(range(4)) AS i),
+        s AS (SELECT a.job_id, string_agg(n.phase || ':' || coalesce(h.state, 'pending'), ',' ORDER BY i) AS phases FROM a, n LEFT JOIN h ON h.job_id = a.job_id AND h.phase = n.phase GROUP BY a.job_id)
+        SELECT job_id, n_events, CASE WHEN last_state = 'failed' THEN 'failed' WHEN warnings IS NOT NULL THEN 'completed_with_warnings' ELSE 'done' END AS status,
+          phases, coalesce(warnings, '') AS warnings, CASE WHEN last_state = 'failed' THEN last_phase END AS failed_phase
+        FROM a JOIN s USING (job_id) LEFT JOIN w USING (job_id)"""
 
 
 def _phase_events(ev):
+    phases = F.array(*[F.lit(p) for p in ledger.PHASES])
     return ev.select(
-        F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.lit("extract").alias("phase"),
+        F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.get(phases, (F.col("event_id") % 4).cast("int")).alias("phase"),
         F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("state"),
         F.when((F.col("event_type") == "error") | (F.col("value") > 60), F.col("event_type")).alias("warning"),
     )
 
 
+def _ledger_rows(df):
+    states = F.transform(F.array(*[F.lit(p) for p in ledger.PHASES]), lambda p: F.concat_ws(":", p, F.element_at("phases", p)))
+    return df.select("job_id", "n_events", "status", F.array_join(states, ",").alias("phases"), F.array_join("warnings", ",").alias("warnings"), "failed_phase")
+
+
 @query("job_ledger", _LEDGER_SQL)
 def job_ledger(spark, sf_dir):
-    """Final status per job from its phase events, by partial aggregation."""
+    """Status, phases and warnings per job from its phase events, by partial aggregation."""
     ev = base.read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
-    return ledger.final_ledger(_phase_events(ev)).select("job_id", "n_events", "status")
+    return _ledger_rows(ledger.final_ledger(_phase_events(ev)))
 
 
 @query("job_ledger_stream", _LEDGER_SQL)
 def job_ledger_stream(spark, sf_dir):
-    """The same ledger from the stateful stream over the event files."""
-    folder = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="spark-ledger-")
+    """The same ledger from the parts of a stream over the event files."""
+    folder = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="spark-ledger-")  # unset in local runs only
     run = f"{folder.rstrip('/')}/ledger-{uuid.uuid4().hex}"
     schema = base.read_table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    query_run = (
-        ledger.stream_ledger(_phase_events(events))
-        .writeStream.outputMode("update")
-        .foreachBatch(lambda batch, number: writers.upsert(batch, f"{run}/out", number))
+    started = (
+        ledger.stream_ledger(_phase_events(events), f"{run}/parts")
         .option("checkpointLocation", f"{run}/state")
         .trigger(availableNow=True)
         .start()
     )
-    query_run.awaitTermination()
-    return writers.read_latest(spark, f"{run}/out", ["job_id"]).select("job_id", "n_events", "status")
+    started.awaitTermination()
+    return _ledger_rows(ledger.read_ledger(spark, f"{run}/parts"))

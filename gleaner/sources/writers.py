@@ -52,10 +52,14 @@ def write_cache(df: DataFrame, path: str, version: int | None = None) -> int:
     return upsert(distinct_last(kept, ["source_url"], ["_c"]).drop("_c"), path, version)
 
 
-def write_notes(df: DataFrame, path: str) -> None:
-    """Notes under ``year=/month=`` of their capture time."""
-    out = df.withColumns({"year": F.date_format("captured_at", "yyyy"), "month": F.date_format("captured_at", "MM")})
-    out.write.mode("append").partitionBy("year", "month").parquet(path)
+def write_notes(df: DataFrame, path: str, version: int | None = None) -> int:
+    """Upsert notes by ``path``, with year and month of their capture time; within one write the latest capture wins.
+
+    A note that is written again replaces itself: resolve the path of a known page with
+    ``notes.existing_note`` first. Read with ``read_latest(spark, path, ["path"])``.
+    """
+    out = df.withColumns({"year": F.date_format("captured_at", "yyyy"), "month": F.date_format("captured_at", "MM"), "_c": F.col("captured_at")})
+    return upsert(distinct_last(out, ["path"], ["_c"]).drop("_c"), path, version)
 
 
 def write_report(results: DataFrame, path: str) -> None:

@@ -1,25 +1,24 @@
 """Job and phase ledger over phase events, batch and streaming.
 
-A phase event is (job_id, seq, phase, state, warning). The batch form and the
-stateful stream use one rule for the final status, so they agree on equal input.
+A phase event is (job_id, seq, phase, state, warning). Events are first reduced to *parts*,
+one row per (job, phase, warning), which merge by sums and maxima. A batch merges the parts of
+all its events; the stream keeps the parts of every micro-batch and merges them on reading, so
+both follow one rule, a busy job never meets in one task event by event, and a repeated
+micro-batch replaces its own parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
+
+from gleaner.sources import writers
 
 #: Phases of a job and states of a phase.
 PHASES = ("extract", "summarize", "write_note", "notify")
 STATES = ("pending", "processing", "done", "failed", "skipped")
 
-OUTPUT = "job_id BIGINT, n_events BIGINT, status STRING, phases MAP<STRING, STRING>, warnings ARRAY<STRING>, failed_phase STRING"
-STATE = "seq BIGINT, n BIGINT, phases MAP<STRING, STRING>, seqs MAP<STRING, BIGINT>, warnings ARRAY<STRING>, warn_seqs ARRAY<BIGINT>"
-
 
 def job_status(last_state: Column, n_warnings: Column) -> Column:
     return (
@@ -30,30 +29,30 @@ def job_status(last_state: Column, n_warnings: Column) -> Column:
     )
 
 
-def final_ledger(events: DataFrame) -> DataFrame:
-    """One row per job. A busy job is reduced per (job, phase, warning) before its rows meet.
+def ledger_parts(events: DataFrame) -> DataFrame:
+    """(job_id, phase, warning, n, last, first_seq): what is to be known of a set of events."""
+    return events.groupBy("job_id", "phase", "warning").agg(
+        F.count("*").alias("n"), F.max(F.struct("seq", "phase", "state")).alias("last"), F.min("seq").alias("first_seq")
+    )
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """One row per job: n_events, status, phases, warnings in order of appearance, failed_phase.
 
     Phases that saw no event stay ``pending``.
     """
-    at = F.struct("seq", "phase", "state")
-    parts = events.groupBy("job_id", "phase", "warning").agg(
-        F.count("*").alias("n"), F.max(at).alias("last"), F.min("seq").alias("first_seq")
-    )
-    per_phase = F.sort_array(F.collect_list(F.struct("last.seq", "phase", "last.state")))
-    warned = F.sort_array(F.collect_list(F.when(F.coalesce("warning", F.lit("")) != "", F.struct("first_seq", "warning"))))
-    jobs = parts.groupBy("job_id").agg(
-        F.sum("n").alias("n_events"), F.max("last").alias("last"), per_phase.alias("_p"), warned.alias("_w")
-    )
-    latest = F.map_from_entries(
-        F.transform(
-            F.array_distinct(F.transform("_p", lambda e: e["phase"])),
-            lambda name: F.struct(name.alias("key"), F.element_at(F.filter("_p", lambda e: e["phase"] == name), -1)["state"].alias("value")),
-        )
+    by_phase = parts.groupBy("job_id", "phase").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    jobs = by_phase.groupBy("job_id").agg(
+        F.sum("n").alias("n_events"), F.max("last").alias("last"),
+        F.map_from_entries(F.collect_list(F.struct("phase", "last.state"))).alias("_seen"),
     )
+    by_warning = parts.filter(F.coalesce("warning", F.lit("")) != "").groupBy("job_id", "warning").agg(F.min("first_seq").alias("at"))
+    warned = by_warning.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("at", "warning"))).alias("_w"))
     blank = F.create_map(*[F.lit(x) for p in PHASES for x in (p, "pending")])
     seen = F.col("_seen")
     phases = F.map_concat(F.map_filter(blank, lambda k, _: ~F.map_contains_key(seen, k)), seen)
-    jobs = jobs.withColumns({"_seen": latest, "warnings": F.array_distinct(F.transform("_w", lambda e: e["warning"]))})
+    warnings = F.coalesce(F.transform("_w", lambda e: e["warning"]), F.array().cast("array<string>"))
+    jobs = jobs.join(warned, "job_id", "left").withColumn("warnings", warnings)
     return jobs.select(
         "job_id",
         "n_events",
@@ -64,42 +63,16 @@ def final_ledger(events: DataFrame) -> DataFrame:
     )
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        seq, n, phases, seqs, warnings, warn_seqs = state.get
-        phases, seqs, first = dict(phases), dict(seqs), dict(zip(warnings, warn_seqs))
-    else:
-        seq, n, phases, seqs, first = -1, 0, {}, {}, {}
-    for batch in batches:
-        n += len(batch)
-        # Events may arrive out of order: the largest sequence number decides.
-        for row in batch.sort_values("seq").itertuples(index=False):
-            if row.seq >= seqs.get(row.phase, -1):
-                phases[row.phase], seqs[row.phase] = row.state, int(row.seq)
-            if isinstance(row.warning, str) and row.warning:
-                first[row.warning] = min(int(row.seq), first.get(row.warning, int(row.seq)))
-            seq = max(seq, int(row.seq))
-    ordered = sorted(first, key=lambda w: (first[w], w))
-    state.update((seq, n, phases, seqs, ordered, [first[w] for w in ordered]))
-    last_phase = max(seqs, key=lambda p: (seqs[p], p))
-    last = phases[last_phase]
-    status = "failed" if last == "failed" else "processing" if last in ("pending", "processing") else (
-        "completed_with_warnings" if ordered else "done"
-    )
-    full = {p: phases.get(p, "pending") for p in dict.fromkeys((*PHASES, *phases))}
-    yield pd.DataFrame(
-        {
-            "job_id": [key[0]], "n_events": [n], "status": [status], "phases": [full], "warnings": [ordered],
-            "failed_phase": [last_phase if last == "failed" else None],
-        }
-    )
+def final_ledger(events: DataFrame) -> DataFrame:
+    """The ledger of a table of events."""
+    return merge_parts(ledger_parts(events))
 
 
-def stream_ledger(events: DataFrame) -> DataFrame:
-    """Stateful ledger of a phase-event stream: emits a job's row whenever it changes.
+def stream_ledger(events: DataFrame, path: str) -> DataStreamWriter:
+    """Keep the parts of every micro-batch of an event stream below ``path``; set trigger and checkpoint, then start."""
+    return events.writeStream.foreachBatch(lambda batch, number: writers.upsert(ledger_parts(batch), path, number))
 
-    The state per job is its phases and distinct warnings, not its events.
-    """
-    return events.groupBy("job_id").applyInPandasWithState(
-        _step, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout
-    )
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger of all events that :func:`stream_ledger` has seen."""
+    return merge_parts(spark.read.parquet(path))
