@@ -344,7 +344,8 @@ def deduplicate(
     source = source.where(F.octet_length("text") >= length).withColumn("text_id", F.unhex(F.md5("text")))
     texts = materialize(source.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "texts")
 
-    rows = _run_rows(source, length)
+    # Anchors are found once: a row per run costs less to keep than to find again.
+    rows = materialize(_run_rows(source, length), "rows")
     # Copies of a text in several tasks count repeatedly, which only makes more anchors pass.
     anchors = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("x"), F.max("block").alias("y")).where("n > 1")
     anchors = materialize(anchors.select("anchor", (F.col("x") != F.col("y")).alias("mixed")), "anchors")
