@@ -12,7 +12,6 @@ from gleaner.functions import arrays as ar
 from gleaner.functions import text as tx
 from gleaner.functions.scoring import as_score, clamp01
 from gleaner.operators import lines as ln
-from gleaner.operators.keyed import salted_lookup
 
 #: Expectation lists of a case and the label of their items.
 REQUIRED_LABELS = {
@@ -250,13 +249,8 @@ def compare_text(text: Column, required: Column, forbidden: Column, min_chars: C
     return tx.let(tx.token(text), body)
 
 
-#: A phrase table up to this many characters is broadcast; larger ones are salted.
-BROADCAST_CHARS = 32_000_000
-
-
-def _shared_keys(text: Column, kinds: Iterable[str], gram: int) -> Column:
-    """Distinct join keys a text offers: word n-grams and, if asked for, 1-2 characters."""
-    kinds = set(kinds)
+def _shared_keys(text: Column, kinds: Column, gram: int) -> Column:
+    """Distinct join keys a text offers: word n-grams and 1-2 characters, of the kinds that are asked for."""
 
     def words_of(xs: Column, size: int) -> Column:
         last = F.size(xs) - size + 1
@@ -264,55 +258,57 @@ def _shared_keys(text: Column, kinds: Iterable[str], gram: int) -> Column:
             F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
             lambda i: F.concat(F.lit("w:"), F.array_join(F.slice(xs, i, size), " ")),
         )
-        return F.when(last >= 1, run).otherwise(ar.empty_strings())
+        return F.when((last >= 1) & F.array_contains(kinds, f"w{size}"), run).otherwise(ar.empty_strings())
 
     def chars_of(cs: Column) -> Column:
         pairs = F.transform(cs, lambda c, i: F.concat(F.lit("c:"), c, F.coalesce(F.get(cs, i + 1), F.lit(""))))
         return F.concat(pairs, F.transform(cs, lambda c: F.concat(F.lit("c:"), c)))
 
-    options = [tx.let(F.split(text, " "), lambda xs: words_of(xs, size)) for size in range(1, gram + 1) if f"w{size}" in kinds]
-    if "c" in kinds:
-        options.append(tx.let(F.split(text, ""), chars_of))
-    return F.array_distinct(F.concat(*options)) if options else ar.empty_strings()
+    grams = tx.let(F.split(text, " "), lambda xs: F.concat(*[words_of(xs, size) for size in range(1, gram + 1)]))
+    short = F.when(F.array_contains(kinds, "c"), tx.let(F.split(text, ""), chars_of)).otherwise(ar.empty_strings())
+    return F.array_distinct(F.concat(grams, short))
 
 
 def phrase_hits(
-    docs: DataFrame, phrases: DataFrame, doc_id: str, text: str, phrase_id: str, phrase: str, gram: int = 3,
-    broadcast_chars: int = BROADCAST_CHARS,
+    docs: DataFrame, phrases: DataFrame, doc_id: str, text: str, phrase_id: str, phrase: str, gram: int = 3, blocks: int = 1,
 ) -> DataFrame:
     """(phrase_id, doc_id) pairs where the normalised text contains the phrase.
 
-    No pair is formed without a shared key. Inside a phrase every word but the
-    first and last must be a whole word of the text, so those inner words (up to
-    ``gram`` of them) are the key; phrases of one or two words meet on their first
-    two characters. The phrase table is measured: a small one is broadcast, a large
-    one meets the texts in a salted join. Every candidate is verified.
+    Inside a phrase every word but the first and last must be a whole word of the text, so
+    those inner words (up to ``gram`` of them) are its key; phrases of one or two words have
+    their first two characters. The set of all keys is a subquery of one row: a text keeps
+    only those of its keys that are asked for, meets the phrases of these keys, and every
+    candidate is verified in the row of its text. Texts are read once and don't move as long
+    as the phrases are small enough to be broadcast, which Spark decides by their size. A
+    phrase table of millions is dealt into ``blocks``, each of which reads the texts again.
     """
     p = phrases.select(F.col(phrase_id), tx.token(F.col(phrase)).alias("_p")).filter("_p <> ''")
     p = p.withColumn("_n", F.size(F.split("_p", " ")))
     kind = F.when(F.col("_n") < 3, F.lit("c")).otherwise(
         F.concat(F.lit("w"), F.least(F.col("_n") - 2, F.lit(gram)).cast("string"))
     )
-    p = p.withColumns({"_kind": kind})
-    key = F.when(F.col("_kind") == "c", F.concat(F.lit("c:"), F.substring("_p", 1, 2))).otherwise(
+    key = F.when(F.col("_n") < 3, F.concat(F.lit("c:"), F.substring("_p", 1, 2))).otherwise(
         F.concat(F.lit("w:"), F.expr(f"array_join(slice(split(_p, ' '), 2, greatest(least(_n - 2, {gram}), 0)), ' ')"))
     )
-    p = p.withColumn("key", key)
-    stats = p.agg(F.sum(F.length("_p")).alias("chars"), F.collect_set("_kind").alias("kinds")).first()
+    p = p.select(phrase_id, "_p", kind.alias("_kind"), key.alias("_key"))
     d = docs.select(F.col(doc_id), tx.token(F.col(text)).alias("_t"))
-    held = ar.explode_rows(d, doc_id, _shared_keys(F.col("_t"), stats["kinds"], gram), "key").drop("ord")
-    lookup = p.select("key", phrase_id, "_p")
-    if (stats["chars"] or 0) <= broadcast_chars:
-        pairs = held.join(F.broadcast(lookup), "key")
-    else:
-        pairs = salted_lookup(held, lookup, ["key"], "inner", deal_by=[doc_id])
-    return (
-        pairs.select(doc_id, phrase_id, "_p")
-        .distinct()
-        .join(d, doc_id)
-        .filter(F.contains(F.col("_t"), F.col("_p")))
-        .select(phrase_id, doc_id)
-    )
+
+    def of_block(part: DataFrame) -> DataFrame:
+        asked = part.agg(F.collect_set("_key")).scalar()
+        kinds = part.agg(F.collect_set("_kind")).scalar()
+        held = d.select(doc_id, "_t", asked.alias("_asked"), kinds.alias("_kinds"))
+        shared = F.array_intersect(_shared_keys(F.col("_t"), F.col("_kinds"), gram), F.col("_asked"))
+        held = held.select(doc_id, "_t", F.explode(shared).alias("_key"))
+        return held.join(part.select("_key", phrase_id, "_p"), "_key").filter(F.contains("_t", "_p")).select(phrase_id, doc_id)
+
+    if blocks == 1:
+        return of_block(p)
+    number = F.pmod(F.xxhash64("_key"), F.lit(blocks))
+    found = [of_block(p.filter(number == i)) for i in range(blocks)]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
 
 
 # --- comparisons and iteration ---------------------------------------------------

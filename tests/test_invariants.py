@@ -73,19 +73,30 @@ def test_salted_lookup_equals_a_plain_join(spark):
         assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
-@pytest.mark.parametrize("limit", [0, 32_000_000])
-def test_phrase_hits_equal_brute_force(spark, limit):
-    """Both join forms, for long phrases, short phrases and single characters."""
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_phrase_hits_equal_brute_force(spark, blocks):
+    """In one block and in several, for long phrases, short phrases and single characters."""
     texts = ["the quick brown fox jumps over", "Quick  brown\nfox", "aa bb", "x", "over the lazy dog and on", "", "brown fox"]
     phrases = ["quick brown fox", "ck brown fo", "brown fox", "x", "the lazy dog and", "bb", "zzz", "he quick brown fox jumps ov", "o"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     table = spark.createDataFrame(list(enumerate(phrases)), "pid bigint, phrase string")
-    got = evaluation.phrase_hits(docs, table, "doc_id", "text", "pid", "phrase", broadcast_chars=limit)
+    got = evaluation.phrase_hits(docs, table, "doc_id", "text", "pid", "phrase", blocks=blocks)
     norm = [" ".join(t.split()).lower() for t in texts]
     want = {(i, j) for i, p in enumerate(phrases) for j, t in enumerate(norm) if p in t}
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_phrase_hits_read_the_texts_once_and_leave_them_in_place(spark, tmp_path):
+    spark.range(50).selectExpr("id AS doc_id", "concat('text number ', id) AS text").write.parquet(f"{tmp_path}/d")
+    table = spark.createDataFrame([(1, "text number 4"), (2, "er 1")], "pid bigint, phrase string")
+    got = evaluation.phrase_hits(spark.read.parquet(f"{tmp_path}/d"), table, "doc_id", "text", "pid", "phrase")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert moved and not any("_t#" in line or "text#" in line for line in moved)
+    assert got.count() == 11 + 11
+
+
 def test_duplicates_of_a_hot_group(spark):
     rows = [(f"p{i:03d}", "https://e.com" if i % 3 else None, f"t{i % 5}", "body") for i in range(120)]
     df = spark.createDataFrame(rows, "path string, source_url string, title string, raw_evidence string")
