@@ -22,7 +22,7 @@ FOLD = bytes(
 )
 
 #: Text bytes that a Python task holds as one block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def alnum_words(text: bytes) -> list[bytes]:
