@@ -113,15 +113,16 @@ def merge_sources(*tables: DataFrame, key: str = "doc_id", limit: int | None = N
     """Union of (doc, pos, source) tables to one distinct, ordered source list per doc.
 
     Names are reduced to their first position, and to the first ``limit`` names per
-    doc, before they are collected.
+    doc if there is a limit, before they are collected.
     """
     union = tables[0]
     for t in tables[1:]:
         union = union.unionByName(t)
     first = union.filter(F.trim("source") != "").groupBy(key, "source").agg(F.min("pos").alias("pos"))
-    first = top_per_key(first, [key], [F.col("pos").asc(), F.col("source").asc()], limit)
+    if limit is not None:
+        first = top_per_key(first, [key], [F.col("pos").asc(), F.col("source").asc()], limit)
     packed = F.sort_array(F.collect_list(F.struct("pos", "source")))
-    return first.groupBy(key).agg(ar.take(F.transform(packed, lambda e: e["source"]), limit).alias("evidence_sources"))
+    return first.groupBy(key).agg(F.transform(packed, lambda e: e["source"]).alias("evidence_sources"))
 
 
 def fingerprint(version: str = "1") -> Column:
