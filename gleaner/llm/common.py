@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -99,7 +98,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     folder = shared_folder(df.sparkSession, label)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def local_path(folder: str) -> str:
-    return os.path.abspath(folder.removeprefix("file:"))

@@ -35,7 +35,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     x, y = F.col(a), F.col(b)
     edges = links.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
     edges = materialize(edges, "links")
-    nodes = edges
     before = None
     for _ in range(rounds):
         edges = materialize(_star(_star(edges, True), False), "links")

@@ -15,7 +15,6 @@ larger benchmark is searched in several blocks of items, each adding to the runn
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterable
 
