@@ -16,7 +16,6 @@ from gleaner.operators import predicates as pr
 from gleaner.operators import profiles, signals
 
 # --- fixed values: story vocabularies and sentences ---------------------------------
-FINANCE = ("股票", "股市", "自选股", "开盘", "买入", "持有", "量化", "交易", "行情")
 GAME = ("攻略", "流派", "构筑", "打法", "卡组", "英雄", "boss", "角色")
 TUTORIAL = ("教程", "安装", "部署", "配置", "工作流", "自动化", "接入", "运行")
 WORKFLOW_LINES = (

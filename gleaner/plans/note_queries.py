@@ -12,7 +12,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from gleaner.functions import arrays as ar
-from gleaner.functions import text as tx
 from gleaner.functions import urls
 from gleaner.operators import cases, notes
 from gleaner.operators import predicates as pr
