@@ -156,7 +156,7 @@ class SalientLexicon:
     noise: tuple[str, ...] = ("notifications", "issues", "pull requests", "sign in", "鼠标悬停", "说点什么")
 
 
-#: (tokens, weight, mode) rows of the additive document key-line score.
+#: (tokens, weight) rows of the additive document key-line score.
 DOC_KEY_WEIGHTS = (
     (("/install-skill",), 10),
     ((".skill",), 9),
