@@ -2,11 +2,12 @@
 
 The licence notices below are the templates. A *postings* table maps each of their words to
 (template, position). Which words are rare is learned from the corpus: the document
-frequency of every template word, counted over all documents, gives its IDF. For a file the
-scan takes its ``TOP`` licence words of highest IDF, intersects their postings by relative
-position (place in the file minus place in the template): hits of one template with one
-offset agree. A template whose agreeing words reach a share of its IDF weight, and whose
-mandatory key phrases stand in the text, gives its label.
+frequency of every template word, counted over all documents, gives its IDF. A template is
+looked up by its ``TOP`` words of highest IDF. For a file the scan intersects the postings of
+all these words by relative position (place in the file minus place in the template): hits of
+one template with one offset agree. A template whose agreeing words reach a share of its IDF
+weight, and whose mandatory key phrases stand in the text, gives its label. Templates don't
+compete for places in the lookup, so a file may hold any number of notices.
 
 All of it is array work inside the row, native from end to end: texts don't move and no key
 can be hot. The only exchange counts document frequencies, one row per template word.
@@ -54,7 +55,7 @@ TEMPLATES = (
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution",)),
 )
 
-#: Rarest licence words of a file that are looked up; least share of a template's weight that must agree.
+#: Rarest words of a template that are looked up; least share of their weight that must agree.
 TOP = 12
 SHARE = 0.6
 #: A licence word is looked up only if it is in less than this share of all documents.
@@ -130,10 +131,12 @@ def scan(docs: DataFrame, result: str, text: str = "text", idf: dict[str, float]
     total = []
     for t, (_, notice, _) in enumerate(TEMPLATES):
         own = [(q, w) for q, w in enumerate(_split(notice)) if w in set(rare)]
-        best = set(sorted({w for _, w in own}, key=lambda w: (-idf[w], w))[:TOP])  # no file is asked for more
-        total.append(sum(idf[w] for _, w in own if w in best))
+        best = set(sorted({w for _, w in own}, key=lambda w: (-idf[w], w))[:TOP])
+        own = [(q, w) for q, w in own if w in best]
+        total.append(sum(idf[w] for _, w in own))
         for q, w in own:
             postings.setdefault(w, []).append((t, q))
+    rare = sorted(postings)
     weight = F.create_map(*[x for w in rare for x in (F.lit(w), F.lit(float(idf[w])))])
     table = F.create_map(*[
         x for w in rare for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in postings[w]]))
@@ -151,14 +154,9 @@ def scan(docs: DataFrame, result: str, text: str = "text", idf: dict[str, float]
     def _templates(w: Column, normalized: Column) -> Column:
         hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("p"))), lambda h: h["w"].isin(rare))
         return let(hits, lambda h: F.when(F.size(h) == 0, F.array().cast("array<struct<t:int,share:double>>")).otherwise(
-            let(_top(h), lambda chosen: _agree(F.filter(h, lambda x: F.array_contains(chosen, x["w"])), normalized)),
+            _agree(h, normalized),
         ))
 
-    def _top(h: Column) -> Column:
-        distinct = F.array_distinct(F.transform(h, lambda x: x["w"]))
-        ranked = F.array_sort(F.transform(distinct, lambda x: F.struct((-F.try_element_at(weight, x)).alias("k"), x.alias("w"))))
-        return F.transform(F.slice(ranked, 1, TOP), lambda x: x["w"])
-
     def _agree(h: Column, normalized: Column) -> Column:
         pairs = F.flatten(F.transform(h, lambda x: F.transform(
             F.try_element_at(table, x["w"]),

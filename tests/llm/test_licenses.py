@@ -46,3 +46,21 @@ def test_templates_are_found_whole_and_only_there(spark):
         assert label in got[i].labels and got[i].score > 0.9, (label, got[i])
     assert all(not got[i].labels and got[i].score == 0 for i in got if i >= 100)
     assert lic.scan(table(spark, []).drop("found"), "found").collect() == []
+
+
+def test_several_notices_in_one_file(spark):
+    """Notices don't crowd each other out, nor do other rare licence words before them."""
+    notice = lambda *labels: [text for label, text, _ in lic.TEMPLATES if label in labels]
+    wanted = [
+        {"mit", "bsd"}, {"bsd", "isc"}, {"mit", "bsd", "isc"}, {"mit", "apache-2.0"}, {label for label, _, _ in lic.TEMPLATES},
+    ]
+    rows = [(i, " and some words between ".join(notice(*labels)), "en", "s", 1) for i, labels in enumerate(wanted)]
+    stray = " ".join(reversed(lic.VOCABULARY))
+    rows += [(50 + t, f"{stray} here {text}", "en", "s", 1) for t, (_, text, _) in enumerate(lic.TEMPLATES)]
+    rows += [(100 + i, f"words about nothing in particular {i}", "en", "s", 1) for i in range(200)]
+    got = {r.doc_id: r.found for r in lic.scan(table(spark, rows).drop("found"), "found", keep=["doc_id"]).collect()}
+    for i, labels in enumerate(wanted):
+        assert labels <= set(got[i].labels), (labels, got[i])
+    for t, (label, _, _) in enumerate(lic.TEMPLATES):
+        assert label in got[50 + t].labels, (label, got[50 + t])
+    assert all(not got[i].labels for i in got if i >= 100)
