@@ -18,6 +18,11 @@ from gleaner.session import apply_defaults
 from gleaner.sources.tables import read_table
 
 
+#: Near-duplicates of the stage: five-word shingles, similarity 0.8 or more. With so many registers per band and so
+#: much slack of the estimate (six standard deviations), about one pair in a million at 0.8 itself is missed.
+NEAR = {"k": 5, "percent": 80, "width": 6, "slack": 0.16}
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those without letters, or mixed beyond half, go."""
     apply_defaults(spark)
@@ -25,9 +30,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of near-duplicates (five words, 0.8): the one with the smallest id."""
     apply_defaults(spark)
-    return neardup.deduplicate(docs)
+    return neardup.deduplicate(docs, **NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,9 +146,9 @@ def estimate(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.n
     return j[np.arange(len(j)), value.argmax(1)]
 
 
-def _similar(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: float) -> np.ndarray:
+def _similar(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: float, slack: float) -> np.ndarray:
     """Which row pairs of two register matrices may reach the threshold."""
-    return estimate((a > b).sum(1), (a < b).sum(1), n_a, n_b) >= percent / 100 - SLACK
+    return estimate((a > b).sum(1), (a < b).sum(1), n_a, n_b) >= percent / 100 - slack
 
 
 def describe(docs: DataFrame, text: str, result: str, keep: list[str], k: int = SHINGLE) -> DataFrame:
@@ -169,11 +169,12 @@ def describe(docs: DataFrame, text: str, result: str, keep: list[str], k: int =
     return annotate(docs, text, result, FEATURES, make, keep)
 
 
-def _band_keys(sketches: np.ndarray) -> np.ndarray:
-    """(rows, BANDS) keys: seven registers and the band's number in eight bytes."""
-    keys = np.empty((len(sketches), BANDS, 8), np.uint8)
-    keys[:, :, :ROWS] = sketches.reshape(len(sketches), BANDS, ROWS)
-    keys[:, :, ROWS] = np.arange(BANDS)
+def _band_keys(sketches: np.ndarray, width: int) -> np.ndarray:
+    """(rows, M // width) keys: ``width`` registers, seven at most, and the band's number in eight bytes."""
+    bands = M // width
+    keys = np.zeros((len(sketches), bands, 8), np.uint8)
+    keys[:, :, :width] = sketches[:, : bands * width].reshape(len(sketches), bands, width)
+    keys[:, :, width] = np.arange(bands)
     return keys.view(np.int64)[:, :, 0]
 
 
@@ -181,28 +182,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, M)
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def _bands(classes: DataFrame, width: int) -> DataFrame:
     """(key, node, first): a row per class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = _band_keys(_matrix(batch.column(2))) if batch.num_rows else np.zeros((0, BANDS), np.int64)
+            keys = _band_keys(_matrix(batch.column(2)), width) if batch.num_rows else np.zeros((0, M // width), np.int64)
             flat = pa.array(keys.ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), flat)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (M // width)), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["node", "first", "keys"])
 
     rows = classes.select("node", "first", "sketch").mapInArrow(run, "node binary, first long, keys array<bigint>")
     return rows.select("node", "first", F.explode("keys").alias("key"))
 
 
-def _candidates(pairs: DataFrame, classes: DataFrame, percent: float) -> DataFrame:
+def _candidates(pairs: DataFrame, classes: DataFrame, percent: float, slack: float) -> DataFrame:
     """Pairs (a, b) whose likelihood estimate may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-                good = _similar(_matrix(batch.column(4)), _matrix(batch.column(5)), n_a, n_b, percent)
+                good = _similar(_matrix(batch.column(4)), _matrix(batch.column(5)), n_a, n_b, percent, slack)
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
@@ -249,7 +250,7 @@ def _residual(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.select("key", "node", "root", "own", F.explode(meets).alias("block"))
 
 
-def _across(rows: DataFrame, percent: float, k: int) -> DataFrame:
+def _across(rows: DataFrame, percent: float, k: int, width: int, slack: float) -> DataFrame:
     """Verified links (a, b) between components within the groups of :func:`_residual`.
 
     A pair is looked at in its first common band and only if its estimate may reach the
@@ -263,8 +264,8 @@ def _across(rows: DataFrame, percent: float, k: int) -> DataFrame:
         block = table.column("block")[0].as_py()
         node, text = table.column("node"), table.column("text")
         root = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
-        band = key.to_bytes(8, "little", signed=True)[ROWS]
-        keys = _band_keys(sketches)
+        band = key.to_bytes(8, "little", signed=True)[width]
+        keys = _band_keys(sketches, width)
         sets: dict[int, np.ndarray] = {}
 
         def set_of(i: int) -> np.ndarray:
@@ -280,7 +281,7 @@ def _across(rows: DataFrame, percent: float, k: int) -> DataFrame:
             if len(j):
                 j = j[~(keys[j, :band] == keys[i, :band]).any(1)]  # else an earlier band has the pair
             if len(j):
-                j = j[_similar(sketches[j], sketches[i][None], n[j], np.full(len(j), n[i]), percent)]
+                j = j[_similar(sketches[j], sketches[i][None], n[j], np.full(len(j), n[i]), percent, slack)]
             for other in j.tolist():
                 if root[other] != root[i]:
                     x, y = set_of(i), set_of(other)
@@ -295,7 +296,10 @@ def _across(rows: DataFrame, percent: float, k: int) -> DataFrame:
     return rows.groupBy("key", "block").applyInArrow(run, "a binary, b binary")
 
 
-def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: float = PERCENT, k: int = SHINGLE) -> DataFrame:
+def group(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: float = PERCENT, k: int = SHINGLE,
+    width: int = ROWS, slack: float = SLACK,
+) -> DataFrame:
     """(doc_id, text_id, n_shingles, set_id, component_id, kept) of every row of ``docs``.
 
     Rows with equal sets are one class; classes linked directly or through others share
@@ -303,6 +307,8 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     A text without words (null, empty, blank) has no set, links with nothing and is kept. A
     null id never leads: such a row is kept only if its component has no id at all, which is
     then null. Rows repeated with the same id are all marked alike. Other columns are unread.
+    ``width`` is the registers of a band (the lower the threshold, the fewer), ``slack`` what an
+    estimate may lie below the threshold.
     """
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     source = source.withColumn("text_id", F.unhex(F.md5("text")))
@@ -322,19 +328,19 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
         texts = texts.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("doc_id"))).where("r = 1").select("node", "text")
         return materialize(texts, f"{label}-texts")
 
-    bands = _bands(classes)
+    bands = _bands(classes, width)
     hubs = bands.groupBy("key").agg(F.min(F.struct("first", "node")).alias("hub"), F.count("*").alias("size")).where("size > 1")
     hubs = hubs.select("key", F.col("hub.node").alias("hub"))
     buckets = materialize(bands.join(hubs, "key").select("key", "node", "hub"), "buckets")
     stars = buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = materialize(_candidates(stars, classes, percent), "stars-pairs")
+    pairs = materialize(_candidates(stars, classes, percent, slack), "stars-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     first = materialize(_verified(pairs, texts_of(nodes, "stars"), percent, k), "stars")
     roots = materialize(components(first), "roots")
     rows = materialize(_residual(buckets.select("key", "node"), roots), "residual-rows")
     texts = texts_of(rows.select("node"), "residual")
     rest = rows.join(classes.select("node", "n", "sketch"), "node").join(texts, "node")
-    rest = materialize(_across(rest, percent, k), "residual")
+    rest = materialize(_across(rest, percent, k, width, slack), "residual")
     links = first.unionByName(rest)
     roots = components(links)
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,3 +31,22 @@ def test_run(spark):
     ids = [r.doc_id for r in out.collect()]
     assert 0 < len(ids) == len(set(ids)) < docs.count()
     assert out.join(docs.select("doc_id", F.col("lang").alias("l")), "doc_id").where("lang <> l").count() == 0
+
+
+def test_near_duplicates_are_told_by_five_words_and_eighty_percent(spark):
+    """A footer that leaves 0.82 is a near-duplicate; scattered edits that leave less than 0.8 are none."""
+    rng = random.Random(4)
+    word = lambda: f"v{rng.randint(0, 10**9)}"
+    rows, want = [], []
+    for f in range(8):
+        base = [word() for _ in range(400)]
+        edited = [word() if i % 44 == 20 and i < 400 else w for i, w in enumerate(base)]
+        other = [word() for _ in range(400)]
+        footer = other + [word() for _ in range(87)]
+        rows += [(4 * f + i, " ".join(w), "en", "s", 1) for i, w in enumerate((base, edited, other, footer))]
+        want += [4 * f, 4 * f + 1, 4 * f + 2]
+    sets = {r[0]: {tuple(r[1].split()[i : i + 5]) for i in range(len(r[1].split()) - 4)} for r in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.78 < alike(0, 1) < 0.8 < alike(2, 3) < 0.825
+    got = cp.drop_near_duplicates(spark, table(spark, rows), FOLDER)
+    assert sorted(r.doc_id for r in got.collect()) == want
