@@ -2,36 +2,47 @@
 
 Two logistic classifiers see disjoint views of a document: its text (hashed presence of
 words and surface statistics) and its metadata (source, language, declared length).
-In every round each view scores an unlabelled pool and hands its most confident documents,
+In every round each view scores all unlabelled documents and hands its most confident ones,
 as pseudo-labels, to the *other* view, which learns from them in the next round. A held-out
 part of the labelled rows then calibrates each view (Platt) and fits the combination of the
 calibrated views, which scores every document.
 
-Fitting uses a bounded sample (``fit_rows`` labelled and ``pool_rows`` unlabelled rows, as
-numbers only, never texts); scoring covers all rows inside the rows, without an exchange.
+Only labelled rows are sampled (``fit_rows`` distinct ones, as numbers, never texts). Copies
+are one row with a weight before that. Unlabelled rows stay in Spark: a round takes two passes
+over their features. One sums weights by metadata cell and confidence, which tells the share
+to hand over and gives the metadata view its pseudo-labels exactly. The other sums gradients
+and curvatures per feature over what the metadata view hands to the text view; the driver
+minimizes the loss of the labelled rows plus the quadratic majorant of the pseudo-labelled
+ones that these sums make. The driver gets a row per feature and per cell, whatever the input.
+Scoring covers all rows inside the rows, without an exchange.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import annotate, free_name
+from gleaner.llm.common import annotate, free_name, materialize
 from gleaner.sources.tables import read_table
 
-#: Expected sizes of the samples that the driver fits on.
-FIT_ROWS, POOL_ROWS = 6000, 4000
+#: Expected number of distinct labelled rows that the driver fits on.
+FIT_ROWS = 6000
 BITS = 18
-#: A word counts if it occurs in so many sampled documents at least.
+#: A word counts if it occurs in so many documents at least.
 MIN_DOCS = 5
 ROUNDS = 4
-#: Pseudo-labels need this calibrated confidence; per round, view and class at most this share of the pool.
+#: Pseudo-labels need this calibrated confidence; per view and class their share of the pool grows by this in every round.
 CONFIDENCE, SHARE = 0.95, 0.1
+#: Weight of a pseudo-labelled document; bins per unit of a calibrated logit, and the logit beyond which all are alike.
+PSEUDO, BINS, FAR = 0.5, 10, 20
 #: Documents below this score are rejected.
 THRESHOLD = 0.5
 
@@ -111,22 +122,31 @@ class Linear:
         return sparse.dot(self.weights) + ((dense - self.mean) / self.scale) @ self.dense + self.bias
 
 
-def train(sparse: Sparse, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 120, l2: float = 1e-3) -> Linear:
-    """Class-balanced logistic regression by full-batch Adam."""
-    balance = weight.copy()
+def train(
+    sparse: Sparse, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 120, l2: float = 1e-3,
+    more: tuple[float, float] = (0.0, 0.0), pull: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
+) -> Linear:
+    """Class-balanced logistic regression by full-batch Adam.
+
+    ``more`` are the weights per class of rows that are not here; ``pull`` stands for them: a
+    point, and gradient and curvature of their (balanced) loss there.
+    """
+    balance = weight.astype(float)
     for c in (0, 1):
-        total = balance[y == c].sum()
+        total = balance[y == c].sum() + more[c]
         balance[y == c] *= 0.5 / max(total, 1e-9)
     used = weight > 0
     mean = dense[used].mean(0) if used.any() else np.zeros(dense.shape[1])
     scale = (dense[used].std(0) if used.any() else np.ones(dense.shape[1])) + 1e-6
     x = (dense - mean) / scale
-    theta = np.zeros(sparse.size + x.shape[1] + 1)
+    theta = np.zeros(sparse.size + x.shape[1] + 1) if pull is None else pull[0].copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
         a, b, c = theta[: sparse.size], theta[sparse.size : -1], theta[-1]
         error = (sigmoid(sparse.dot(a) + x @ b + c) - y) * balance
         grad = np.concatenate([sparse.tdot(error) + l2 * a, x.T @ error + l2 * b, [error.sum()]])
+        if pull is not None:
+            grad += pull[1] + pull[2] * (theta - pull[0])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Linear(theta[: sparse.size], theta[sparse.size : -1], mean, scale, float(theta[-1]))
@@ -181,88 +201,232 @@ def meta_tokens(source: str, lang: str, length: str) -> Column:
     )
 
 
-def _sample(df: DataFrame, on: Column, size: int, expected: int, salt: str) -> DataFrame:
-    rate = min(1_000_000, 1_000_000 * expected // max(size, 1))
-    return df.where(on & (F.pmod(F.xxhash64(F.lit(salt), F.col("text_in")), F.lit(1_000_000)) < rate))
+def _bin(logit: np.ndarray) -> np.ndarray:
+    """Bins of calibrated logits by confidence, away from zero."""
+    return np.trunc(np.clip(logit, -FAR, FAR) * BINS).astype(np.int64)
+
+
+_SURE = int(np.ceil(np.log(CONFIDENCE / (1 - CONFIDENCE)) * BINS))
+
+
+def _shares(weights: dict[int, float], most: float) -> dict[int, float]:
+    """The part of each bin that is handed over: the surest first, ``most`` in all per class."""
+    part = {}
+    for sign in (1, -1):
+        left = most
+        for b in sorted((b for b in weights if b * sign >= _SURE), key=lambda b: -b * sign):
+            part[b] = min(1.0, left / weights[b]) if left > 0 else 0.0
+            left -= weights[b]
+    return {b: x for b, x in part.items() if x > 0}
+
+
+def _forward(model: Linear, columns: np.ndarray, words: list[np.ndarray], dense: np.ndarray) -> tuple[Sparse, np.ndarray, np.ndarray]:
+    """Sparse part, scaled dense part and logits of rows."""
+    codes = [c[c >= 0] for c in (columns[w] for w in words)]
+    sparse = Sparse(codes, len(model.weights))
+    x = (dense - model.mean) / model.scale
+    return sparse, x, sparse.dot(model.weights) + x @ model.dense + model.bias
+
+
+def _slopes(model: Linear, columns: np.ndarray, words: list[np.ndarray], dense: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Gradient of the weighted loss and a diagonal that bounds its curvature, one row each: words, dense part, bias."""
+    sparse, x, logit = _forward(model, columns, words, dense)
+    error = weight * (sigmoid(logit) - y)
+    size = np.abs(x)
+    # Words with the bias, and the dense part, are bounded apart, so that a far surface value doesn't hold back the words.
+    bound, dense_bound = weight / 2 * (np.bincount(sparse.row, minlength=sparse.n) + 1), weight / 2 * size.sum(1)
+    return np.stack([
+        np.concatenate([sparse.tdot(error), x.T @ error, [error.sum()]]),
+        np.concatenate([sparse.tdot(bound), size.T @ dense_bound, [bound.sum()]]),
+    ])
+
+
+class Held:
+    """Unlabelled rows in memory."""
+
+    def __init__(self, words: list[np.ndarray], dense: np.ndarray, metas: list[tuple[str, ...]]):
+        self.words, self.dense, self.metas = words, dense, metas
+
+    def cells(self) -> dict[tuple[str, ...], float]:
+        out = defaultdict(float)
+        for m in self.metas:
+            out[m] += 1
+        return out
+
+    def by_text(self, model: Linear, columns: np.ndarray, cal: tuple[float, float], most: float) -> dict[tuple, float]:
+        b = _bin(cal[0] * _forward(model, columns, self.words, self.dense)[2] + cal[1]).tolist()
+        weights = defaultdict(float)
+        for x in b:
+            weights[x] += 1
+        part, out = _shares(weights, most), defaultdict(float)
+        for m, x in zip(self.metas, b):
+            if x in part:
+                out[m, int(x > 0)] += part[x]
+        return out
+
+    def slopes(self, model: Linear, columns: np.ndarray, given: dict[tuple[str, ...], tuple[int, float]]) -> np.ndarray:
+        y, weight = np.array([given.get(m, (0, 0.0)) for m in self.metas]).reshape(-1, 2).T
+        return _slopes(model, columns, self.words, self.dense, y, weight)
+
+
+class Dealt:
+    """Unlabelled rows in Spark: meta_in, copies_in, words, surface."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def cells(self) -> dict[tuple[str, ...], float]:
+        return {tuple(m): float(n) for m, n in self.rows.groupBy("meta_in").agg(F.sum("copies_in")).collect()}
+
+    def _blocks(self, make, schema: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def parts():
+                for batch in batches:
+                    for at in range(0, batch.num_rows, 1024):
+                        part = batch.slice(at, 1024)
+                        flat, ends = part.column(2).flatten().to_numpy(), np.cumsum(part.column(2).value_lengths().to_numpy())[:-1]
+                        dense = part.column(3).flatten().to_numpy().reshape(-1, N_SURFACE).astype(float)
+                        yield part, np.split(flat.astype(np.int64), ends), dense
+
+            yield from make(parts())
+
+        return self.rows.select("meta_in", "copies_in", "words", "surface").mapInArrow(run, schema)
+
+    def by_text(self, model: Linear, columns: np.ndarray, cal: tuple[float, float], most: float) -> dict[tuple, float]:
+        shared = self.rows.sparkSession.sparkContext.broadcast((model, columns))
+
+        def make(parts):
+            model, columns = shared.value
+            for part, words, dense in parts:
+                b = _bin(cal[0] * _forward(model, columns, words, dense)[2] + cal[1])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(b)], names=["meta_in", "copies_in", "bin"])
+
+        rows = self._blocks(make, "meta_in array<string>, copies_in long, bin long").where(F.abs("bin") >= _SURE)
+        sums = materialize(rows.groupBy("meta_in", "bin").agg(F.sum("copies_in").alias("w")), "confidence")
+        part = _shares({b: float(w) for b, w in sums.groupBy("bin").agg(F.sum("w")).collect()}, most)
+        if not part:
+            return {}
+        table = F.create_map(*[F.lit(x) for pair in part.items() for x in pair])
+        taken = sums.groupBy("meta_in", (F.col("bin") > 0).cast("int").alias("y")).agg(
+            F.sum(F.col("w") * F.coalesce(F.try_element_at(table, F.col("bin")), F.lit(0.0))).alias("w"))
+        return {(tuple(m), y): w for m, y, w in taken.where("w > 0").collect()}
+
+    def slopes(self, model: Linear, columns: np.ndarray, given: dict[tuple[str, ...], tuple[int, float]]) -> np.ndarray:
+        shared = self.rows.sparkSession.sparkContext.broadcast((model, columns, given))
+        size = len(model.weights) + N_SURFACE + 1
+
+        def make(parts):
+            model, columns, given = shared.value
+            total = np.zeros((2, size))
+            for part, words, dense in parts:
+                y, weight = np.array([given.get(tuple(m), (0, 0.0)) for m in part.column(0).to_pylist()]).reshape(-1, 2).T
+                on = np.flatnonzero(weight)
+                if len(on):
+                    copies = part.column(1).to_numpy()[on]
+                    total += _slopes(model, columns, [words[i] for i in on], dense[on], y[on], weight[on] * copies)
+            at = np.flatnonzero(total[1])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["at", "g", "h"])
+
+        sums = self._blocks(make, "at long, g double, h double").groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        got, out = sums.toPandas(), np.zeros((2, size))
+        out[:, got["at"].to_numpy(int)] = got[["g", "h"]].to_numpy(float).T
+        return out
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", lang: str = "lang",
-    length: str = "n_chars", fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS,
+    length: str = "n_chars", fit_rows: int = FIT_ROWS, rounds: int = ROUNDS,
 ) -> Model:
-    """Co-train on a sample of documents joined to ``labels`` (doc_id, good 0/1) and an unlabelled pool.
+    """Co-train on a sample of documents joined to ``labels`` (doc_id, good 0/1) and all unlabelled documents.
 
     Labels with a null id or value are ignored; of several labels of one id the lowest holds.
+    Copies of a text with equal metadata and label are one row that weighs as much as they do;
+    calibration counts it once.
     Without labels of both classes the model scores everything 0.5 and so rejects nothing.
     """
     good = labels.where(F.col("doc_id").isNotNull() & F.col("good").isNotNull())
     good = good.groupBy(F.col("doc_id").alias("id_in")).agg(F.min("good").alias("good_in"))
     base = docs.select(
-        F.col(f"`{doc_id}`").alias("id_in"), F.col(f"`{text}`").cast("string").alias("text_in"),
+        F.col(f"`{doc_id}`").alias("id_in"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text_in"),
         meta_tokens(source, lang, length).alias("meta_in"),
-    )
-    n_docs, n_labels = docs.count(), good.count()
-    # The join carries hashes, not texts: feature rows are small, and only sampled texts are read in full.
-    unlabelled = base.join(good.select("id_in"), "id_in", "left_anti")
-    rows = _sample(base, F.lit(True), n_labels, fit_rows, "fit").join(good, "id_in")
-    pool = _sample(unlabelled, F.lit(True), n_docs - n_labels, pool_rows, "pool").withColumn("good_in", F.lit(None).cast("int"))
+    ).withColumn("digest_in", F.unhex(F.md5("text_in")))
 
     def make():
         def work(texts):
             return [[word_codes(t or b"").tolist() for t in texts], [[float(x) for x in surface(t or b"")] for t in texts]]
         return work
 
-    both = rows.select("text_in", "meta_in", "good_in").unionByName(pool.select("text_in", "meta_in", "good_in"))
-    both = both.withColumn("hash_in", F.xxhash64(F.lit("fold"), "text_in"))
-    got = annotate(both, "text_in", "f", FEATURES, make, keep=["meta_in", "good_in", "hash_in"])
-    got = got.select("hash_in", "meta_in", "good_in", "f.words", "f.surface").toPandas().sort_values("hash_in", kind="stable")
-    return _cotrain(
+    rows = annotate(base, "text_in", "f", FEATURES, make, keep=["id_in", "digest_in", "meta_in"])
+    rows = rows.join(good, "id_in", "left").groupBy("digest_in", "meta_in", "good_in")
+    rows = rows.agg(F.count("*").alias("copies_in"), F.first("f").alias("f"))
+    rows = materialize(rows.select("digest_in", "meta_in", "good_in", "copies_in", "f.words", "f.surface"), "cotraining")
+    seen = rows.select("copies_in", F.explode("words").alias("code")).groupBy("code").agg(F.sum("copies_in").alias("n"))
+    codes = np.array(sorted(c for c, _ in seen.where(F.col("n") >= MIN_DOCS).collect()), np.int64)  # at most 2 ** BITS
+    known = rows.where("good_in is not null").withColumn("hash_in", F.xxhash64(F.lit("fold"), "digest_in"))
+    rate = min(1_000_000, 1_000_000 * fit_rows // max(known.count(), 1))
+    got = known.where(F.pmod(F.xxhash64(F.lit("fit"), "digest_in"), F.lit(1_000_000)) < rate)
+    got = got.drop("digest_in").toPandas().sort_values("hash_in", kind="stable")
+    return _exchange(
         [np.asarray(w, np.int64) for w in got.words], np.array([list(x) for x in got.surface]).reshape(-1, N_SURFACE),
-        [list(m) for m in got.meta_in], got.good_in.to_numpy(float), got.hash_in.to_numpy() % 4 == 0, rounds,
+        [tuple(m) for m in got.meta_in], got.good_in.to_numpy(float), got.copies_in.to_numpy(float), got.hash_in.to_numpy() % 4 == 0,
+        Dealt(rows.where("good_in is null")), codes, rounds,
     )
 
 
 def _cotrain(
     words: list[np.ndarray], dense: np.ndarray, metas: list[list[str]], label: np.ndarray, in_held: np.ndarray, rounds: int
 ) -> Model:
-    """Copies of a text share ``in_held``, so none is both learned and held out."""
+    """Co-training of rows in memory; those without a label are the pool."""
     codes, seen = np.unique(np.concatenate([*words, np.zeros(0, np.int64)]), return_counts=True)
-    codes = codes[seen >= MIN_DOCS]
+    known, pool = np.flatnonzero(~np.isnan(label)), np.flatnonzero(np.isnan(label))
+    pick = lambda at: ([words[i] for i in at], dense[at], [tuple(metas[i]) for i in at])
+    return _exchange(*pick(known), label[known], np.ones(len(known)), in_held[known], Held(*pick(pool)), codes[seen >= MIN_DOCS], rounds)
+
+
+def _exchange(
+    words: list[np.ndarray], dense: np.ndarray, metas: list[tuple[str, ...]], label: np.ndarray, copies: np.ndarray, in_held: np.ndarray,
+    pool: Held | Dealt, codes: np.ndarray, rounds: int,
+) -> Model:
+    """Copies of a text share ``in_held``, so none is both learned and held out."""
     columns = np.full(1 << BITS, -1, np.int64)
     columns[codes] = np.arange(len(codes))
-    text_rows = [c[c >= 0] for c in (columns[w] for w in words)]
-    place = {t: i for i, t in enumerate(sorted({t for m in metas for t in m}))}
-    text_x = Sparse(text_rows, len(codes))
-    meta_x = Sparse([np.array([place[t] for t in m], np.int64) for m in metas], len(place))
-    none = np.zeros((len(words), 0))
-    known = np.flatnonzero(~np.isnan(label))
-    pool = np.flatnonzero(np.isnan(label))
-    held = known[in_held[known]]
-    fold = np.setdiff1d(known, held)
-    views = {"text": (text_x, dense), "meta": (meta_x, none)}
-    given = {v: (label.copy(), np.zeros(len(label))) for v in views}
-    for y, weight in given.values():
-        weight[fold] = 1
-        y[np.isnan(y)] = 0
-    models, cal = {}, {}
-    y_held = label[held]
+    cells = pool.cells()
+    n_pool = sum(cells.values())
+    names = sorted(cells)
+    place = {t: i for i, t in enumerate(sorted({t for m in [*metas, *names] for t in m}))}
+    coded = lambda ms: [np.array([place[t] for t in m], np.int64) for m in ms]
+    text_x = Sparse([c[c >= 0] for c in (columns[w] for w in words)], len(codes))
+    meta_x, cell_x = Sparse(coded(metas), len(place)), Sparse(coded(names), len(place))
+    none = lambda n: np.zeros((n, 0))
+    held, y_held = np.flatnonzero(in_held), label[in_held]
+    weight = np.where(in_held, 0.0, copies)
+    totals = np.array([weight[label == c].sum() for c in (0, 1)])
+    text, meta = train(text_x, dense, label, weight), train(meta_x, none(len(words)), label, weight)
     for turn in range(rounds + 1):
-        for v, (x, d) in views.items():
-            y, weight = given[v]
-            models[v] = train(x, d, y, weight)
-            cal[v] = platt(models[v].logit(x, d)[held], y_held)
-        if turn == rounds or not len(pool) or len(fold) < 2:
+        raw = {"text": text.logit(text_x, dense), "meta": meta.logit(meta_x, none(len(words)))}
+        cal = {v: platt(x[held], y_held) for v, x in raw.items()}
+        if turn == rounds or not n_pool or (~in_held).sum() < 2:
             break
-        for v, other in (("text", "meta"), ("meta", "text")):
-            p = sigmoid(cal[v][0] * models[v].logit(*views[v]) + cal[v][1])[pool]
-            y, weight = given[other]
-            for value, confidence in ((1, p), (0, 1 - p)):
-                best = np.argsort(-confidence, kind="stable")[: int(SHARE * len(pool)) + 1]
-                best = best[confidence[best] >= CONFIDENCE]
-                y[pool[best]], weight[pool[best]] = value, 0.5
-    both = np.stack([cal[v][0] * models[v].logit(*views[v]) + cal[v][1] for v in ("text", "meta")], 1)[held]
-    combine = _stack(both, y_held)
-    return Model(columns, models["text"], models["meta"], place, cal["text"], cal["meta"], combine)
+        most = SHARE * (turn + 1) * n_pool
+        handed = sorted(pool.by_text(text, columns, cal["text"], most).items())
+        # Cells that the metadata view is sure of, to the text view.
+        b = _bin(cal["meta"][0] * meta.logit(cell_x, none(len(names))) + cal["meta"][1]).tolist()
+        weights = defaultdict(float)
+        for m, x in zip(names, b):
+            weights[x] += cells[m]
+        part = _shares(weights, most)
+        given = {m: (int(x > 0), PSEUDO * part[x]) for m, x in zip(names, b) if x in part}
+        if given:
+            more = np.array([sum(w * cells[m] for m, (y, w) in given.items() if y == c) for c in (0, 1)])
+            factor = 0.5 / np.maximum(totals + more, 1e-9)
+            g, h = pool.slopes(text, columns, {m: (y, w * factor[y]) for m, (y, w) in given.items()})
+            text = train(text_x, dense, label, weight, more=tuple(more), pull=(np.append(np.append(text.weights, text.dense), text.bias), g, h))
+        if handed:
+            x = Sparse(coded([*metas, *(m for (m, _), _ in handed)]), len(place))
+            y = np.append(label, [c for (_, c), _ in handed])
+            meta = train(x, none(x.n), y, np.append(weight, [PSEUDO * w for _, w in handed]))
+    both = np.stack([cal[v][0] * raw[v] + cal[v][1] for v in ("text", "meta")], 1)[held]
+    return Model(columns, text, meta, place, cal["text"], cal["meta"], _stack(both, y_held))
 
 
 def _stack(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:

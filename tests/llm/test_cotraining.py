@@ -48,3 +48,35 @@ def test_one_view_teaches_the_other():
     weight = lambda m, w: m.text.weights[m.columns[code[w]]]
     assert abs(weight(alone, "new")) < 1e-6
     assert weight(taught, "new") > 0.1 > -0.1 > weight(taught, "other")
+
+
+def test_every_unlabelled_row_takes_part(spark, monkeypatch):
+    """Sums over the pool in Spark equal those in memory, copies weigh as much as they are many, and no row is left out."""
+    import numpy as np
+
+    taken = {}
+    plain, cells = ct.Dealt.slopes, ct.Dealt.cells
+
+    def slopes(self, model, columns, given):
+        taken["args"], taken["got"] = (model, columns, given), plain(self, model, columns, given)
+        return taken["got"]
+
+    def counted(self):
+        taken["rows"] = self.rows.collect()
+        return cells(self)
+
+    monkeypatch.setattr(ct.Dealt, "slopes", slopes)
+    monkeypatch.setattr(ct.Dealt, "cells", counted)
+    rows = corpus(200)
+    for i in range(200, 7000):
+        good = i % 2
+        body = f"{'fresh' if good else 'stale'} things {i % 50}" if i % 3 else "fresh copy of things"
+        rows.append((i, body, "en", "fine" if good or not i % 3 else "spam", 40))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, good int")
+    model = ct.fit(table(spark, rows).repartition(4), labels, rounds=1)
+    assert sum(r.copies_in for r in taken["rows"]) == 6800 and len(taken["rows"]) < 300
+    every = [r for r in taken["rows"] for _ in range(r.copies_in)]
+    memory = ct.Held([np.array(r.words) for r in every], np.array([r.surface for r in every]), [tuple(r.meta_in) for r in every])
+    assert np.allclose(taken["got"], memory.slopes(*taken["args"])) and taken["got"][1].any()
+    weight = lambda w: model.text.weights[model.columns[ct.word_codes(w)[0]]]
+    assert weight(b"fresh") > 0.01  # a word of no labelled row
