@@ -43,8 +43,8 @@ PERCENT = 85
 ROWS, BANDS = 7, 36
 M = ROWS * BANDS
 BASE = 1.1
-#: Four standard deviations of an estimate from ``M`` registers.
-SLACK = 0.09
+#: Six standard deviations of an estimate from ``M`` registers.
+SLACK = 0.14
 #: Classes of one chunk of a bucket; larger buckets are compared chunk by chunk.
 CHUNK = 1024
 

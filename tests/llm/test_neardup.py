@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -92,6 +93,18 @@ def test_estimate_is_close_to_the_truth():
         assert max(map(abs, errors)) < 0.15 and abs(np.mean(errors)) < 0.04
 
 
+def test_bands_and_estimate_together_hardly_miss_a_pair_at_the_threshold():
+    """Both misses of a pair of equal sizes at the threshold, the estimate's as a binomial tail over the registers."""
+    j = nd.PERCENT / 100
+    equal = float(1 - 2 * nd._p(np.array((1 - j) / 2)))
+    d0 = np.arange(nd.M + 1)
+    larger = (nd.M - d0) // 2
+    found = nd.estimate(larger, nd.M - d0 - larger, np.full(len(d0), 1000), np.full(len(d0), 1000))
+    chance = [math.comb(nd.M, int(d)) * equal**int(d) * (1 - equal) ** (nd.M - int(d)) for d in d0]
+    lost = sum(p for p, x in zip(chance, found) if x < j - nd.SLACK)
+    assert (1 - equal**nd.ROWS) ** nd.BANDS + lost < 1e-6
+
+
 def test_sketches_merge_by_maximum():
     h = nd.mix(np.arange(500, dtype=np.uint64))
     assert (np.maximum(nd.sketch(h[:300]), nd.sketch(h[200:])) == nd.sketch(h)).all()
