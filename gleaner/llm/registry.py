@@ -24,6 +24,7 @@ MODULES = {
     "op8_substrings": "gleaner.llm.substrings",
     "op9_decontaminate": "gleaner.llm.decontaminate",
     "op10_mixing": "gleaner.llm.mixing",
+    "op11_ranked": "gleaner.llm.ranked",
 }
 
 
