@@ -25,6 +25,8 @@ MODULES = {
     "op9_decontaminate": "gleaner.llm.decontaminate",
     "op10_mixing": "gleaner.llm.mixing",
     "op11_ranked": "gleaner.llm.ranked",
+    "op12_chat": "gleaner.llm.chat",
+    "op13_crosstok": "gleaner.llm.crosstok",
 }
 
 
