@@ -22,8 +22,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,9 @@ FOLDER, FILE_A, FILE_B = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.
 BLOCK_DOCS = 1 << 14
 BLOCK_POSTINGS = 1 << 23
 #: A task forgets its encoded chunks beyond so many, or so many characters of them.
-MEMORY, MEMORY_CHARS = 1 << 18, 1 << 24
+MEMORY, MEMORY_CHARS = 1 << 19, 1 << 26
+#: Characters of chunks that are encoded in one call; token pairs of a group beyond which ids are counted first.
+_JOINED, _LARGE = 1 << 14, 1 << 12
 
 #: From a place where a space follows a character that isn't white space to the next such place.
 CHUNK = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:\s+\Z)?|\s+")
@@ -72,31 +75,52 @@ class Tokenizers:
                 raise ValueError(f"piece {name!r} spans words: chunks can't be encoded one by one")
             self.bytes_b.append(bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode())
 
-    def encode(self, chunks: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Token ids of A and B per chunk (which begins with a space); None if their bytes aren't the chunk's."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        ids_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
+        self.sizes_a = np.array([len(x) for x in self.bytes_a], np.int64)
+        self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        #: Ids as text with the separator behind them: A within and at the end of a group, then B.
+        self.names = [f"{i}{end}" for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for end in ends for i in range(n)]
+        self.name_sizes = np.array([len(x) for x in self.names], np.int64)
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Token ids of A and B per text (which begins with a space); None if their bytes aren't the text's."""
+        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
         out = []
-        for chunk, a, b in zip(chunks, ids_a, ids_b, strict=True):
-            raw = chunk.encode()
+        for text, a, b in zip(texts, ids_a, ids_b, strict=True):
+            raw = text.encode()
             same = b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b])
             out.append((a, b) if same else None)
         return out
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """Cut at the byte offsets where tokens of both end."""
-        out, i, j, first_a, first_b = [], 0, 0, 0, 0
-        end_a = end_b = 0
-        while i < len(a):
-            end_a += len(self.bytes_a[a[i]])
-            i += 1
-            while end_b < end_a:
-                end_b += len(self.bytes_b[b[j]])
-                j += 1
-            if end_a == end_b:
-                out.append((a[first_a:i], b[first_b:j]))
-                first_a, first_b = i, j
-        return out
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat token ids of A and B over all chunks that they spell, and whether a chunk is one of these.
+
+        Chunks are encoded joined, which gives the same tokens; one that ends in white space, as
+        the end of a text may, goes alone, and so do those of a joined text that isn't spelled.
+        """
+        joined, now, size = [], [], 0
+        for i, chunk in enumerate(chunks):
+            alone = chunk[-1].isspace()
+            if now and (alone or size > _JOINED):
+                joined.append(now)
+                now, size = [], 0
+            now.append(i)
+            size += len(chunk)
+            if alone:
+                joined.append(now)
+                now, size = [], 0
+        joined += [now] if now else []
+        good = np.ones(len(chunks), bool)
+        ids: list[tuple[list[int], list[int]]] = []
+        for group, made in zip(joined, self.encode(["".join([chunks[i] for i in g]) for g in joined]), strict=True):
+            if made:
+                ids.append(made)
+                continue
+            single = self.encode([chunks[i] for i in group])
+            good[[i for i, x in zip(group, single, strict=True) if x is None]] = False
+            ids += [x for x in single if x]
+        a, b = (np.fromiter(chain.from_iterable(x[k] for x in ids), np.int64) for k in (0, 1))
+        return a, b, good
 
 
 def byte_symbols() -> dict[str, int]:
@@ -126,48 +150,73 @@ class Chunks:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.names: list[str] = []  # groups as text
+        self.number: dict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.names: list[str] = []  # groups as text, each with a semicolon behind it
         self.sums = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, unequal bytes
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ends = np.zeros(1, np.int64)
         self.chars = 0
 
     def numbers(self, text: str) -> np.ndarray:
-        number, found = self.number, []
+        found = []
         for part in slices(text, _PIECE):
             chunks = CHUNK.findall(part)
-            found.append(np.fromiter([number.setdefault(c, len(number)) for c in chunks], np.int64, len(chunks)))
+            found.append(np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks)))
         return found[0] if len(found) == 1 else np.concatenate(found)
 
     def learn(self) -> None:
-        """Encode the chunks that are new."""
-        fresh = list(self.number)[len(self.names) :]
+        """Encode the chunks that are new and cut them into groups."""
+        fresh = list(islice(self.number, len(self.names), None))
         if not fresh:
             return
-        sums, pairs, times, ends = [], [], [], []
-        for made in self.tokenizers.encode(fresh):
-            groups = self.tokenizers.groups(*made) if made else []
-            links: Counter = Counter()
-            for a, b in groups:
-                if len(a) == 1 == len(b):
-                    links[a[0] * self.width + b[0]] += 1
-                else:
-                    count_b = Counter(b)
-                    for x, n in Counter(a).items():
-                        for y, m in count_b.items():
-                            links[x * self.width + y] += n * m
-            self.names.append(";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups]))
-            n_a, n_b = (len(made[0]), len(made[1])) if made else (0, 0)
-            sums.append((n_a, n_b, len(groups), sum(links.values()), made is None))
-            pairs += links.keys()
-            times += links.values()
-            ends.append(len(pairs))
-        self.sums = np.concatenate([self.sums, np.array(sums, np.int64)])
-        self.ends = np.concatenate([self.ends, np.array(ends, np.int64) + len(self.pairs)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
-        self.times = np.concatenate([self.times, np.array(times, np.int64)])
-        self.chars += sum(map(len, fresh))
+        made = self.tokenizers
+        a, b, good = made.encode_chunks(fresh)
+        sizes = np.fromiter((len(c.encode()) for c, g in zip(fresh, good, strict=True) if g), np.int64)
+        ends_a, ends_b, chunk_ends = np.cumsum(made.sizes_a[a]), np.cumsum(made.sizes_b[b]), np.cumsum(sizes)
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        chunk = np.flatnonzero(good)[np.searchsorted(chunk_ends, common)]  # of each group
+        n_a, n_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+        where, pairs, times = self._links(a, b, n_a, n_b)
+        n = len(fresh)
+        count = lambda weights: np.bincount(chunk, weights, n).astype(np.int64)
+        self.sums = np.concatenate([self.sums, np.stack([count(n_a), count(n_b), np.bincount(chunk, minlength=n), count(n_a * n_b), ~good], 1)])
+        self.ends = np.concatenate([self.ends, len(self.pairs) + np.cumsum(np.bincount(chunk[where], minlength=n))])
+        self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
+        # The text of all groups: A ids, then B ids, each with its separator.
+        last_a, last_b = np.cumsum(n_a) - 1, np.cumsum(n_b) - 1
+        codes = np.empty(len(a) + len(b), np.int64)
+        end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        end_a[last_a], end_b[last_b] = 1, 1
+        width_a, width_b = len(made.bytes_a), len(made.bytes_b)
+        codes[np.arange(len(a)) + (last_b + 1 - n_b)[group_a]] = a + end_a * width_a
+        codes[np.arange(len(b)) + (last_a + 1)[group_b]] = b + 2 * width_a + end_b * width_b
+        text = "".join(map(made.names.__getitem__, codes.tolist()))
+        chars = np.bincount(np.repeat(chunk, n_a + n_b), made.name_sizes[codes], n).astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum(chars)]).tolist()
+        self.names += [text[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        self.chars += sum(map(len, fresh)) + len(text)
+
+    def _links(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Group, pair and number of links, in order of groups. Groups of many tokens are counted by id."""
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        large = n_a * n_b > _LARGE
+        size = np.where(large, 0, n_a * n_b)
+        where = np.repeat(np.arange(len(n_a)), size)
+        inside = np.arange(len(where)) - np.repeat(np.cumsum(size) - size, size)
+        pairs = a[first_a[where] + inside // n_b[where]] * self.width + b[first_b[where] + inside % n_b[where]]
+        times = np.ones(len(pairs), np.int64)
+        if large.any():
+            parts = [(where, pairs, times)]
+            for g in np.flatnonzero(large):
+                x, n = np.unique(a[first_a[g] : first_a[g] + n_a[g]], return_counts=True)
+                y, m = np.unique(b[first_b[g] : first_b[g] + n_b[g]], return_counts=True)
+                parts.append((np.full(len(x) * len(y), g), (x[:, None] * self.width + y).ravel(), (n[:, None] * m).ravel()))
+            where, pairs, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(where, kind="stable")
+            where, pairs, times = where[order], pairs[order], times[order]
+        return where, pairs, times
 
     def full(self) -> bool:
         return len(self.names) > MEMORY or self.chars > MEMORY_CHARS
@@ -180,13 +229,14 @@ class Chunks:
         pairs, times = self.pairs[at], self.times[at] * np.repeat(copies, size)
         order = np.argsort(pairs)
         pairs, times = pairs[order], times[order]
-        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
+        first = np.flatnonzero(_starts(pairs))
         return pairs[first], np.add.reduceat(times, first) if len(first) else times
 
     def digest(self, numbers: np.ndarray) -> str:
         made, name = hashlib.sha256(), self.names.__getitem__
         for k in range(0, len(numbers), _PIECE):
-            made.update((b";" if k else b"") + ";".join(map(name, numbers[k : k + _PIECE].tolist())).encode())
+            part = "".join(map(name, numbers[k : k + _PIECE].tolist()))
+            made.update((part if k + _PIECE < len(numbers) else part[:-1]).encode())
         return made.hexdigest()
 
 
@@ -251,14 +301,26 @@ class Bitmaps:
         return cls(offsets - offsets[0], data, span)
 
 
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Whether a sorted value differs from the one before."""
+    return np.append(True, values[1:] != values[:-1])[: len(values)]
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ones of sorted values, and the place of each value among them."""
+    new = _starts(values)
+    return values[new], np.cumsum(new) - 1
+
+
 def or_merge(parts: list[tuple[np.ndarray, Bitmaps]]) -> tuple[np.ndarray, Bitmaps]:
     """Keys (sorted) and the OR of their bitmaps."""
     if len(parts) == 1:
         return parts[0]
     span = parts[0][1].span
     members = [(keys[slots], ordinals) for keys, bitmaps in parts for slots, ordinals in [bitmaps.members()]]
-    both = np.unique(np.concatenate([k for k, _ in members]) * span + np.concatenate([o for _, o in members]))
-    keys, slots = np.unique(both // span, return_inverse=True)
+    both = np.sort(np.concatenate([k for k, _ in members]) * span + np.concatenate([o for _, o in members]))
+    both = both[_starts(both)]
+    keys, slots = _numbered(both // span)
     return keys, Bitmaps.make(slots, both % span, len(keys), span)
 
 
@@ -316,9 +378,9 @@ class Block:
             pairs, ordinals, extra = pairs[extra > 1], ordinals[extra > 1], extra[extra > 1] >> 1
             plane += 1
         keys, bits = np.concatenate(keys), np.concatenate(bits)
-        order = np.lexsort((bits, keys))
-        found, slots = np.unique(keys[order], return_inverse=True)
-        self.parts.append((found, Bitmaps.make(slots, bits[order], len(found), self.span)))
+        both = np.sort(keys * self.span + bits)
+        found, slots = _numbered(both // self.span)
+        self.parts.append((found, Bitmaps.make(slots, both % self.span, len(found), self.span)))
 
     def full(self, postings: int) -> bool:
         return len(self.rows) >= self.span or self.postings >= postings
