@@ -13,6 +13,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.session import run_folder
+
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool) -> DataFrame:
     others = [c for c in df.columns if c not in keys]
@@ -61,3 +63,20 @@ def salted_lookup(
     dealt = facts.withColumn("_salt", F.pmod(F.xxhash64(*deal), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def number_rows(df: DataFrame, order: Sequence[str], name: str = "seq") -> DataFrame:
+    """Place of each row in ``order`` from 0, without one task that sorts them all.
+
+    Rows are sorted by range and written; a partition's first number is the size of those before it.
+    """
+    spark = df.sparkSession
+    folder = f"{run_folder(spark, 'number')}/rows"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(starts, "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_at", "_start")

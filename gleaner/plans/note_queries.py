@@ -6,9 +6,6 @@ one, and exact copies of a text are duplicates.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from gleaner.functions import arrays as ar
@@ -17,7 +14,8 @@ from gleaner.operators import cases, notes
 from gleaner.operators import predicates as pr
 from gleaner.plans import base, sql
 from gleaner.plans.registry import query
-from gleaner.session import checkpoint_dir
+from gleaner.session import run_folder
+from gleaner.sources import versions
 from gleaner.streaming import ledger
 
 _NOTES = """notes AS (
@@ -280,9 +278,29 @@ def new_auto_cases(spark, sf_dir):
     """Automatic cases that the inbox, the documents behind a labelled one, does not hold yet."""
     inbox = base.read_table(spark, sf_dir, "labels").select((F.col("doc_id") + 1).alias("ord"))
     table = case_tables(spark, sf_dir).filter("provenance = 'auto'")
-    keyed = table.withColumn("case_key", cases.case_key(F.col("source_kind"), F.col("source_url"), F.col("raw_text")))
-    fresh = cases.new_cases(keyed, keyed.join(inbox, "ord", "left_semi"), "ord")
-    return fresh.select(F.sha1("case_key").alias("case_sha"), "auto_reason")
+    digest = cases.case_digest(F.col("source_kind"), F.col("source_url"), F.col("raw_text"))
+    keyed = table.select(digest.alias("case_digest"), "auto_reason", "ord")
+    fresh = cases.new_case_ids(keyed, keyed.join(inbox, "ord", "left_semi"), "ord")
+    return fresh.select(F.col("case_digest").alias("case_sha"), "auto_reason")
+
+
+@query(
+    "registry_delta",
+    f"""WITH {_CASES}, w AS (SELECT key, arg_min(ord, rk) AS id, arg_min(provenance, rk) AS provenance, coalesce(arg_min(auto_reason, rk) FILTER (WHERE auto_reason <> ''), '') AS auto_reason FROM k GROUP BY key),
+        ls AS (SELECT key, lang AS label, rk, 0 AS p FROM k UNION ALL SELECT key, source, rk, 1 FROM k),
+        l AS (SELECT key, label, min((rk, p)) AS first_at FROM ls GROUP BY key, label),
+        g AS (SELECT key, string_agg(label, ',' ORDER BY first_at) AS labels FROM l GROUP BY key)
+        SELECT sha1(key) AS case_digest, CAST(w.id AS VARCHAR) AS id, w.provenance, w.auto_reason, g.labels FROM w JOIN g USING (key)""",
+)
+def registry_delta(spark, sf_dir):
+    """A stored registry of the automatic cases, merged with a delta of the manual ones, then with itself."""
+    table = case_tables(spark, sf_dir)
+    path = f"{run_folder(spark, 'registry')}/cases"
+    versions.write(cases.case_registry(table.filter("provenance = 'auto'")), path)
+    stored = versions.read(spark, path)
+    merged = cases.merge_registries(stored, cases.case_registry(table.filter("provenance = 'manual'")), stored)
+    out = cases.registry_cases(merged)
+    return out.select("case_digest", "id", "provenance", "auto_reason", F.array_join("labels", ",").alias("labels"))
 
 
 @query(
@@ -293,7 +311,7 @@ def cases_in_order(spark, sf_dir):
     """Manual first, then by id, with the cap on cases as the feature."""
     df = base.read_table(spark, sf_dir, "labels", "doc_id", "quality")
     df = df.select("doc_id", "quality", F.when(F.col("quality") == 1, "manual").otherwise("auto").alias("provenance"), F.col("doc_id").cast("string").alias("id"))
-    return cases.manual_first(df).limit(50).select("doc_id", "quality")
+    return cases.manual_first(df, max_cases=50).select("doc_id", "quality")
 
 
 @query(
@@ -349,8 +367,7 @@ def job_ledger(spark, sf_dir):
 @query("job_ledger_stream", _LEDGER_SQL)
 def job_ledger_stream(spark, sf_dir):
     """The same ledger from the parts of a stream over the event files."""
-    folder = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="spark-ledger-")  # unset in local runs only
-    run = f"{folder.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    run = run_folder(spark, "ledger")
     schema = base.read_table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     started = (

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,19 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     return configured or fallback
 
 
+def run_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``.
+
+    Where that is unset, a local folder serves a local master; a cluster must set it.
+    """
+    root = checkpoint_dir(spark)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="spark-gleaner-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, fallback: str | None = None) -> DataFrame:
     """Reliable checkpoint into the shared folder; a no-op when there is none."""
     spark = df.sparkSession

@@ -1,8 +1,7 @@
 """Sinks.
 
-Keyed tables are append-only folders of versions. A version is written whole by
-Spark's commit protocol and never overwritten by another, so a lost executor or a
-repeated micro-batch cannot leave half a table; reading merges the versions.
+Keyed tables are folders of versions with a commit manifest (``versions``): a lost executor, a
+repeated micro-batch or a second writer cannot leave half a table or overwrite another's rows.
 """
 
 from __future__ import annotations
@@ -13,46 +12,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import cases, reports
-from gleaner.operators.keyed import distinct_last
+from gleaner.operators.keyed import distinct_first, distinct_last
+from gleaner.sources import versions
 
 
-def _latest_version(spark: SparkSession, path: str) -> int:
-    try:
-        found = spark.read.parquet(path).agg(F.max("version")).first()[0]
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return -1
-        raise
-    return -1 if found is None else int(found)
-
-
-def upsert(df: DataFrame, path: str, version: int | None = None) -> int:
-    """Add rows as one version. The same version number may be written again."""
-    number = _latest_version(df.sparkSession, path) + 1 if version is None else version
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={number}")
-    return number
+def upsert(df: DataFrame, path: str, version: int | str | None = None, at: int | None = None) -> versions.Commit:
+    """Add rows as one version. A ``version`` that is written again replaces its earlier self."""
+    return versions.write(df, path, None if version is None else str(version), at)
 
 
 def read_latest(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Current rows: the last write per key."""
-    df = spark.read.parquet(path)
-    at = [F.col(c).alias(f"_at_{c}") for c in order]
-    df = df.select("*", *at)
-    return distinct_last(df, list(keys), ["version", *[f"_at_{c}" for c in order]]).drop("version", *[f"_at_{c}" for c in order])
+    return versions.latest(spark, path, keys, order)
 
 
-def write_jobs(df: DataFrame, path: str, version: int | None = None) -> int:
+def write_jobs(df: DataFrame, path: str, version: int | str | None = None, at: int | None = None) -> versions.Commit:
     """Upsert job records by ``job_id``; within one write the latest ``updated_at`` wins."""
-    return upsert(distinct_last(df.withColumn("_u", F.col("updated_at")), ["job_id"], ["_u"]).drop("_u"), path, version)
+    return upsert(distinct_last(df.withColumn("_u", F.col("updated_at")), ["job_id"], ["_u"]).drop("_u"), path, version, at)
 
 
-def write_cache(df: DataFrame, path: str, version: int | None = None) -> int:
+def write_cache(df: DataFrame, path: str, version: int | str | None = None) -> versions.Commit:
     """Upsert summary-cache entries by canonical URL."""
     kept = df.filter("source_url <> ''").withColumn("_c", F.col("created_at"))
     return upsert(distinct_last(kept, ["source_url"], ["_c"]).drop("_c"), path, version)
 
 
-def write_notes(df: DataFrame, path: str, version: int | None = None) -> int:
+def write_notes(df: DataFrame, path: str, version: int | str | None = None) -> versions.Commit:
     """Upsert notes by ``path``, with year and month of their capture time; within one write the latest capture wins.
 
     A note that is written again replaces itself: resolve the path of a known page with
@@ -74,19 +59,29 @@ def write_report(results: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(f"{path}/table")
 
 
-def append_auto_cases(found: DataFrame, inbox: str) -> None:
-    """Append automatic cases the inbox does not hold yet."""
-    spark = found.sparkSession
-    try:
-        known = spark.read.parquet(inbox).select("case_key", "auto_reason")
-    except Exception as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        known = found.select("case_key", "auto_reason").limit(0)
-    cases.new_cases(found, known).write.mode("append").parquet(inbox)
+def append_auto_cases(found: DataFrame, inbox: str, version: int | str | None = None) -> versions.Commit:
+    """Append automatic cases the inbox does not hold yet.
+
+    A repeated ``version`` sees the inbox without its earlier self, so it writes the same again. Two
+    writers at once may both append a case; :func:`read_inbox` returns it once.
+    """
+    known = versions.read(found.sparkSession, inbox)
+    if known is not None and version is not None:
+        own = [c.version for c in versions.live(versions.commits(found.sparkSession, inbox)) if c.token == str(version)]
+        known = known.where(~F.col("_version").isin(*own)) if own else known
+    return upsert(cases.new_cases(found, found.limit(0) if known is None else known), inbox, version)
+
+
+def read_inbox(spark: SparkSession, inbox: str, key: str = "case_key") -> DataFrame | None:
+    """Automatic cases, each (``key``, auto_reason) once: the first that came; None while there are none."""
+    df = versions.read(spark, inbox)
+    if df is None:
+        return None
+    by = {f"_by{c}": F.col(c) for c in versions.ORDER}
+    return distinct_first(df.withColumns(by), [key, "auto_reason"], list(by)).drop(*by, *versions.ORDER)
 
 
-def write_materials(df: DataFrame, path: str, version: int | None = None) -> int:
+def write_materials(df: DataFrame, path: str, version: int | str | None = None) -> versions.Commit:
     """Note materials as JSON, keyed by the first 12 digits of the title's SHA-1."""
     keyed = df.select(
         F.substring(F.sha1("title"), 1, 12).alias("material_key"), F.to_json(F.struct(*df.columns)).alias("materials"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from gleaner.sources import writers
+from gleaner.sources import versions, writers
 
 #: Phases of a job and states of a phase.
 PHASES = ("extract", "summarize", "write_note", "notify")
@@ -75,4 +75,4 @@ def stream_ledger(events: DataFrame, path: str) -> DataStreamWriter:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger of all events that :func:`stream_ledger` has seen."""
-    return merge_parts(spark.read.parquet(path))
+    return merge_parts(versions.read(spark, path))

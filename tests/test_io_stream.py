@@ -11,7 +11,7 @@ from gleaner import schemas
 from gleaner.functions import arrays as ar
 from gleaner.operators import hooks
 from gleaner.session import checkpoint_dir, cut_lineage
-from gleaner.sources import readers, writers
+from gleaner.sources import readers, versions, writers
 from gleaner.streaming import ingest, ledger
 
 
@@ -92,7 +92,8 @@ def test_auto_cases_are_appended_once(spark, tmp_path):
     found = spark.createDataFrame([("k", "r"), ("k", "r"), ("k", "s")], "case_key string, auto_reason string")
     for _ in range(2):
         writers.append_auto_cases(found, str(tmp_path / "inbox"))
-    assert spark.read.parquet(str(tmp_path / "inbox")).count() == 2
+    assert writers.read_inbox(spark, str(tmp_path / "inbox")).count() == 2
+    assert versions.read(spark, str(tmp_path / "inbox")).count() == 2
 
 
 def test_other_sinks(spark, tmp_path):
@@ -151,7 +152,7 @@ def test_ingest_replay_and_cache(spark, tmp_path):
     dump(folder / "2.json", '{"request_id":"b","source_kind":"pasted_text","raw_text":"hello"}')
     run = ingest.replay(spark, str(folder), ingest.queued_jobs, str(tmp_path / "jobs"), str(tmp_path / "c1"))
     run.awaitTermination()
-    jobs = {r["job_id"]: r for r in spark.read.parquet(str(tmp_path / "jobs")).collect()}
+    jobs = {r["job_id"]: r for r in versions.read(spark, str(tmp_path / "jobs")).collect()}
     assert set(jobs) == {"a", "b"} and jobs["a"]["status"] == "received" and jobs["a"]["phase_status"]["notify"] == "pending"
     cache = spark.createDataFrame([("https://e.com/x", "fp", "s")], "source_url string, fingerprint string, summary string").withColumn("created_at", F.lit(datetime.now(timezone.utc)))
     hits = ingest.fresh_cache_hits(ingest.request_stream(spark, str(folder)), cache)
