@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions import arrays as ar
 from gleaner.sources.tables import read_table
 
 #: Control strings of the template.
@@ -67,8 +68,22 @@ def _sums(values: Column) -> Column:
     return F.aggregate(values, zero, lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
 
 
+#: What a turn carries: its formatted text, tokens, characters, and characters before its own text.
+_TURN = ["turn", "role", "text", "tokens", "chars", "head"]
+
+
+def _formatted(df: DataFrame, tokens) -> DataFrame:
+    """Turns formatted where they are read, so that texts are escaped once and move once."""
+    header = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
+    made = df.withColumn("header", header).withColumn("text", F.concat("header", escape(F.col("body")), F.lit(END + "\n")))
+    return made.select(
+        "conv", "section", "turn", "role", "text", F.greatest(tokens(F.col("text")), F.lit(0)).cast("long").alias("tokens"),
+        F.char_length("text").cast("long").alias("chars"), F.char_length("header").cast("long").alias("head"),
+    )
+
+
 def _sections(turns: DataFrame, history_turns: int, bits: int) -> DataFrame:
-    """Columns conv, section, ``rows``: structs of kind, turn, role, body.
+    """Columns conv, section, ``rows``: structs of kind and a turn.
 
     Kinds: 2 own turn, 1 copy of a turn of the section before, 0 mark of a later section with the system
     turn (or nulls), -1 mark of the first of several sections. A conversation of one section has no mark.
@@ -78,35 +93,21 @@ def _sections(turns: DataFrame, history_turns: int, bits: int) -> DataFrame:
         F.min("section").alias("low"), F.max("section").alias("high"), F.min(F.struct("section", "first"))["first"].alias("first"),
     ).where("low < high")
     system = turns.where("role = 'system'").alias("t").join(several.alias("s"), F.expr("t.conv <=> s.conv AND t.turn <=> s.first.turn AND s.first.role = 'system'"))
-    system = system.groupBy("t.conv").agg(F.min(F.struct("t.turn", "t.body")).alias("least")).select("conv", "least.turn", "least.body")
+    system = system.groupBy("t.conv").agg(F.min(F.struct(*[f"t.{c}" for c in _TURN])).alias("least"))
     heads = spread.alias("p").join(several.alias("s"), F.expr("p.conv <=> s.conv")).select("p.conv", "p.section", "s.low")
+    later = F.expr("h.section > h.low")
     marks = heads.alias("h").join(system.alias("y"), F.expr("h.conv <=> y.conv"), "left").select(
-        "h.conv", "h.section", F.when(F.expr("h.section = h.low"), -1).otherwise(0).alias("kind"), "y.turn",
-        F.expr("CASE WHEN h.section > h.low AND y.body IS NOT NULL THEN 'system' END").alias("role"), F.expr("y.body").alias("body"),
+        "h.conv", "h.section", F.when(later, 0).otherwise(-1).alias("kind"), *[F.when(later, F.col(f"y.least.{c}")).alias(c) for c in _TURN],
     )
     last = (1 << bits) - history_turns
     copies = turns.where(F.pmod("turn", F.lit(1 << bits)) >= last).withColumn("section", F.col("section") + 1)
-    columns = ["conv", "section", "kind", "turn", "role", "body"]
+    columns = ["conv", "section", "kind", *_TURN]
     rows = turns.withColumn("kind", F.lit(2)).select(*columns).unionByName(copies.withColumn("kind", F.lit(1)).select(*columns))
     rows = rows.unionByName(marks.select(*columns))
-    found = rows.groupBy("conv", "section").agg(F.collect_list(F.struct("kind", "turn", "role", "body")).alias("rows"))
+    found = rows.groupBy("conv", "section").agg(F.collect_list(F.struct("kind", *_TURN)).alias("rows"))
     return found.where(F.exists("rows", lambda r: r["kind"] == 2))
 
 
-def _formatted(rows: Column, tokens) -> Column:
-    """Turns with their formatted text, its tokens and lengths."""
-    def one(r):
-        head = F.concat(F.lit(START), escape_role(r["role"]), F.lit("\n"))
-        return _let(F.struct(head.alias("h"), escape(r["body"]).alias("e")), lambda p: _let(
-            F.concat(p["h"], p["e"], F.lit(END + "\n")), lambda f: F.struct(
-                r["turn"].alias("turn"), f.alias("text"), F.greatest(tokens(f), F.lit(0)).cast("long").alias("tokens"),
-                F.char_length(f).cast("long").alias("chars"), F.char_length(p["h"]).cast("long").alias("head"),
-                F.char_length(p["e"]).cast("long").alias("body"), (r["role"] == "assistant").alias("target"),
-            )))
-
-    return F.transform(rows, one)
-
-
 def _spans(turns: Column, sums: Column, old: Column, room: Column, history: int, history_turns: int) -> Column:
     """Per window the place of its first history turn and of its first new turn, both from 0."""
     def opened(wins, j, tokens):
@@ -121,7 +122,56 @@ def _spans(turns: Column, sums: Column, old: Column, room: Column, history: int,
 
     places = F.filter(F.sequence(F.lit(0), F.size(turns)), lambda j: (j >= old) & (j < F.size(turns)))
     empty = F.array().cast("array<struct<history:int,first:int>>")
-    return F.aggregate(places, empty, step)
+    found = F.aggregate(places, empty, step)
+    alone = F.array(F.struct(old.alias("history"), old.alias("first")))  # a system turn without others
+    return _let(found, lambda s: F.when(F.size(s) > 0, s).otherwise(alone))
+
+
+def _windows(rows: Column, budget: int, history: int, history_turns: int) -> Column:
+    """The windows of a section. Each step is bound once: what a lambda reads must not be computed in it."""
+    def of(kind):
+        return F.filter(rows, lambda r: r["kind"] == kind)
+
+    def split(p):
+        starts = p["mark"].isNull() & (F.get(p["own"], F.lit(0))["role"] == "system")
+        marked = p["mark"]["role"].isNotNull()
+        repeats = lambda r: marked & (r["role"] == "system") & r["turn"].eqNullSafe(p["mark"]["turn"]) & (r["text"] == p["mark"]["text"])
+        system = F.when(starts, F.slice(p["own"], 1, 1)).when(marked, F.array(p["mark"])).otherwise(F.slice(p["own"], 1, 0))
+        own = F.when(starts, F.slice(p["own"], 2, F.size(p["own"]))).otherwise(p["own"])
+        old = F.filter(p["old"], lambda r: ~F.coalesce(repeats(r), F.lit(False)))
+        return F.struct(starts.alias("starts"), system.alias("system"), own.alias("own"), old.alias("old"))
+
+    def joined(p):
+        return F.struct(p["starts"].alias("starts"), p["system"].alias("system"), F.concat(p["old"], p["own"]).alias("turns"), F.size(p["old"]).alias("old"))
+
+    def summed(p):
+        return _let(F.struct(
+            _sums(F.transform(p["turns"], lambda t: t["tokens"])).alias("tokens"), _sums(F.transform(p["turns"], lambda t: t["chars"])).alias("chars"),
+            F.coalesce(F.get(p["system"], F.lit(0))["tokens"], F.lit(0)).alias("system_tokens"),
+            F.coalesce(F.get(p["system"], F.lit(0))["chars"], F.lit(0)).alias("system_chars"),
+        ), lambda sums: _let(
+            _spans(p["turns"], sums["tokens"], p["old"], F.lit(budget) - sums["system_tokens"], history, history_turns),
+            lambda spans: F.transform(spans, lambda s, i: _let(
+                F.coalesce(F.get(spans, i + 1)["first"], F.size(p["turns"])), lambda end: window(p, sums, s, i, end))),
+        ))
+
+    def window(p, sums, s, i, end):
+        def span(k):
+            start = sums["system_chars"] + F.get(sums["chars"], k) - F.get(sums["chars"], s["history"])
+            turn = F.get(p["turns"], k)
+            return F.struct((start + turn["head"]).alias("start"), (start + turn["chars"] - (len(END) + 1)).alias("end"))
+
+        targets = F.filter(F.sequence(s["first"], end), lambda k: (k < end) & (F.get(p["turns"], k)["role"] == "assistant"))
+        shown = F.concat(p["system"], F.slice(p["turns"], s["history"] + 1, end - s["history"]))
+        return F.struct(
+            (F.size(p["system"]) + end - s["history"]).alias("n_turns"),
+            (F.when(p["starts"] & (i == 0), 0).otherwise(F.size(p["system"])) + s["first"] - s["history"]).alias("n_repeated"),
+            (sums["system_tokens"] + F.get(sums["tokens"], end) - F.get(sums["tokens"], s["history"])).alias("n_tokens"),
+            F.array_join(F.transform(shown, lambda t: t["text"]), "").alias("text"), F.transform(targets, span).alias("loss"),
+        )
+
+    parts = F.struct(F.sort_array(of(2)).alias("own"), F.sort_array(of(1)).alias("old"), F.get(of(0), F.lit(0)).alias("mark"))
+    return _let(parts, lambda p: _let(split(p), lambda q: _let(joined(q), summed)))
 
 
 def windows(
@@ -135,9 +185,9 @@ def windows(
     whether the conversation has one section. ``section`` and ``window`` order the windows of a
     conversation. ``tokens`` is a function from the formatted turn to a column with its token count.
 
-    Turns are ordered by turn number (cast to long; null first), then role, then text; ties and repeated
-    rows are turns of their own. A null role or text is empty; a null conv_id is one more conversation. A
-    section with nothing but the system turn is one window. An empty table gives no rows. Further columns of
+    Turns are ordered by turn number (cast to long; null first), then role, then formatted text; ties and
+    repeated rows are turns of their own. A null role or text is empty; a null conv_id is one more conversation.
+    A section with nothing but the system turn is one window. An empty table gives no rows. Further columns of
     ``df`` are not read. A section is gathered in one row; turn numbers are expected to be (nearly) unique in
     their conversation.
     """
@@ -147,50 +197,10 @@ def windows(
         F.col(f"`{conv_id}`").alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"),
         F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"),
     ).withColumn("section", F.coalesce(F.shiftright("turn", section_bits), F.lit(_NO_TURN)))
-    found = _sections(turns, history_turns, section_bits)
-    kind = lambda k: F.filter("rows", lambda r: r["kind"] == k)
-    found = found.select(
-        "conv", "section", (~F.exists("rows", lambda r: r["kind"] < 1)).alias("single"),
-        F.sort_array(kind(2)).alias("own"), F.sort_array(kind(1)).alias("old"), F.get(kind(0), F.lit(0)).alias("mark"),
-    )
-    system = lambda r: F.expr("mark.role IS NOT NULL") & (r["role"] == "system") & r["turn"].eqNullSafe(F.col("mark.turn")) & (r["body"] == F.col("mark.body"))
-    found = found.withColumn("old", F.filter("old", lambda r: ~F.coalesce(system(r), F.lit(False))))
-    starts = F.col("mark").isNull() & (F.get("own", F.lit(0))["role"] == "system")
-    found = found.select(
-        "conv", "section", "single", starts.alias("starts"), F.size("old").alias("n_old"),
-        _formatted(F.when(starts, F.slice("own", 1, 1)).when(F.col("mark")["role"].isNotNull(), F.array("mark")).otherwise(F.slice("own", 1, 0)), tokens).alias("system"),
-        _formatted(F.concat("old", F.when(starts, F.slice("own", 2, F.size("own"))).otherwise(F.col("own"))), tokens).alias("turns"),
-    )
-    found = found.select(
-        "*", _sums(F.transform("turns", lambda t: t["tokens"])).alias("token_sums"), _sums(F.transform("turns", lambda t: t["chars"])).alias("char_sums"),
-        F.coalesce(F.get("system", F.lit(0))["tokens"], F.lit(0)).alias("system_tokens"),
-        F.coalesce(F.get("system", F.lit(0))["chars"], F.lit(0)).alias("system_chars"),
-    )
-    spans = _spans(F.col("turns"), F.col("token_sums"), F.col("n_old"), F.lit(budget) - F.col("system_tokens"), history, history_turns)
-    alone = F.array(F.struct(F.col("n_old").alias("history"), F.col("n_old").alias("first")))  # a system turn without others
-    found = found.withColumn("spans", _let(spans, lambda s: F.when(F.size(s) > 0, s).otherwise(alone)))
-    ends = F.transform("spans", lambda s, i: F.struct(
-        s["history"].alias("history"), s["first"].alias("first"), F.coalesce(F.get("spans", i + 1)["first"], F.size("turns")).alias("end"),
-        i.alias("window"),
-    ))
-    return found.withColumn("spans", ends).select("*", F.explode("spans").alias("w")).select(
-        F.col("conv").alias("conv_id"), "section", F.col("w.window").alias("window"), "single",
-        (F.size("system") + F.col("w.end") - F.col("w.history")).alias("n_turns"),
-        (F.when(F.col("starts") & (F.col("w.window") == 0), 0).otherwise(F.size("system")) + F.col("w.first") - F.col("w.history")).alias("n_repeated"),
-        (F.col("system_tokens") + F.get("token_sums", "w.end") - F.get("token_sums", "w.history")).alias("n_tokens"),
-        F.array_join(F.transform(F.concat("system", F.slice("turns", F.col("w.history") + 1, F.col("w.end") - F.col("w.history"))), lambda t: t["text"]), "").alias("text"),
-        _loss().alias("loss"),
-    )
-
-
-def _loss() -> Column:
-    """Spans of the new assistant texts of a window."""
-    def span(k):
-        start = F.col("system_chars") + F.get("char_sums", k) - F.get("char_sums", F.col("w.history")) + F.get("turns", k)["head"]
-        return _let(start, lambda s: F.struct(s.alias("start"), (s + F.get("turns", k)["body"]).alias("end")))
-
-    places = F.filter(F.sequence(F.col("w.first"), F.col("w.end")), lambda k: (k < F.col("w.end")) & F.get("turns", k)["target"])
-    return F.transform(places, span)
+    found = _sections(_formatted(turns, tokens), history_turns, section_bits)
+    found = found.withColumn("single", ~F.exists("rows", lambda r: r["kind"] < 1))
+    rows = ar.explode_rows(found, ["conv", "section", "single"], _windows(F.col("rows"), budget, history, history_turns), "w", "window")
+    return rows.select(F.col("conv").alias("conv_id"), "section", "window", "single", "w.*")
 
 
 def read_turns(text: Column) -> Column:
