@@ -13,6 +13,8 @@ from gleaner.functions import text as tx
 from gleaner.operators import cases, sampling, segments, snapshots
 from gleaner.operators import lines as ln
 from gleaner.operators import predicates as pr
+from gleaner.sources import json_files
+from gleaner.sources.json_files import read_objects
 from gleaner.streaming.ledger import PHASES
 
 
@@ -56,7 +58,7 @@ def clean_expect(expect: Column) -> Column:
 
 def read_eval_cases(spark: SparkSession, path: str) -> Checked:
     """Evaluation cases from JSON arrays; rows without id or kind are rejected."""
-    df = spark.read.schema(schemas.EVAL_CASE).json(path, multiLine=True)
+    df = read_objects(spark, path, schemas.EVAL_CASE).drop("_path", "_ord")
     ident = tx.strip(F.coalesce(F.nullif("id", F.lit("")), F.col("case_id"), F.lit("")))
     kind = tx.strip(tx.text_or_empty(F.col("source_kind")))
     df = df.withColumns(
@@ -74,21 +76,20 @@ def read_eval_cases(spark: SparkSession, path: str) -> Checked:
 
 
 def read_recognition_cases(spark: SparkSession, path: str, provenance: str) -> Checked:
-    """Recognition cases: JSON array for ``manual``, one object per line for ``auto``.
+    """Recognition cases: a JSON array or one object per line; ``ord`` is the place in the file.
 
     A case without an id gets one from its normalised reason, which is never empty,
     so such an id starts with ``auto-`` even in a manual file.
     """
-    df = spark.read.schema(schemas.RECOGNITION_CASE).json(path, multiLine=provenance == "manual")
+    df = read_objects(spark, path, schemas.RECOGNITION_CASE)
     df = df.withColumns(
         {
             "provenance": F.coalesce(F.nullif(tx.strip(F.col("provenance")), F.lit("")), F.lit(provenance)),
             "auto_reason": pr.normalize_reason(F.col("auto_reason")),
             "labels": ar.keep_first(F.col("labels")),
             "expect": clean_expect(F.col("expect")),
-            "ord": F.monotonically_increasing_id(),
         }
-    )
+    ).drop("_path").withColumnRenamed("_ord", "ord")
     derived = cases.case_id(F.col("source_kind"), F.col("source_url"), F.col("raw_text"), F.col("auto_reason"))
     given = [F.nullif(tx.strip(F.col(c)), F.lit("")) for c in ("id", "case_id")]
     df = df.withColumn("id", F.coalesce(*given, derived)).drop("case_id")
@@ -98,10 +99,10 @@ def read_recognition_cases(spark: SparkSession, path: str, provenance: str) -> C
 
 
 def read_replay_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Saved payloads with their context and expectation, flattened."""
-    df = spark.read.schema(schemas.REPLAY_CASE).json(path, multiLine=True)
+    """Saved payloads with their context and expectation, flattened; ``path`` and ``ord`` give their order."""
+    df = read_objects(spark, path, schemas.REPLAY_CASE)
     return apply_request_defaults(
-        df.select("case_id", "entry_context.chat_target", "entry_context.entry_mode", "payload.*", clean_expect(F.col("expect")).alias("expect"))
+        df.select(F.col("_path").alias("path"), F.col("_ord").alias("ord"), "case_id", "entry_context.chat_target", "entry_context.entry_mode", "payload.*", clean_expect(F.col("expect")).alias("expect"))
     )
 
 
@@ -164,20 +165,11 @@ def read_snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def harvest_urls(spark: SparkSession, json_paths: list[str], prose_paths: list[str]) -> DataFrame:
-    """(source_url, source_kind) pairs from nested JSON, and URLs from prose files.
-
-    JSON of any nesting is searched object by object: an innermost object that
-    names a ``source_url`` is one regular-expression hit on the raw text.
-    """
+    """(source_url, source_kind) pairs from JSON of any nesting, and URLs from prose files."""
     parts = []
     if json_paths:
         raw = spark.read.text(json_paths, wholetext=True)
-        objects = F.regexp_extract_all("value", F.lit(r"\{[^{}]*\"source_url\"\s*:\s*\"[^\"]+\"[^{}]*"), 0)
-        hits = ar.explode_rows(raw, [], objects, "o").select(
-            F.regexp_extract("o", r"\"source_url\"\s*:\s*\"([^\"]+)\"", 1).alias("source_url"),
-            F.nullif(F.regexp_extract("o", r"\"source_kind\"\s*:\s*\"([^\"]+)\"", 1), F.lit("")).alias("source_kind"),
-        )
-        parts.append(hits)
+        parts.append(json_files.harvest(raw, "value"))
     if prose_paths:
         text = spark.read.text(prose_paths)
         found = ar.explode_rows(text, [], sampling.prose_urls(F.col("value")), "source_url")
