@@ -42,62 +42,104 @@ CONTAINERS = (
 )
 
 
-def _element_codes(tags: Column, target: Callable[[Column], Column]) -> Column:
-    """Per tag: 1 opens an element that ``target`` selects, 3 closes it, 2 is inside, 0 outside.
+def _tags(tags: Column) -> Column:
+    """array<struct<tag,name,close,void>>: what the folds ask of a tag, worked out once."""
+    def one(t: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, "^</?([a-zA-Z0-9:-]+)", 1))
+        return tx.let(name, lambda n: F.struct(
+            t.alias("tag"), n.alias("name"), F.startswith(t, F.lit("</")).alias("close"), (F.endswith(t, F.lit("/>")) | n.isin(*VOID)).alias("void")))
+
+    return F.transform(tags, one)
+
+
+#: Tags of a block of the fold.
+_BLOCK = 128
+
+
+def _marked(tags: Column, target: Callable[[Column], Column]) -> Column:
+    """The tags with ``hit``: whether ``target`` selects them."""
+    return F.transform(tags, lambda t: F.struct(
+        t["name"].alias("name"), t["close"].alias("close"), t["void"].alias("void"), (~t["close"] & ~t["void"] & target(t["tag"])).alias("hit")))
+
+
+def _step(acc: Column, x: Column) -> tuple[Column, Column, Column]:
+    """(opens, name, depth) after tag ``x``: the element that ``acc`` is in ends where its depth returns to zero."""
+    same = (acc["depth"] > 0) & (x["name"] == acc["name"]) & ~x["void"]
+    opens = (acc["depth"] == 0) & x["hit"]
+    depth = F.when(opens, 1).when(same & x["close"], acc["depth"] - 1).when(same, acc["depth"] + 1).otherwise(acc["depth"])
+    return opens, F.when(opens, x["name"]).otherwise(acc["name"]), depth
+
+
+def _elements(marked: Column) -> Column:
+    """array<struct<first,last>>: places of the open and close tags of the outermost elements that open with a hit.
 
     The element ends where as many tags of its name are closed as were opened since. One that
-    is never closed isn't an element.
+    is never closed isn't an element. A fold copies what it carries at every step, so one over blocks of
+    tags carries the elements found so far, and one within a block only those of the block.
     """
-    start = F.struct(F.lit("").alias("name"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("codes"))
+    none = F.array().cast("array<struct<first:int,last:int>>")
+
+    def state(name: Column, depth: Column, at: Column, first: Column, found: Column) -> Column:
+        return F.struct(name.alias("name"), depth.alias("depth"), at.alias("at"), first.alias("first"), found.alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
-        name = F.lower(F.regexp_extract(x, "^</?([a-zA-Z0-9:-]+)", 1))
-        close, void = F.startswith(x, F.lit("</")), F.endswith(x, F.lit("/>")) | name.isin(*VOID)
-        same = (acc["depth"] > 0) & (name == acc["name"]) & ~void
-        opens = (acc["depth"] == 0) & ~close & ~void & target(x)
-        depth = F.when(opens, 1).when(same & close, acc["depth"] - 1).when(same, acc["depth"] + 1).otherwise(acc["depth"])
-        code = F.when(opens, 1).when((acc["depth"] > 0) & (depth == 0), 3).when(acc["depth"] > 0, 2).otherwise(0)
-        return F.struct(F.when(opens, name).otherwise(acc["name"]).alias("name"), depth.alias("depth"), F.concat(acc["codes"], F.array(code)).alias("codes"))
+        opens, name, depth = _step(acc, x)
+        ended = (acc["depth"] > 0) & (depth == 0)
+        found = F.when(ended, F.concat(acc["found"], F.array(F.struct(acc["first"].alias("first"), acc["at"].alias("last"))))).otherwise(acc["found"])
+        return state(name, depth, acc["at"] + 1, F.when(opens, acc["at"]).otherwise(acc["first"]), found)
+
+    def block(acc: Column, k: Column) -> Column:
+        inner = F.aggregate(F.slice(marked, k * _BLOCK + 1, F.lit(_BLOCK)), state(acc["name"], acc["depth"], acc["at"], acc["first"], none), step)
+        return tx.let(inner, lambda i: state(i["name"], i["depth"], i["at"], i["first"], F.concat(acc["found"], i["found"])))
 
-    def closed(acc: Column) -> Column:
-        last = F.size(acc["codes"]) - F.array_position(F.reverse(acc["codes"]), 1)
-        return F.when(acc["depth"] == 0, acc["codes"]).otherwise(
-            F.transform(acc["codes"], lambda c, i: F.when(i >= last, F.lit(0)).otherwise(c)))
+    start = state(F.lit(""), F.lit(0), F.lit(0), F.lit(0), none)
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(marked) / _BLOCK).cast("int")), start, block, lambda acc: acc["found"])
 
-    return F.aggregate(tags, start, step, closed)
+
+def _first_element(marked: Column) -> Column:
+    """struct(first, last) of the first closed element that opens with a hit; ``last`` is -1 without one."""
+    start = F.struct(F.lit("").alias("name"), F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens, name, depth = _step(acc, x)
+        last = F.when((acc["last"] < 0) & (acc["depth"] > 0) & (depth == 0), acc["at"]).otherwise(acc["last"])
+        first = F.when(opens & (acc["last"] < 0), acc["at"]).otherwise(acc["first"])
+        return F.struct(name.alias("name"), depth.alias("depth"), (acc["at"] + 1).alias("at"), first.alias("first"), last.alias("last"))
+
+    return F.aggregate(marked, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
 def _parts(html: Column) -> Column:
     """struct(tags, gaps): the tags and the text before, between and behind them."""
-    return F.struct(F.regexp_extract_all(html, F.lit(TAG), 0).alias("tags"), F.split(html, TAG, -1).alias("gaps"))
+    return F.struct(_tags(F.regexp_extract_all(html, F.lit(TAG), 0)).alias("tags"), F.split(html, TAG, -1).alias("gaps"))
+
+
+def _run(p: Column, first: Column, last: Column) -> Column:
+    """The text from tag ``first`` to tag ``last`` with the gaps behind them."""
+    tags = F.slice(p["tags"], first + 1, F.greatest(last - first + 1, F.lit(0)))
+    return F.array_join(F.transform(tags, lambda t, i: F.concat(t["tag"], F.get(p["gaps"], first + i + 1))), "")
 
 
 def cut_elements(html: Column, target: Callable[[Column], Column]) -> Column:
     """HTML without the elements that ``target`` selects by their open tag, with all that is in them."""
 
     def kept(p: Column) -> Column:
-        return tx.let(_element_codes(p["tags"], target), lambda codes: F.concat(
-            F.get(p["gaps"], F.lit(0)),
-            F.array_join(F.transform(p["tags"], lambda t, i: F.when(F.get(codes, i) == 0, F.concat(t, F.get(p["gaps"], i + 1)))
-                         .when(F.get(codes, i) == 3, F.concat(F.lit(" "), F.get(p["gaps"], i + 1))).otherwise(F.lit(""))), ""),
-        ))
+        def between(found: Column) -> Column:
+            # From each cut element's end to the next one's start; a space stands for the element.
+            later = F.transform(found, lambda e, k: F.concat(
+                F.lit(" "), F.get(p["gaps"], e["last"] + 1), _run(p, e["last"] + 1, F.coalesce(F.get(found, k + 1)["first"], F.size(p["tags"])) - 1)))
+            head = F.concat(F.get(p["gaps"], F.lit(0)), _run(p, F.lit(0), F.coalesce(F.get(found, F.lit(0))["first"], F.size(p["tags"])) - 1))
+            return F.concat(head, F.array_join(later, ""))
 
-    return tx.let(_parts(html), lambda p: F.when(F.exists(p["tags"], target), kept(p)).otherwise(html))
+        return tx.let(_marked(p["tags"], target), lambda m: F.when(F.exists(m, lambda x: x["hit"]), tx.let(_elements(m), between)))
 
+    return tx.let(_parts(html), lambda p: F.coalesce(kept(p), html))
 
-def inner_of(html: Column, target: Callable[[Column], Column]) -> Column:
-    """Content of the first closed element that ``target`` selects; null without one."""
 
-    def content(p: Column) -> Column:
-        def between(codes: Column) -> Column:
-            first = F.array_position(codes, 1).cast("int") - 1
-            last = F.array_position(codes, 3).cast("int") - 1
-            return F.when(last > first, F.concat(F.get(p["gaps"], first + 1), F.array_join(F.transform(
-                F.slice(p["tags"], first + 2, last - first - 1), lambda t, i: F.concat(t, F.get(p["gaps"], first + 2 + i))), "")))
-
-        return tx.let(_element_codes(p["tags"], target), between)
-
-    return tx.let(_parts(html), lambda p: F.when(F.exists(p["tags"], target), content(p)))
+def _inner(p: Column, target: Callable[[Column], Column]) -> Column:
+    """Content of the first closed element that ``target`` selects; null without one."""
+    return tx.let(_first_element(_marked(p["tags"], target)), lambda e: F.when(
+        e["last"] > e["first"], F.concat(F.get(p["gaps"], e["first"] + 1), _run(p, e["first"] + 1, e["last"] - 1))))
 
 
 def without_noise(html: Column) -> Column:
@@ -114,15 +156,20 @@ def without_noise(html: Column) -> Column:
 
 
 def main_part(html: Column) -> Column:
-    """Content of the first primary container in order of preference, from its open tag to its own close tag."""
+    """Content of the first primary container in order of preference, from its open tag to its own close tag.
+
+    Tags are cut out once for all containers; a container that no tag names costs one look at the page.
+    """
+    def inside(p: Column) -> Column:
+        def option(pattern: str) -> Column:
+            named = html.rlike("(?is)" + (pattern[1:] if pattern.startswith("^") else pattern))
+            return F.when(named, F.nullif(_inner(p, lambda t: t.rlike("(?is)" + pattern)), F.lit("")))
 
-    def inside(pattern: str) -> Column:
-        return F.nullif(inner_of(html, lambda t: t.rlike("(?is)" + pattern)), F.lit(""))
+        return F.coalesce(*[option(pattern) for pattern in CONTAINERS])
 
     marked = html.rlike("(?i)data-testid=|markdown-body|role=[\"']main|class=[\"'][^\"']*(?:body|document)|<article|<main")
-    options = [F.when(marked, inside(pattern)) for pattern in CONTAINERS]
     body = F.nullif(F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)", 1), F.lit(""))
-    return F.coalesce(*options, body, html)
+    return F.coalesce(F.when(marked, tx.let(_parts(html), inside)), body, html)
 
 
 def blocks(main: Column) -> Column:
