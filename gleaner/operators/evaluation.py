@@ -270,17 +270,17 @@ def _shared_keys(text: Column, kinds: Column, gram: int) -> Column:
 
 
 def phrase_hits(
-    docs: DataFrame, phrases: DataFrame, doc_id: str, text: str, phrase_id: str, phrase: str, gram: int = 3, blocks: int = 1,
+    docs: DataFrame, phrases: DataFrame, doc_id: str, text: str, phrase_id: str, phrase: str, gram: int = 3, max_keys: int = 1 << 16,
 ) -> DataFrame:
     """(phrase_id, doc_id) pairs where the normalised text contains the phrase.
 
     Inside a phrase every word but the first and last must be a whole word of the text, so
     those inner words (up to ``gram`` of them) are its key; phrases of one or two words have
-    their first two characters. The set of all keys is a subquery of one row: a text keeps
-    only those of its keys that are asked for, meets the phrases of these keys, and every
-    candidate is verified in the row of its text. Texts are read once and don't move as long
-    as the phrases are small enough to be broadcast, which Spark decides by their size. A
-    phrase table of millions is dealt into ``blocks``, each of which reads the texts again.
+    their first two characters. The distinct keys are counted and dealt into blocks of about
+    ``max_keys``, each a subquery of one row of bounded size: a text keeps only those of its keys that are
+    asked for, meets the phrases of these keys, and every candidate is verified in the row of its
+    text. Each block reads the texts once, and they don't move as long as its phrases are small
+    enough to be broadcast, which Spark decides by their size.
     """
     p = phrases.select(F.col(phrase_id), tx.token(F.col(phrase)).alias("_p")).filter("_p <> ''")
     p = p.withColumn("_n", F.size(F.split("_p", " ")))
@@ -301,6 +301,7 @@ def phrase_hits(
         held = held.select(doc_id, "_t", F.explode(shared).alias("_key"))
         return held.join(part.select("_key", phrase_id, "_p"), "_key").filter(F.contains("_t", "_p")).select(phrase_id, doc_id)
 
+    blocks = max(1, -(-p.select("_key").distinct().count() // max_keys))
     if blocks == 1:
         return of_block(p)
     number = F.pmod(F.xxhash64("_key"), F.lit(blocks))

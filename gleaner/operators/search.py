@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,18 +78,72 @@ def evidence_text(results: Column) -> Column:
     return F.array_join(blocks, "\n\n")
 
 
+#: Tokens of queries that the driver and every task hold at once, in bytes.
+QUERY_BYTES = 4 << 20
+
+
 def rank_corpus(
     queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, query_text: str, text: str,
-    limit: int = 5, stop: Iterable[str] = STOP,
+    limit: int = 5, stop: Iterable[str] = STOP, batch_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
-    """Top documents per query by number of distinct query tokens they contain.
+    """Top documents per query by number of distinct query tokens they contain; equal numbers by ascending ``doc_id``.
 
-    Tokens meet in an equi-join: asked tokens are broadcast where they are few, and
-    adaptive execution splits a frequent token otherwise. Counts are summed per pair
-    before they move.
+    Queries reach the tasks in batches of bounded size. A document meets them where it is read: a task
+    counts the shared tokens per query, drops what is below the worst of its own top list, and hands on
+    at most ``limit`` rows per query. So no (query, document) pair of a frequent word moves.
     """
-    asked = ar.explode_rows(queries, query_id, query_tokens(F.col(query_text), stop), "token").drop("ord")
+    spark = queries.sparkSession
+    asked = queries.select(F.col(query_id).alias("_query"), query_tokens(F.col(query_text), stop).alias("_tokens")).where(F.size("_tokens") > 0)
+    size = asked.agg(F.sum(F.octet_length(F.array_join("_tokens", " ")) + 64)).first()[0] or 0
+    n = max(1, -(-int(size) // batch_bytes))
+    schema = f"_number long, {doc_id} {corpus.schema[doc_id].dataType.simpleString()}, hits long"
     words = F.array_distinct(F.regexp_extract_all(tx.text_or_empty(F.col(text)), F.lit(TOKEN), 0))
-    held = ar.explode_rows(corpus, doc_id, words, "token").drop("ord")
-    hits = held.join(asked, "token").groupBy(query_id, doc_id).agg(F.count("*").alias("hits"))
-    return top_per_key(hits, [query_id], [F.col("hits").desc(), F.col(doc_id).asc()], limit)
+    held = corpus.select(F.col(doc_id), words.alias("_words"))
+    parts, numbers, first = [], [], 0
+    for k in range(n):
+        batch = asked.where(F.pmod(F.xxhash64("_tokens"), F.lit(n)) == k).collect()
+        parts.append(held.mapInArrow(_counter([r["_tokens"] for r in batch], first, limit, doc_id), schema))
+        numbers += [(first + i, r["_query"]) for i, r in enumerate(batch)]
+        first += len(batch)
+    hits = reduce(DataFrame.unionByName, parts)
+    names = spark.createDataFrame(numbers, f"_number long, {query_id} {queries.schema[query_id].dataType.simpleString()}")
+    top = top_per_key(hits, ["_number"], [F.col("hits").desc(), F.col(doc_id).asc()], limit)
+    return top.join(names, "_number").select(query_id, doc_id, "hits", "rank")
+
+
+def _counter(queries: list[list[str]], first: int, limit: int, doc_id: str):
+    """A task of :func:`rank_corpus`: the best rows of its documents for each of ``queries``."""
+    holders: dict[str, list[int]] = {}
+    for q, tokens in enumerate(queries):
+        for t in tokens:
+            holders.setdefault(t, []).append(q)
+
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        ordered = frame.sort_values(["q", "hits", "id"], ascending=[True, False, True], na_position="first", kind="stable")
+        return ordered.groupby("q").head(limit)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        lists = {t: np.array(qs) for t, qs in holders.items()}
+        worst, top, kind = np.ones(len(queries), np.int64), None, None
+        for batch in batches:
+            kind, fresh = batch.schema.field(doc_id).type, []
+            for row, words in enumerate(batch.column("_words").to_pylist()):
+                shared = [lists[w] for w in words if w in lists]
+                if shared:
+                    counts = np.bincount(np.concatenate(shared), minlength=len(queries))
+                    kept = np.flatnonzero(counts >= worst)
+                    fresh.append((np.full(len(kept), row), kept, counts[kept]))
+            if not fresh:
+                continue
+            rows, q, hits = (np.concatenate(x) for x in zip(*fresh))
+            ids = batch.column(doc_id).take(pa.array(rows)).to_pandas(types_mapper=pd.ArrowDtype)
+            frame = pd.DataFrame({"q": q, "hits": hits, "id": ids.array})
+            top = best(frame if top is None else pd.concat([top, frame], ignore_index=True))
+            full = top.groupby("q")["hits"].agg(["size", "min"])
+            full = full[full["size"] == limit]
+            worst[full.index.to_numpy()] = full["min"].to_numpy()
+        if top is not None:
+            columns = [pa.array(top["q"].to_numpy() + first), pa.array(top["id"], kind), pa.array(top["hits"].to_numpy())]
+            yield pa.RecordBatch.from_arrays(columns, ["_number", doc_id, "hits"])
+
+    return run
