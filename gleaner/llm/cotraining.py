@@ -356,16 +356,18 @@ def fit(
             return [[word_codes(t or b"").tolist() for t in texts], [[float(x) for x in surface(t or b"")] for t in texts]]
         return work
 
+    # The features move once, to meet the labels, by the same join at every size. Copies of unlabelled rows
+    # need no merging, since what is asked of them are sums; of the labelled ones only the sample is merged.
     rows = annotate(base, "text_in", "f", FEATURES, make, keep=["id_in", "digest_in", "meta_in"])
-    rows = rows.join(good, "id_in", "left").groupBy("digest_in", "meta_in", "good_in")
-    rows = rows.agg(F.count("*").alias("copies_in"), F.first("f").alias("f"))
-    rows = materialize(rows.select("digest_in", "meta_in", "good_in", "copies_in", "f.words", "f.surface"), "cotraining")
-    seen = rows.select("copies_in", F.explode("words").alias("code")).groupBy("code").agg(F.sum("copies_in").alias("n"))
+    rows = rows.join(good.hint("merge"), "id_in", "left")
+    rows = materialize(rows.select("digest_in", "meta_in", "good_in", F.lit(1).cast("long").alias("copies_in"), "f.words", "f.surface"), "cotraining")
+    seen = rows.select(F.explode("words").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
     codes = np.array(sorted(c for c, _ in seen.where(F.col("n") >= MIN_DOCS).collect()), np.int64)  # at most 2 ** BITS
-    known = rows.where("good_in is not null").withColumn("hash_in", F.xxhash64(F.lit("fold"), "digest_in"))
-    rate = min(1_000_000, 1_000_000 * fit_rows // max(known.count(), 1))
+    known, same = rows.where("good_in is not null"), ["digest_in", "meta_in", "good_in"]
+    rate = min(1_000_000, 1_000_000 * fit_rows // max(known.select(*same).distinct().count(), 1))
     got = known.where(F.pmod(F.xxhash64(F.lit("fit"), "digest_in"), F.lit(1_000_000)) < rate)
-    got = got.drop("digest_in").toPandas().sort_values("hash_in", kind="stable")
+    got = got.groupBy(*same).agg(F.count("*").alias("copies_in"), F.first("words").alias("words"), F.first("surface").alias("surface"))
+    got = got.withColumn("hash_in", F.xxhash64(F.lit("fold"), "digest_in")).drop("digest_in").toPandas().sort_values("hash_in", kind="stable")
     return _exchange(
         [np.asarray(w, np.int64) for w in got.words], np.array([list(x) for x in got.surface]).reshape(-1, N_SURFACE),
         [tuple(m) for m in got.meta_in], got.good_in.to_numpy(float), got.copies_in.to_numpy(float), got.hash_in.to_numpy() % 4 == 0,
