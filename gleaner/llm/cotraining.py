@@ -356,17 +356,18 @@ def fit(
             return [[word_codes(t or b"").tolist() for t in texts], [[float(x) for x in surface(t or b"")] for t in texts]]
         return work
 
-    # The features move once, to meet the labels, by the same join at every size. Copies of unlabelled rows
-    # need no merging, since what is asked of them are sums; of the labelled ones only the sample is merged.
+    # The features move once, to meet the labels, by the same join at every size. Copies are merged where they
+    # meet in a batch; what is asked of unlabelled rows are sums, and of the labelled ones the sample is merged whole.
     rows = annotate(base, "text_in", "f", FEATURES, make, keep=["id_in", "digest_in", "meta_in"])
     rows = rows.join(good.hint("merge"), "id_in", "left")
-    rows = materialize(rows.select("digest_in", "meta_in", "good_in", F.lit(1).cast("long").alias("copies_in"), "f.words", "f.surface"), "cotraining")
-    seen = rows.select(F.explode("words").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    rows = rows.select("digest_in", "meta_in", "good_in", F.lit(1).cast("long").alias("copies_in"), "f.words", "f.surface")
+    rows = materialize(rows.mapInArrow(_merge_copies, rows.schema), "cotraining")
+    seen = rows.select("copies_in", F.explode("words").alias("code")).groupBy("code").agg(F.sum("copies_in").alias("n"))
     codes = np.array(sorted(c for c, _ in seen.where(F.col("n") >= MIN_DOCS).collect()), np.int64)  # at most 2 ** BITS
     known, same = rows.where("good_in is not null"), ["digest_in", "meta_in", "good_in"]
     rate = min(1_000_000, 1_000_000 * fit_rows // max(known.select(*same).distinct().count(), 1))
     got = known.where(F.pmod(F.xxhash64(F.lit("fit"), "digest_in"), F.lit(1_000_000)) < rate)
-    got = got.groupBy(*same).agg(F.count("*").alias("copies_in"), F.first("words").alias("words"), F.first("surface").alias("surface"))
+    got = got.groupBy(*same).agg(F.sum("copies_in").alias("copies_in"), F.first("words").alias("words"), F.first("surface").alias("surface"))
     got = got.withColumn("hash_in", F.xxhash64(F.lit("fold"), "digest_in")).drop("digest_in").toPandas().sort_values("hash_in", kind="stable")
     return _exchange(
         [np.asarray(w, np.int64) for w in got.words], np.array([list(x) for x in got.surface]).reshape(-1, N_SURFACE),
@@ -375,6 +376,18 @@ def fit(
     )
 
 
+def _merge_copies(batches):
+    """One row for the copies of a batch, with their number."""
+    for batch in batches:
+        place: dict[tuple, int] = {}
+        keys = zip(*(batch.column(c).to_pylist() for c in ("digest_in", "good_in")), map(tuple, batch.column("meta_in").to_pylist()))
+        where = np.array([place.setdefault(k, len(place)) for k in keys], np.int64)
+        first = np.unique(where, return_index=True)[1]
+        at = batch.schema.get_field_index("copies_in")
+        copies = np.bincount(where, batch.column(at).to_numpy(), len(place)).astype(np.int64)
+        yield batch.take(pa.array(first)).set_column(at, batch.schema.field(at), pa.array(copies))
+
+
 def _cotrain(
     words: list[np.ndarray], dense: np.ndarray, metas: list[list[str]], label: np.ndarray, in_held: np.ndarray, rounds: int
 ) -> Model:
