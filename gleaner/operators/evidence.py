@@ -12,7 +12,7 @@ from gleaner.functions import text as tx
 from gleaner.functions import urls
 from gleaner.operators import compaction as cp
 from gleaner.operators import predicates as pr
-from gleaner.operators import profiles, signals
+from gleaner.operators import pages, profiles, signals
 from gleaner.operators.keyed import distinct_last, salted_lookup, top_per_key
 
 #: Notices shown instead of a blocked page.
@@ -182,3 +182,21 @@ def match_pages(requests: DataFrame, pages: DataFrame, request_id: str, page_url
     hits = salted_lookup(r, p, ["prio", "key"], "inner", deal_by=[request_id])
     return hits.groupBy(request_id).agg(F.min_by(page_url, "prio").alias(page_url), F.min("prio").alias("match_pass"))
 
+
+def document_evidence(
+    df: DataFrame, doc: str = "document", source: str = "source_url", warnings: str = "warnings", extra: str | None = None, **options,
+) -> DataFrame:
+    """Evidence of structured documents: adds text, signals, evidence_type, coverage and fetch_warnings.
+
+    ``extra`` names a column of search text that stands behind the document's own. ``options`` go to
+    ``signals.extract_signals``.
+    """
+    body = pages.document_text(F.col(doc))
+    if extra is not None:
+        found = tx.strip(tx.text_or_empty(F.col(extra)))
+        body = tx.let(body, lambda b: F.when(found == "", b).otherwise(F.concat(tx.rstrip(b), F.lit("\n\n[搜索补充]\n"), found)))
+    df = signals.extract_signals(df.withColumn("text", body), "text", source, **options)
+    return df.withColumns({
+        "evidence_type": F.lit("structured_document"), "coverage": F.when(tx.text_or_empty(F.col("text")) != "", "full").otherwise("partial"),
+        "fetch_warnings": ar.or_empty(F.col(warnings)),
+    })

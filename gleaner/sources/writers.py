@@ -59,6 +59,12 @@ def write_report(results: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(f"{path}/table")
 
 
+def write_sections(report: DataFrame, path: str) -> None:
+    """A report of ``reports`` (section, key, part, line) as ordered text parts."""
+    order = ["section", "key", "part"]  # null keys, the headings, come first
+    report.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
+
+
 def append_auto_cases(found: DataFrame, inbox: str, version: int | str | None = None) -> versions.Commit:
     """Append automatic cases the inbox does not hold yet.
 

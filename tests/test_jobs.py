@@ -159,3 +159,27 @@ def test_let_keeps_trees_small(spark):
         c = tx.clip(tx.squash(c), 50)
     size = len(spark.createDataFrame([("a b",)], "t string").select(c)._jdf.queryExecution().optimizedPlan().toString())
     assert size < 20_000
+
+
+def test_report_sections_are_stored_in_order(spark, tmp_path):
+    from gleaner.sources import writers
+
+    rows = [(f"c{k:02}", s, k % 3 > 0, k / 4, "pass" if k % 3 else "extract", [] if k % 3 else ["m"]) for k in range(20) for s in ("a", "b") if (k, s) != (5, "b")]
+    df = spark.createDataFrame(rows, "case_id string, stage string, passed boolean, overall_score double, root_cause string, missing array<string>")
+    writers.write_sections(reports.progressive_report(df, ["a", "b"]), str(tmp_path / "r"))
+    files = sorted((tmp_path / "r").glob("part-*"))
+    lines = [line for f in files for line in f.read_text().splitlines()]
+    assert lines[:5] == ["# Progressive Validation Report", "## Stage Summary", "| stage | case_count | pass_count | pass_rate |", "| a | 20 | 13 | 0.65 |", "| b | 19 | 12 | 0.6316 |"]
+    assert lines[5:8] == ["## Case Matrix", "| case_id | a (pass/score/root) | b (pass/score/root) |", "| c00 | false / 0.0 / extract | false / 0.0 / extract |"]
+    assert "| c05 | true / 1.25 / pass | N/A |" in lines and lines[27] == "## Failing Cases" and lines[28] == "a - c00: extract | missing=m"
+    assert len(lines) == 5 + 22 + 1 + 14
+
+
+def test_empty_document_is_partial_evidence(spark):
+    from gleaner.operators import evidence, validation
+
+    df = spark.createDataFrame([(1, '{"title": "T", "summary": "S", "sections": [{"content": "see https://github.com/a/b now"}]}', "more"), (2, "{}", None)], "k int, j string, extra string")
+    df = validation.check(df, "j").selectExpr("k", "document", "extra", "'https://e.com' AS source_url", "cast(null AS array<string>) AS warnings")
+    rows = {r.k: r for r in evidence.document_evidence(df, extra="extra").collect()}
+    assert rows[1].text.endswith("see https://github.com/a/b now\n\n[搜索补充]\nmore") and rows[1].coverage == "full" and rows[1].fetch_warnings == []
+    assert rows[1].signals.projects == ["a/b"] and rows[2].coverage == "partial"
