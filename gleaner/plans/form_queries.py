@@ -62,7 +62,7 @@ def code_host_urls(spark, sf_dir):
 def command_forms(spark, sf_dir):
     """Commands before CJK text and punctuation, skill names with quotes and long ones, and names that are no skill."""
     df = _events(spark, sf_dir)
-    command = F.concat(F.lit("  pip install pkg"), "user_id", F.when(F.col("value") > 20, F.lit("；。 然后运行 x")).otherwise(F.lit(" ;")))
+    command = F.concat(F.lit("  pip install pkg"), "user_id", F.when(F.col("value") > 20, F.lit("；。 然后运行 x")).otherwise(F.lit(";:")))
     skill = F.concat(F.lit(" 「name」  "), "event_type", F.lit("\n"), F.repeat(F.lit("x"), (F.col("user_id") % 60 + 1).cast("int")), F.lit("。"))
     kind = F.col("event_type")
     name = F.when(kind == "view", F.concat(F.lit("Install-x"), "user_id")).when(kind == "click", F.concat(F.lit("a.b-"), "user_id", F.lit(" SKILL"))).when(
