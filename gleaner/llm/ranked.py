@@ -42,7 +42,7 @@ TOP = 50
 BLOCK = 128
 #: A segment is closed at so many documents or bytes of text; ordinals fit in two bytes.
 SEGMENT_DOCS = 1 << 15
-SEGMENT_BYTES = 24 << 20
+SEGMENT_BYTES = 12 << 20
 #: Query text of a batch: what the driver and every task hold of the queries at once.
 QUERY_BYTES = 4 << 20
 
