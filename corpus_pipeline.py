@@ -61,7 +61,7 @@ STAGES = [
     ("mixture", mix_sources),
 ]
 
-#: The language model and the pseudo-random sketches are beyond SQL; tests/llm compares the near-duplicate stage with brute force.
+#: The language model and the pseudo-random sketches are beyond SQL; tests/llm compares the near-duplicate and benchmark stages with brute force.
 ORACLE_SQL = None
 
 

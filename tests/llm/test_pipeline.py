@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,3 +51,37 @@ def test_near_duplicates_are_told_by_five_words_and_eighty_percent(spark):
     assert 0.78 < alike(0, 1) < 0.8 < alike(2, 3) < 0.825
     got = cp.drop_near_duplicates(spark, table(spark, rows), FOLDER)
     assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_benchmark_stage_equals_a_plain_loop(spark):
+    """Kept documents of the given table, window by window."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+    windows = set()
+    for item in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect():
+        w = words(item.text)
+        m = min(13, len(w))
+        windows |= {tuple(w[i : i + m]) for i in range(len(w) - m + 1)} if w else set()
+    lengths, want = {len(w) for w in windows}, []
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for r in docs.collect():
+        w, hit = words(r.text), set()
+        for m in lengths:
+            for i in range(len(w) - m + 1):
+                if tuple(w[i : i + m]) in windows:
+                    hit |= set(range(i, i + m))
+        if not hit or 20 * len(hit) < len(w):
+            want.append(r.doc_id)
+    got = [r.doc_id for r in cp.drop_contaminated(spark, docs, FOLDER).collect()]
+    assert sorted(got) == sorted(want) and len(want) < docs.count()
+
+
+def test_masking_stage_keeps_rows_and_leaves_nothing_to_mask(spark):
+    """All documents stay, texts without personal data as they were, and no e-mail address is left."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r.text for r in cp.mask_personal_data(spark, docs, FOLDER).collect()}
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    assert set(after) == set(before) and not any(mail.search(t or "") for t in after.values())
+    plain = [i for i, t in before.items() if t and not re.search(r"[@+0-9]", t)]
+    assert plain and all(after[i] == before[i] for i in plain)
+    assert any(mail.search(t or "") for t in before.values())
