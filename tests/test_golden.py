@@ -548,3 +548,14 @@ def test_merge_cases_prefers_manual(spark):
 def test_case_id(one):
     out = one(lambda d: cases.case_id(F.lit("url"), d.u, F.lit(None).cast("string"), F.lit("unknown")), u="https://E.com/Ä b")
     assert out.startswith("auto-https-e-com-b-") and len(out.rsplit("-", 1)[1]) == 8
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("0997 a | b", "0997 a | b"), ("Call +1 555-8630", "Call +1 555-8630"), ("! 12 first. ? 10 second", "12 first."),
+        ("!! two 2?", "two 2"), ("  0\n 0  ", "0 0"), ("!?。", "!?。"), ("", ""), (None, None),
+    ],
+)
+def test_first_sentence(one, text, want):
+    assert one(lambda d: tx.first_sentence(F.col("t")), t=text) == want
