@@ -78,14 +78,16 @@ def score_steps(df: DataFrame) -> DataFrame:
     ``min_evidence_chars``, ``require_action_checklist``, ``evidence_text``,
     ``signal_values`` (array), the summary fields ``title, conclusion, bullets,
     quotes, actions`` and ``note``. One case is one row, so scoring is a narrow map.
+
+    Phrases are looked for in the joined summary. A conclusion that is the title, or actions that are the
+    bullets, are left out there: no phrase may be found where a text's end meets its own start.
     """
     required, forbidden = F.col("required"), F.col("forbidden")
     evidence = tx.squash(tx.text_or_empty(F.col("evidence_text")))
     signal_corpus = F.array_join("signal_values", "\n")
     actions = ar.or_empty(F.col("actions"))
-    summary = F.concat_ws(
-        "\n", "title", "conclusion", F.array_join("bullets", "\n"), F.array_join("quotes", "\n"), F.array_join(actions, "\n")
-    )
+    said, done = F.array_join("bullets", "\n"), F.array_join(actions, "\n")
+    summary = F.concat_ws("\n", "title", F.nullif("conclusion", "title"), said, F.array_join("quotes", "\n"), F.nullif(done, said))
     df = df.withColumns(
         {
             "_ev": evidence,
