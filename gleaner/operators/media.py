@@ -315,11 +315,12 @@ def block_hit(corpus: Column, block: Column) -> Column:
     return block.isNull() | ((said != "") & F.contains(corpus, said)) | F.coalesce(shown, F.lit(False))
 
 
-def outline_recall(df: DataFrame, out: str = "outline") -> DataFrame:
+def outline_recall(df: DataFrame, out: str = "outline", numbered: bool = True) -> DataFrame:
     """Compare summary bullets with the outline of the evidence.
 
     Expects ``outline_points`` (detected), ``bullets, conclusion, story_blocks,
-    transcript``, and adds a struct with the comparison and a root cause.
+    transcript``, and adds a struct with the comparison and a root cause. ``numbered``: whether bullets
+    may start with a number, which isn't judged (lines of plain text don't; there ``It. `` is a sentence).
     """
     bullets = F.filter(F.transform(ar.or_empty(F.col("bullets")), lambda x: tx.strip(x)), lambda x: x != "")
     corpus = F.lower(F.concat_ws("\n", F.col("conclusion"), F.array_join(bullets, "\n")))
@@ -333,7 +334,7 @@ def outline_recall(df: DataFrame, out: str = "outline") -> DataFrame:
             "_b": bullets,
             "_c": corpus,
             "_m": matched_points(F.col("outline_points"), bullets),
-            "_raw": F.exists(bullets, lambda b: pr.is_raw_bullet(b, F.col("transcript"))),
+            "_raw": F.exists(bullets, lambda b: pr.is_raw_bullet(b, F.col("transcript"), numbered)),
         }
     )
     detected = F.size("outline_points") > 0

@@ -399,15 +399,16 @@ def keep_checklist(profile: Column, actions: Column, tokens: Iterable[str] = lx.
     return profile.isin(*lx.PROFILES_WITH_CHECKLIST) | tx.contains_any(corpus, tokens)
 
 
-def is_raw_bullet(bullet: Column, transcript: Column) -> Column:
-    """A bullet that is just a stretch of transcript."""
+def is_raw_bullet(bullet: Column, transcript: Column, numbered: bool = True) -> Column:
+    """A bullet that is just a stretch of transcript; what stands before a ``. `` in the first four characters
+    doesn't count as long as bullets may be ``numbered``."""
     corpus = tx.drop_space(F.lower(tx.text_or_empty(transcript)))
 
     def body(point: Column) -> Column:
         verbatim = tx.let(tx.drop_space(point), lambda c: (F.length(c) >= 32) & F.contains(corpus, c))
         return (F.length(point) >= 90) | (~point.rlike("[，。；：:,]") & verbatim)
 
-    return tx.let(normalize_point(bullet), body)
+    return tx.let(normalize_point(bullet) if numbered else F.lower(tx.strip(bullet)), body)
 
 
 def normalize_point(c: Column) -> Column:
