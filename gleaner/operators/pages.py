@@ -150,9 +150,9 @@ def without_noise(html: Column) -> Column:
     names = "|".join(t for t in lx.PAGE_NOISE_TAGS if t not in RAW_TEXT)
     classes = "|".join(lx.PAGE_NOISE_CLASSES)
     noisy = rf"(?is)^<(?:(?:{names})\b|\w[^>]*\bclass=[\"'](?:[^\"']*\s)?(?:{classes})(?:\s[^\"']*)?[\"'])"
-    return F.when(
-        c.rlike(rf"(?i)<(?:{names})\b|class=[\"'][^\"']*(?:{classes})"), cut_elements(c, lambda t: t.rlike(noisy))
-    ).otherwise(c)
+    return tx.let(c, lambda v: F.when(
+        v.rlike(rf"(?i)<(?:{names})\b|class=[\"'][^\"']*(?:{classes})"), cut_elements(v, lambda t: t.rlike(noisy))
+    ).otherwise(v))
 
 
 def main_part(html: Column) -> Column:
@@ -160,16 +160,19 @@ def main_part(html: Column) -> Column:
 
     Tags are cut out once for all containers; a container that no tag names costs one look at the page.
     """
-    def inside(p: Column) -> Column:
-        def option(pattern: str) -> Column:
-            named = html.rlike("(?is)" + (pattern[1:] if pattern.startswith("^") else pattern))
-            return F.when(named, F.nullif(_inner(p, lambda t: t.rlike("(?is)" + pattern)), F.lit("")))
+    def body(h: Column) -> Column:
+        def inside(p: Column) -> Column:
+            def option(pattern: str) -> Column:
+                named = h.rlike("(?is)" + (pattern[1:] if pattern.startswith("^") else pattern))
+                return F.when(named, F.nullif(_inner(p, lambda t: t.rlike("(?is)" + pattern)), F.lit("")))
 
-        return F.coalesce(*[option(pattern) for pattern in CONTAINERS])
+            return F.coalesce(*[option(pattern) for pattern in CONTAINERS])
 
-    marked = html.rlike("(?i)data-testid=|markdown-body|role=[\"']main|class=[\"'][^\"']*(?:body|document)|<article|<main")
-    body = F.nullif(F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)", 1), F.lit(""))
-    return F.coalesce(F.when(marked, tx.let(_parts(html), inside)), body, html)
+        marked = h.rlike("(?i)data-testid=|markdown-body|role=[\"']main|class=[\"'][^\"']*(?:body|document)|<article|<main")
+        rest = F.nullif(F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*)", 1), F.lit(""))
+        return F.coalesce(F.when(marked, tx.let(_parts(h), inside)), rest, h)
+
+    return tx.let(html, body)
 
 
 def blocks(main: Column) -> Column:

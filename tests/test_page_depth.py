@@ -57,3 +57,10 @@ def test_work_is_linear_in_tags(spark):
     took = time.time() - started
     assert out == " <article><div><b>y</b></div></article>" * 1600
     assert took < 5, took
+
+
+def test_the_cleaned_page_is_worked_out_once(spark):
+    """Nested rules name their argument instead of repeating it."""
+    df = spark.createDataFrame([("<p>x</p>",)], "h string").select(pages.main_part(pages.without_noise(F.col("h"))).alias("out"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<!--") == 1
