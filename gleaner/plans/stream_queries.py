@@ -50,7 +50,7 @@ def cached_lookups(spark, sf_dir):
     ev = event_stream(spark, sf_dir)
     write = F.col("event_type").isin("signup", "purchase")
     events = ev.select(
-        F.col("user_id").cast("string").alias("url_key"), F.col("ts").alias("at"), F.when(write, "write").otherwise("lookup").alias("kind"),
+        F.col("user_id").cast("string").alias("url_key"), F.col("ts").alias("at"), F.when(write, "write").when(~write, "lookup").alias("kind"),
         F.when(~write, F.col("event_id").cast("string")).alias("request_id"), F.when(write, F.col("event_id").cast("string")).alias("fingerprint"),
         F.lit(None).cast("string").alias("summary"),
     )

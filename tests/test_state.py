@@ -8,10 +8,13 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
+import duckdb
+import pyarrow.parquet as parquet
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from gleaner import plans
 from gleaner.operators import cases
 from gleaner.operators.keyed import number_rows
 from gleaner.sources import versions, writers
@@ -118,6 +121,47 @@ def test_cache_hits_and_expires_in_event_time(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
+def test_cache_state_does_not_grow_with_urls(spark, tmp_path):
+    rng, folder, events = random.Random(3), str(tmp_path / "in"), []
+    for batch in range(5):
+        rows = []
+        for k in range(400):
+            at = START + timedelta(hours=10 * batch, milliseconds=rng.randint(-1_800_000, 36_000_000 - 1))
+            url, kind = rng.choice([None, *(f"u{rng.randint(0, 40)}" for _ in range(9))]), rng.choice(["write", "lookup", "lookup", None])
+            name = f"{batch}-{k}"
+            rows.append((url, at, kind, *((None, name, name.upper()) if kind == "write" else (name, None, None))))
+        events += rows
+        put(spark, rows, state.CACHE_EVENT, folder, batch)
+    found = state.cached_lookups(stream(spark, state.CACHE_EVENT, folder), ttl_hours=12, delay="1 hour", salts=2, groups=3)
+    writer = found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+    run = state.with_rocksdb(spark, lambda: writer.start(str(tmp_path / "out")))
+    run.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) <= 6
+    end, want = max(e[1] for e in events) - timedelta(hours=1), {}
+    for url, at, kind, name, *_ in events:
+        if kind == "lookup" and at < end:
+            before = [e for e in events if e[2] == "write" and e[0] == url and url is not None and e[1] <= at]
+            last = max(before, key=lambda e: e[1], default=None)
+            want[name] = (url, at, True, *last[4:], last[1]) if last and at - last[1] <= timedelta(hours=12) else (url, at, False, None, None, None)
+    rows = spark.read.schema(state.LOOKUP).parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == len(want) and {r.request_id: (r.url_key, r.at, r.hit, r.fingerprint, r.summary, r.written_at) for r in rows} == want
+    assert any(w[2] for w in want.values()) and not all(w[2] for w in want.values())
+
+
+def test_cached_lookups_of_rows_with_nulls_equal_sql(spark, tmp_path):
+    at = lambda hours: START + timedelta(hours=hours)
+    rows = [
+        (1, at(0), 7, "signup"), (2, at(1), 7, "view"), (3, at(1), None, "purchase"), (4, at(2), None, "click"), (5, at(2), 7, None),
+        (6, None, 7, "purchase"), (7, None, 7, "view"), (8, at(30), 7, "error"), (9, at(40), 8, "signup"), (10, at(39.5), 8, "view"), (11, at(41), 8, None),
+    ]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").select("*", F.lit(0.0).alias("value"), F.lit("").alias("props"))
+    parquet.write_table(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).toArrow(), str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(plans.oracle_sql()["cached_lookups"]).fetchall()
+    assert sorted(map(tuple, plans.queries()["cached_lookups"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 4
+
+
 def test_cache_events_have_canonical_keys(spark):
     writes = spark.createDataFrame([("https://E.com/x?utm_source=y", START, "f", "s")], "source_url string, at timestamp, fingerprint string, summary string")
     requests = spark.createDataFrame([("r", "https://e.com/x", START)], "request_id string, source_url string, at timestamp")
