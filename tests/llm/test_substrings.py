@@ -74,3 +74,31 @@ def test_anchors_are_leftmost_least():
     h = np.random.default_rng(0).integers(0, 5, 300).astype(np.uint64) << np.uint64(32)
     for w in (1, 2, 7, 64):
         assert ss._leftmost_least(h, w).tolist() == [i + int(h[i : i + w].argmin()) for i in range(len(h) - w + 1)]
+
+
+def test_query_hands_out_what_remains(spark, tmp_path):
+    passage = " ".join(f"word{i}" for i in range(60))  # 409 bytes, 411 with the spaces around it
+    short = " ".join(f"w{i}" for i in range(60))  # 229 bytes: stays, though it repeats
+    split = "é" * 200
+    rows = [(1, f"a {passage} b"), (2, f"c {passage} d"), (3, f"e {short} f"), (4, f"g {short} h"), (5, None), (6, "alone"),
+            (7, f"à{split}x"), (8, f"\u0169{split}y")]  # the second bytes of à and \u0169 differ, so only é go
+    rows += [(9, f"À{passage[:399]}1"), (10, f"\u0500{passage[:399]}2")]  # bytes C3 80 and D4 80: the cut begins inside a character
+    table(spark, [(i, t, "en", "s", 1) for i, t in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in ss.query(spark, str(tmp_path)).collect()}
+    assert [got[i].text for i in range(1, 9)] == ["ab", "cd", rows[2][1], rows[3][1], "", "alone", "àx", "\u0169y"]
+    assert all(hashlib.sha256(got[i].text.encode()).hexdigest() == got[i].kept_sha256 for i in range(1, 9))
+    assert [got[i].text for i in (9, 10)] == ["\ufffd1", "\ufffd2"]
+    assert [got[9].kept_sha256, got[10].kept_sha256] == [hashlib.sha256(b).hexdigest() for b in (b"\xc31", b"\xd42")]
+    assert sorted(((i, *r[1:5]) for i, r in got.items()), key=repr) == brute(rows, ss.LENGTH, "none")
+
+
+def test_suffix_order_of_starts_against_definition():
+    rng = random.Random(9)
+    for letters in (b"ab", b"a", bytes(range(97, 117))):
+        data = bytes(rng.choice(letters) for _ in range(600))
+        for depth in (1, 13, 100, 250):
+            starts = np.array(sorted(rng.sample(range(600 - depth + 1), 60)))
+            rank = ss.order_to_depth(np.frombuffer(data, np.uint8), depth, starts)[starts]
+            strings = [data[i : i + depth] for i in starts]
+            place = {x: i for i, x in enumerate(sorted(set(strings)))}
+            assert np.unique(rank, return_inverse=True)[1].tolist() == [place[x] for x in strings]
