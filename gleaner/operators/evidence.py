@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,20 +37,27 @@ def user_text(raw: Column, url: Column) -> Column:
     return F.when(pr.is_url_only(v, url), F.lit("")).otherwise(v)
 
 
-def build_evidence(requests: DataFrame, lexicon: signals.SignalLexicon = signals.DEFAULT) -> DataFrame:
+def build_evidence(
+    requests: DataFrame, lexicon: signals.SignalLexicon = signals.DEFAULT, as_sent: bool = False,
+    footers: Iterable[str] = lx.LEGAL_FOOTER_TOKENS, code_hosts: Iterable[str] = ("github.com",),
+) -> DataFrame:
     """Evidence rows for text, web, repository and image requests.
 
     Expects requests already joined with their tracks: ``source_kind, source_url,
     raw_text, platform_hint, page_title, page_text, repo_lines`` (array),
     ``ocr_lines`` (array) and ``fetch_warnings`` (array). All branches are column
     expressions over one row, so the whole build needs no exchange.
+
+    ``as_sent``: what the user sent counts as it is, a bare URL too, and is named as a source even
+    if it is empty. ``footers`` and ``code_hosts``: vocabularies of the legal footer and the repository branch.
     """
     kind, url = F.col("source_kind"), F.col("source_url")
+    raw = tx.strip(tx.text_or_empty(F.col("raw_text")))
     df = requests.withColumns(
         {
-            "branch": pr.route(kind, url, F.col("platform_hint")),
-            "_raw": tx.strip(tx.text_or_empty(F.col("raw_text"))),
-            "_user": user_text(F.col("raw_text"), url),
+            "branch": pr.route(kind, url, F.col("platform_hint"), code_hosts),
+            "_raw": raw,
+            "_user": raw if as_sent else user_text(F.col("raw_text"), url),
             "_ocr": F.array_join(cp.salient_lines(F.col("ocr_lines"), 16), "\n"),
             "_repo": F.array_join(ar.or_empty(F.col("repo_lines")), "\n"),
             "_page": tx.strip(tx.text_or_empty(F.col("page_text"))),
@@ -64,7 +73,7 @@ def build_evidence(requests: DataFrame, lexicon: signals.SignalLexicon = signals
     notice = F.coalesce(*[F.when(code == k, F.lit(v)) for k, v in NOTICES.items()], F.lit(""))
     df = df.withColumns({"_webtext": web_text, "_notice": notice})
     # A legal footer is no content: it makes way for a notice or for nothing.
-    readable = F.when(pr.is_legal_footer(F.col("_webtext")), F.lit("")).otherwise(F.col("_webtext"))
+    readable = F.when(pr.is_legal_footer(F.col("_webtext"), footers), F.lit("")).otherwise(F.col("_webtext"))
     df = df.withColumn("_readable", readable)
     blocked = (F.col("branch") == "web") & (F.col("_readable") == "") & (F.col("_notice") != "")
     by_branch = {
@@ -76,10 +85,11 @@ def build_evidence(requests: DataFrame, lexicon: signals.SignalLexicon = signals
     df = df.filter(F.col("branch") != "video")
     text = F.coalesce(*[F.when(F.col("branch") == b, t) for b, t in by_branch.items()])
     kind_of_text = F.coalesce(*[F.when(F.col("branch") == b, F.lit(t)) for b, t in EVIDENCE_TYPES.items()])
+    sent = F.lit(as_sent) | (F.when(F.col("branch").isin("text", "image"), F.col("_raw")).otherwise(F.col("_user")) != "")
     sources = F.array_compact(
         F.array(
             F.when((F.col("branch") == "image") & (F.col("_ocr") != ""), F.lit("uploaded_image_ocr")),
-            F.when(F.when(F.col("branch").isin("text", "image"), F.col("_raw")).otherwise(F.col("_user")) != "", F.lit("user_raw_text")),
+            F.when(sent, F.lit("user_raw_text")),
             F.when((F.col("branch") == "repository") & (F.col("_repo") != ""), F.lit("repository_document")),
             F.when(F.col("branch").isin("web", "repository") & (F.col("_page") != ""), F.lit("web_html_document")),
             F.when((F.col("branch") == "web") & (F.col("_ocr") != ""), F.lit("browser_screenshot_ocr")),

@@ -18,9 +18,9 @@ from gleaner.functions import text as tx
 from gleaner.functions import urls
 
 
-def route(kind: Column, url: Column, hint: Column) -> Column:
+def route(kind: Column, url: Column, hint: Column, code_hosts: Iterable[str] = ("github.com",)) -> Column:
     """Which evidence branch a request takes."""
-    on_code_host = (tx.text_or_empty(hint) == "github") | F.contains(tx.text_or_empty(url), F.lit("github.com"))
+    on_code_host = (tx.text_or_empty(hint) == "github") | tx.contains_any(tx.text_or_empty(url), code_hosts)
     return (
         F.when(kind == "pasted_text", F.lit("text"))
         .when(kind == "image", F.lit("image"))
